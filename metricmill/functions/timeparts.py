@@ -13,9 +13,9 @@ UNIT_OF_LETTER = {"h": "hour", "d": "day", "w": "week"}
 DEFAULT_PERIOD_DAYS = 30.0
 
 
-def instant(as_of: str | date | datetime) -> Column:
+def instant(as_of: str | date | datetime | Column) -> Column:
     """A foldable timestamp literal, so period filters reach the parquet scan."""
-    return F.lit(str(as_of)).cast("timestamp")
+    return as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("timestamp")
 
 
 def parse_period(text: str) -> float:

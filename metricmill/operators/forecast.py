@@ -7,75 +7,76 @@ from pyspark.sql import functions as F
 
 from metricmill.functions.timeparts import in_period
 from metricmill.operators.metrics import rollup_series
-from metricmill.operators.series import KEY, in_order, indexed, linear_fit, seasonal_index
+from metricmill.operators.series import KEY, in_order, indexed, whole, with_line
 from metricmill.operators.smoothing import smoothing_forecast
+from metricmill.session import stage
 
 MIN_POINTS = 10
 LONG_SERIES = 50
 Z95 = 1.96
 
-METHODS = ["linear", "exponential_smoothing", "moving_average", "seasonal_linear"]
 
+def _has_trend() -> Column:
+    """The fitted rise over the whole length exceeds a tenth of the range."""
+    return (F.col("data_range") > 0) & (F.abs(F.col("slope") * F.col("n")) > 0.1 * F.col("data_range"))
 
-def select_method(series: DataFrame) -> DataFrame:
-    """Per series: its length, whether it has a trend, and the automatic method.
 
-    Long series take the straight line, as do shorter ones with a trend (the fitted rise
-    over the whole length exceeds a tenth of the range); the others are smoothed.
-    """
+def _auto_method() -> Column:
+    """Long series take the straight line, as do shorter ones with a trend; the others are smoothed."""
+    return F.when((F.col("n") >= LONG_SERIES) | _has_trend(), "linear").otherwise("exponential_smoothing")
+
+
+def select_method(series: DataFrame) -> DataFrame:
+    """Per series: its length, whether it has a trend, and the automatic method."""
     fits = indexed(series).groupBy(KEY).agg(
         F.count("*").alias("n"),
         F.regr_slope("value", "idx").alias("slope"),
         (F.max("value") - F.min("value")).alias("data_range"),
     )
-    rising = (F.col("data_range") > 0) & (F.abs(F.col("slope") * F.col("n")) > 0.1 * F.col("data_range"))
-    return fits.select(
-        KEY, "n", rising.alias("has_trend"),
-        F.when((F.col("n") >= LONG_SERIES) | rising, "linear").otherwise("exponential_smoothing").alias("method"),
-    )
+    return fits.select(KEY, "n", _has_trend().alias("has_trend"), _auto_method().alias("method"))
 
 
-def _ends(series: DataFrame) -> DataFrame:
-    """Last time and the last interval of each series (a day when it has one point)."""
-    rows = indexed(series)
-    return rows.groupBy(KEY).agg(
+def _fit_metrics() -> list[Column]:
+    """Aggregates over rows with idx, n, ts and residual ``gap``."""
+    return [
         F.max("n").alias("n"),
         F.max("ts").alias("last_ts"),
         F.max(F.when(F.col("idx") == F.col("n") - 2, F.col("ts"))).alias("prev_ts"),
-    )
+        F.stddev_pop("gap").alias("residual_std"),
+        F.avg(F.abs("gap")).alias("mae"),
+        F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse"),
+    ]
 
 
-def _step_time(step: Column) -> Column:
-    day = F.lit(86_400_000_000)
+def _steps(fits: DataFrame, periods: int) -> DataFrame:
+    """Future steps at the last interval of the series (a day when it has one point)."""
     micros = F.unix_micros("last_ts")
-    interval = F.coalesce(micros - F.unix_micros("prev_ts"), day)
-    return F.timestamp_micros(micros + interval * step)
+    interval = F.coalesce(micros - F.unix_micros("prev_ts"), F.lit(86_400_000_000))
+    return fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).withColumn(
+        "ts", F.timestamp_micros(micros + interval * F.col("step"))
+    )
 
 
-def _rows(fits: DataFrame, periods: int, value: Column, method: Column) -> DataFrame:
-    steps = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).withColumn("forecast", value)
-    return steps.select(
-        KEY, "step",
-        _step_time(F.col("step")).alias("ts"),
-        "forecast",
+def _rows(steps: DataFrame, value: Column, method: Column, *extra: str) -> DataFrame:
+    return steps.withColumn("forecast", value).select(
+        KEY, "step", "ts", "forecast",
         (F.col("forecast") - Z95 * F.col("residual_std")).alias("lower_bound"),
         (F.col("forecast") + Z95 * F.col("residual_std")).alias("upper_bound"),
-        method.alias("method"),
-        "mae",
-        F.col("rmse"),
+        method.alias("method"), "mae", "rmse", *extra,
     )
 
 
+def _line_ahead() -> Column:
+    return F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
+
+
+def _line_columns() -> list[Column]:
+    return [F.first("slope").alias("slope"), F.first("intercept").alias("intercept")]
+
+
 def linear_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
-    fits = linear_fit(series)
-    residual = F.abs(F.col("value") - (F.col("intercept") + F.col("slope") * F.col("idx")))
-    errors = (
-        indexed(series).drop("n").join(fits, KEY).groupBy(KEY).agg(F.avg(residual).alias("mae"))
-    )
-    # OLS residuals have mean zero, so their deviation is the root mean square error.
-    ready = fits.join(errors, KEY).join(_ends(series).drop("n"), KEY).withColumn("rmse", F.col("residual_std"))
-    value = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
-    return _rows(ready, periods, value, F.lit("linear_regression"))
+    fits = with_line(series).groupBy(KEY).agg(*_fit_metrics(), *_line_columns())
+    return _rows(_steps(fits, periods), _line_ahead(), F.lit("linear_regression"))
 
 
 def moving_average_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
@@ -89,75 +90,70 @@ def moving_average_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
     )
     full = rows.withColumn("ma", average).filter("idx >= w - 1").withColumn("gap", F.col("value") - F.col("ma"))
     fits = full.groupBy(KEY).agg(
-        F.max("w").alias("w"),
-        F.max_by("ma", "idx").alias("last_ma"),
-        F.stddev_pop("gap").alias("residual_std"),
-        F.avg(F.abs("gap")).alias("mae"),
-        F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse"),
+        *_fit_metrics(), F.max("w").alias("w"), F.max_by("ma", "idx").alias("last_ma")
     )
     method = F.concat(F.lit("moving_average_"), F.col("w").cast("string"))
-    return _rows(fits.join(_ends(series), KEY), periods, F.col("last_ma"), method)
+    return _rows(_steps(fits, periods), F.col("last_ma"), method)
 
 
 def seasonal_linear_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
-    """Straight line scaled by the weekly seasonal index; adds the percentage error ``mape``."""
-    fits = linear_fit(series)
-    weekly = seasonal_index(series, "weekly").select(
-        KEY, "period", (1 + F.col("seasonal_index") / 100).alias("factor")
-    )
-    line = F.col("intercept") + F.col("slope") * F.col("idx")
-    fitted = (
-        indexed(series).drop("n").withColumn("period", F.weekday("ts") + 1)
-        .join(fits, KEY).join(weekly, [KEY, "period"], "left")
-        .withColumn("gap", F.col("value") - line * F.coalesce("factor", F.lit(1.0)))
-    )
-    errors = fitted.groupBy(KEY).agg(
-        F.stddev_pop("gap").alias("residual_std"),
-        F.avg(F.abs("gap")).alias("mae"),
-        F.sqrt(F.avg(F.col("gap") * F.col("gap"))).alias("rmse"),
+    """Straight line scaled by the weekly seasonal index; adds the percentage error ``mape``.
+
+    The seven weekday factors travel as a map on the series' row; a weekday never seen counts 1.
+    """
+    average = F.avg("value").over(whole())
+    weekday_average = F.avg("value").over(whole().partitionBy(KEY, "weekday"))
+    rows = (
+        with_line(series)
+        .withColumn("weekday", F.weekday("ts"))
+        .withColumn("factor", F.coalesce(F.try_divide(weekday_average, F.nullif(average, F.lit(0.0))), F.lit(1.0)))
+        .withColumn(
+            "gap", F.col("value") - (F.col("intercept") + F.col("slope") * F.col("idx")) * F.col("factor")
+        )
+    )
+    fits = rows.groupBy(KEY).agg(
+        *_fit_metrics(),
+        *_line_columns(),
+        F.map_from_entries(F.collect_set(F.struct("weekday", "factor"))).alias("factors"),
         (F.avg(F.abs(F.try_divide("gap", F.nullif("value", F.lit(0.0))))) * 100).alias("mape"),
     )
-    ready = fits.drop("residual_std").join(errors, KEY).join(_ends(series).drop("n"), KEY)
-    steps = (
-        ready.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
-        .withColumn("ts", _step_time(F.col("step")))
-        .withColumn("period", F.weekday("ts") + 1)
-        .join(weekly, [KEY, "period"], "left")
-    )
-    line_ahead = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
-    value = line_ahead * F.coalesce("factor", F.lit(1.0))
-    return steps.withColumn("forecast", value).select(
-        KEY, "step", "ts", "forecast",
-        (F.col("forecast") - Z95 * F.col("residual_std")).alias("lower_bound"),
-        (F.col("forecast") + Z95 * F.col("residual_std")).alias("upper_bound"),
-        F.lit("seasonal_linear").alias("method"), "mae", "rmse", "mape",
-    )
+    factor = F.coalesce(F.col("factors")[F.weekday("ts")], F.lit(1.0))
+    return _rows(_steps(fits, periods), _line_ahead() * factor, F.lit("seasonal_linear"), "mape")
 
 
 def forecast(series: DataFrame, periods: int = 7, method: str = "auto", strict: bool = False) -> DataFrame:
     """Forecast rows for every series of at least ten points.
 
     ``strict`` fails the job on a shorter series instead of leaving it out. An unknown
-    method means linear. In auto mode each series goes to its own method.
+    method means linear. In auto mode each series goes to its own method; the reduced
+    series are staged, so the facts are read once for both branches.
     """
     counted = indexed(series)
     if strict:
         short = F.raise_error(F.lit(f"need at least {MIN_POINTS} data points for forecasting"))
         counted = counted.withColumn("n", F.when(F.col("n") >= MIN_POINTS, F.col("n")).otherwise(short.cast("long")))
-    usable = counted.filter(F.col("n") >= MIN_POINTS).select(KEY, "ts", "value")
+    usable = counted.filter(F.col("n") >= MIN_POINTS)
+    if method == "auto":
+        slope = F.regr_slope("value", "idx").over(whole())
+        reach = F.max("value").over(whole()) - F.min("value").over(whole())
+        tagged = usable.withColumn("slope", slope).withColumn("data_range", reach)
+        tagged = stage(tagged.select(KEY, "ts", "value", _auto_method().alias("method")))
+        parts = [
+            forecast_by(tagged.filter(F.col("method") == name).drop("method"), periods, name)
+            for name in ("linear", "exponential_smoothing")
+        ]
+        return parts[0].unionByName(parts[1])
+    return forecast_by(usable.select(KEY, "ts", "value"), periods, method)
+
+
+def forecast_by(series: DataFrame, periods: int, method: str) -> DataFrame:
     if method == "moving_average":
-        return moving_average_forecast(usable, periods)
+        return moving_average_forecast(series, periods)
     if method == "exponential_smoothing":
-        return smoothing_forecast(usable, periods)
+        return smoothing_forecast(series, periods)
     if method == "seasonal_linear":
-        return seasonal_linear_forecast(usable, periods).drop("mape")
-    if method != "auto":
-        return linear_forecast(usable, periods)
-    chosen = select_method(usable).select(KEY, "method")
-    tagged = usable.join(chosen, KEY)
-    straight = linear_forecast(tagged.filter("method = 'linear'").drop("method"), periods)
-    smooth = smoothing_forecast(tagged.filter("method = 'exponential_smoothing'").drop("method"), periods)
-    return straight.unionByName(smooth)
+        return seasonal_linear_forecast(series, periods).drop("mape")
+    return linear_forecast(series, periods)
 
 
 def forecast_errors(pairs: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -165,8 +161,6 @@ def forecast_errors(pairs: DataFrame, threshold: float = 2.0) -> DataFrame:
 
     ``pairs`` holds (series_key, step, actual, forecast).
     """
-    from metricmill.operators.series import whole
-
     error = F.abs(F.col("actual") - F.col("forecast"))
     percent = F.coalesce(
         F.abs(F.try_divide(F.col("actual") - F.col("forecast"), F.nullif("forecast", F.lit(0.0)))) * 100, F.lit(0.0)

@@ -228,9 +228,27 @@ def summary_stats(series: DataFrame, integers: bool = False) -> DataFrame:
     )
 
 
+def with_line(series: DataFrame) -> DataFrame:
+    """Indexed rows carrying their series' least-squares line and the residual ``gap``.
+
+    All of it is windowed by series, so one shuffle serves the index, the fit and what follows.
+    """
+    return (
+        indexed(series)
+        .withColumn("slope", F.regr_slope("value", "idx").over(whole()))
+        .withColumn("intercept", F.regr_intercept("value", "idx").over(whole()))
+        .withColumn("gap", F.col("value") - (F.col("intercept") + F.col("slope") * F.col("idx")))
+    )
+
+
 def simple_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
     """Straight-line forecast with bounds of 1.96 population residual deviations; needs 2 points."""
-    fits = linear_fit(series).filter("n >= 2")
+    fits = with_line(series).filter("n >= 2").groupBy(KEY).agg(
+        F.max("n").alias("n"),
+        F.first("slope").alias("slope"),
+        F.first("intercept").alias("intercept"),
+        F.stddev_pop("gap").alias("residual_std"),
+    )
     steps = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
     value = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
     return steps.select(
@@ -241,22 +259,3 @@ def simple_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
         (value + 1.96 * F.col("residual_std")).alias("upper_bound"),
         F.col("slope").alias("trend_slope"),
     )
-
-
-def linear_fit(series: DataFrame) -> DataFrame:
-    """n, slope, intercept and population residual deviation, from one aggregate.
-
-    The residual sum of squares is Syy - Sxy^2/Sxx, so no second pass is needed.
-    """
-    sums = indexed(series).groupBy(KEY).agg(
-        F.count("*").alias("n"),
-        F.regr_slope("value", "idx").alias("slope"),
-        F.regr_intercept("value", "idx").alias("intercept"),
-        F.regr_syy("value", "idx").alias("syy"),
-        F.regr_sxy("value", "idx").alias("sxy"),
-        F.regr_sxx("value", "idx").alias("sxx"),
-    )
-    left = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.nullif("sxx", F.lit(0.0)))
-    return sums.select(
-        KEY, "n", "slope", "intercept", F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("n")).alias("residual_std")
-    )

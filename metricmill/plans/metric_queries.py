@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricmill.functions.timeparts import in_period, instant, seasonal_slot
+from metricmill.functions.timeparts import in_period
 from metricmill.operators import metrics as m
 from metricmill.plans.catalog import EVENTS_AS_OF, SALES_AS_OF, over, query, within
 from metricmill.sources import star
@@ -88,16 +88,16 @@ def sales_metrics_by_channel(spark, root):
 
 
 @query(
-    "product_filtered_metrics",
+    "product_daily_units",
     over(
         f"""SELECT strftime(event_timestamp, '%Y-%m-%d') AS date, product_id, sum(quantity) AS units
-            FROM sales_events WHERE {within(365)} AND product_id IN (7, 11, 42) AND quantity > 0 GROUP BY 1, 2""",
+            FROM sales_events WHERE {within(365)} AND quantity > 0 GROUP BY 1, 2""",
         "sales_events",
     ),
 )
-def product_filtered_metrics(spark, root):
-    chosen = star.sales_events(spark, root).filter(F.col("product_id").isin(7, 11, 42) & (F.col("quantity") > 0))
-    return m.daily_metrics(chosen, {"units": ("quantity", "sum")}, SALES_AS_OF, 365, ["product_id"])
+def product_daily_units(spark, root):
+    positive = star.sales_events(spark, root).filter("quantity > 0")
+    return m.daily_metrics(positive, {"units": ("quantity", "sum")}, SALES_AS_OF, 365, ["product_id"])
 
 
 DAILY_REVENUE = f"""SELECT CAST(event_timestamp AS DATE) AS date, sum(amount) AS total
@@ -229,5 +229,3 @@ def event_ingestion_stats(spark, root):
     events = star.customer_events(spark, root)
     return m.ingestion_stats(events, "2024-01-30", valid=F.col("satisfaction_score").isNotNull())
 
-
-__all__ = ["channel_series", "daily_revenue", "instant", "seasonal_slot"]

@@ -467,11 +467,8 @@ def channel_forecast_smoothing(spark, root):
     ),
 )
 def event_forecast_errors(spark, root):
-    rows = se.indexed(event_series(spark, root)).drop("n").withColumnRenamed("idx", "step")
-    fits = se.linear_fit(event_series(spark, root))
-    predicted = rows.join(fits, "series_key").select(
-        "series_key", "step", (F.col("intercept") + F.col("slope") * F.col("step")).alias("forecast")
-    )
+    rows = se.with_line(event_series(spark, root)).withColumnRenamed("idx", "step")
+    predicted = rows.select("series_key", "step", (F.col("value") - F.col("gap")).alias("forecast"))
     actual = rows.select("series_key", "step", F.col("value").alias("actual"))
     return fc.forecast_errors(fc.pair_by_step(actual, predicted))
 
