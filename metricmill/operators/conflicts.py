@@ -1,10 +1,10 @@
 """Opposing recommendations.
 
 Whether two recommendations conflict depends only on which key words their titles
-hold. Rows are therefore reduced to word profiles (at most 2^13, however many rows
-there are) and profiles are matched by an equi-join on (word pair, opposite side).
-Counts and strongest opponents are exact for the whole table, and no pair of rows
-is ever formed; the pair list exists for a top-k only.
+hold. Rows are therefore reduced to word profiles, one integer each (at most 2^13,
+however many rows there are), and profiles are matched by an equi-join on the
+opposing word. Counts and strongest opponents are exact for the whole table and no
+pair of rows is ever formed; the pair list exists for a top-k report only.
 """
 
 from __future__ import annotations
@@ -14,96 +14,102 @@ from pyspark.sql import functions as F
 
 from metricmill.functions.texts import CONFLICT_CLASSES, CONFLICT_OTHER, OPPOSING_WORDS
 from metricmill.operators.recommend import ID, best
+from metricmill.session import stage
 
-def _text() -> Column:
-    return F.lower("title")
+# Bit 2i is the first and bit 2i+1 the second word of pair i; the subjects follow.
+WORDS = [word for pair in OPPOSING_WORDS for word in pair]
+SUBJECTS = [word for word, _ in CONFLICT_CLASSES]
+OPPOSITE = [i ^ 1 for i in range(len(WORDS))]
 
 
 def profiled(recommendations: DataFrame) -> DataFrame:
-    """Adds ``sides``, the (pair, side) tags of the title, and ``classes``, its subject words."""
-    tags = [
-        F.when(_text().contains(word), F.struct(F.lit(pair).alias("pair"), F.lit(side).alias("side")))
-        for pair, words in enumerate(OPPOSING_WORDS)
-        for side, word in enumerate(words)
-    ]
-    subjects = [F.when(_text().contains(word), F.lit(word)) for word, _ in CONFLICT_CLASSES]
-    return recommendations.withColumn("sides", F.filter(F.array(*tags), lambda t: t.isNotNull())).withColumn(
-        "classes", F.filter(F.array(*subjects), lambda s: s.isNotNull())
-    )
+    """Adds ``profile``, a bit per key word of the title.
+
+    Rows without an opposable word stay in: they match nothing later, and a filter here
+    would be moved below and search every title twice.
+    """
+    text = F.lower("title")
+    bits = [F.when(text.contains(word), 1 << i).otherwise(0) for i, word in enumerate(WORDS + SUBJECTS)]
+    profile = bits[0]
+    for bit in bits[1:]:
+        profile = profile.bitwiseOR(bit)
+    return recommendations.withColumn("profile", profile)
 
 
-def conflict_class(classes: Column) -> Column:
+def conflict_class(profile: Column) -> Column:
     """First subject named by either side, in order of the class list."""
-    named = [F.when(F.array_contains(classes, word), F.lit(name)) for word, name in CONFLICT_CLASSES]
+    named = [
+        F.when(profile.bitwiseAND(1 << (len(WORDS) + i)) != 0, F.lit(name))
+        for i, (_, name) in enumerate(CONFLICT_CLASSES)
+    ]
     return F.coalesce(*named, F.lit(CONFLICT_OTHER))
 
 
-def _profiles(rows: DataFrame) -> DataFrame:
-    """One row per word profile with its size and its two strongest members."""
-    member = F.struct("composite_score", F.col(ID).alias("id"), F.col("source.agent_type").alias("agent"))
-    tagged = rows.filter(F.size("sides") > 0).withColumn("member", member)
-    first = tagged.groupBy("sides", "classes").agg(F.count("*").alias("size"), F.max("member").alias("first"))
-    rest = (
-        tagged.join(F.broadcast(first.select("sides", "classes", "first")), ["sides", "classes"])
-        .filter(F.col("member") < F.col("first"))
-        .groupBy("sides", "classes")
-        .agg(F.max("member").alias("second"))
-    )
-    return first.join(rest, ["sides", "classes"], "left")
+def _words_of(profile: str, numbers: list[int]) -> Column:
+    """The given number of each word bit that is set."""
+    present = [F.when(F.col(profile).bitwiseAND(1 << i) != 0, F.lit(n)) for i, n in enumerate(numbers)]
+    return F.filter(F.array(*present), lambda n: n.isNotNull())
 
 
 def _matches(profiles: DataFrame) -> DataFrame:
-    """Ordered pairs of profiles that oppose each other, each once."""
-    a = profiles.select(
-        F.col("sides").alias("a_sides"), F.col("classes").alias("a_classes"), F.col("size").alias("a_size"),
-        F.explode("sides").alias("tag"),
-    ).select("*", F.col("tag.pair").alias("pair"), (1 - F.col("tag.side")).alias("side")).drop("tag")
-    b = profiles.withColumn("tag", F.explode("sides")).select(
-        "sides", "classes", "size", "first", "second",
-        F.col("tag.pair").alias("pair"), F.col("tag.side").alias("side"),
+    """Ordered pairs (mine, theirs) of opposing profiles, each once."""
+    mine = profiles.select(
+        F.col("profile").alias("mine"), F.col("size").alias("my_size"),
+        F.explode(_words_of("profile", OPPOSITE)).alias("word"),
     )
-    return a.join(b, ["pair", "side"]).drop("pair", "side").dropDuplicates(["a_sides", "a_classes", "sides", "classes"])
+    theirs = profiles.withColumnRenamed("profile", "theirs").withColumn(
+        "word", F.explode(_words_of("theirs", list(range(len(WORDS)))))
+    )
+    return mine.join(theirs, "word").drop("word").dropDuplicates(["mine", "theirs"])
 
 
 def conflict_summary(recommendations: DataFrame) -> DataFrame:
     """Exact number of conflicting pairs by class, over the whole table."""
-    a_size, b_size = F.col("a_size").cast("decimal(19,0)"), F.col("size").cast("decimal(19,0)")
-    itself = (F.col("a_sides") == F.col("sides")) & (F.col("a_classes") == F.col("classes"))
+    sizes = stage(profiled(recommendations).groupBy("profile").agg(F.count("*").alias("size")))
+    mine, theirs = F.col("my_size").cast("decimal(19,0)"), F.col("size").cast("decimal(19,0)")
     # Ordered matches count every unordered pair twice, within a profile as well.
-    ordered_pairs = F.when(itself, a_size * (a_size - 1)).otherwise(a_size * b_size)
-    named = _matches(_profiles(profiled(recommendations))).withColumn(
-        "conflict_type", conflict_class(F.array_union("a_classes", "classes"))
-    )
-    return named.groupBy("conflict_type").agg((F.sum(ordered_pairs) / 2).cast("bigint").alias("pairs")).filter(
-        "pairs > 0"
-    )
+    ordered = F.when(F.col("mine") == F.col("theirs"), mine * (mine - 1)).otherwise(mine * theirs)
+    kind = conflict_class(F.col("mine").bitwiseOR(F.col("theirs"))).alias("conflict_type")
+    totals = _matches(sizes).groupBy(kind).agg((F.sum(ordered) / 2).cast("bigint").alias("pairs"))
+    return totals.filter("pairs > 0")
 
 
 def opponents(recommendations: DataFrame) -> DataFrame:
-    """For every conflicting recommendation: opponents, the strongest one, class and resolution."""
-    rows = profiled(recommendations).filter(F.size("sides") > 0)
-    matches = _matches(_profiles(rows))
-    itself = (F.col("a_sides") == F.col("sides")) & (F.col("a_classes") == F.col("classes"))
-    challenger = F.struct(F.col("first").alias("member"), "classes")
-    facing = matches.groupBy("a_sides", "a_classes").agg(
+    """For every conflicting recommendation: opponents, the strongest one, class and resolution.
+
+    A profile keeps its two strongest members, since the strongest cannot oppose itself.
+    The joins back to the rows broadcast one row per profile, a size fixed by the words.
+    """
+    rows = profiled(recommendations).withColumn(
+        "member", F.struct("composite_score", F.col(ID).alias("id"), F.col("source.agent_type").alias("agent"))
+    )
+    first = stage(rows.groupBy("profile").agg(F.count("*").alias("size"), F.max("member").alias("first")))
+    second = (
+        rows.select("profile", "member")
+        .join(F.broadcast(first.select("profile", "first")), "profile")
+        .filter(F.col("member") < F.col("first"))
+        .groupBy("profile")
+        .agg(F.max("member").alias("second"))
+    )
+    profiles = stage(first.join(second, "profile", "left"))
+    own = F.col("mine") == F.col("theirs")
+    facing = _matches(profiles).groupBy("mine").agg(
         F.sum("size").alias("rivals"),
-        F.max(F.when(~itself, challenger)).alias("other"),
-        F.max(F.when(itself, F.struct("first", "second"))).alias("own"),
+        F.max(F.when(~own, F.struct(F.col("first").alias("member"), F.col("theirs").alias("profile")))).alias("other"),
+        F.max(F.when(own, F.struct("first", "second"))).alias("own"),
     )
-    key = (F.col("sides") == F.col("a_sides")) & (F.col("classes") == F.col("a_classes"))
-    joined = rows.join(F.broadcast(facing), key)  # at most one row per word profile
-    within = F.when(F.col("own.first.id") == F.col(ID), F.col("own.second")).otherwise(F.col("own.first"))
-    inside = F.when(within.isNotNull(), F.struct(within.alias("member"), F.col("classes")))
-    strongest = F.greatest("other", inside)
+    joined = rows.join(F.broadcast(facing.withColumnRenamed("mine", "profile")), "profile")
+    peer = F.when(F.col("own.first.id") == F.col(ID), F.col("own.second")).otherwise(F.col("own.first"))
+    inside = F.when(peer.isNotNull(), F.struct(peer.alias("member"), F.col("profile")))
     return (
         joined.withColumn("opponents", F.col("rivals") - F.when(F.col("own").isNotNull(), 1).otherwise(0))
-        .withColumn("against", strongest)
         .filter("opponents > 0")
+        .withColumn("against", F.greatest("other", inside))
         .select(
             ID,
             "opponents",
             F.col("against.member.id").alias("strongest_opponent"),
-            conflict_class(F.array_union("classes", "against.classes")).alias("conflict_type"),
+            conflict_class(F.col("profile").bitwiseOR(F.col("against.profile"))).alias("conflict_type"),
             resolution(
                 F.col("composite_score"), F.col("source.agent_type"),
                 F.col("against.member.composite_score"), F.col("against.member.agent"),
@@ -120,21 +126,19 @@ def resolution(score_a: Column, agent_a: Column, score_b: Column, agent_b: Colum
 
 def top_conflicts(recommendations: DataFrame, top: int = 20) -> DataFrame:
     """The conflicting pairs among the ``top`` best recommendations, a report of bounded size."""
-    rows = profiled(best(recommendations, top)).select(
-        F.col(ID).alias("id"), "title", "impact", "composite_score", F.col("source.agent_type").alias("agent"),
-        "classes", F.explode("sides").alias("tag"),
+    rows = stage(
+        profiled(best(recommendations, top)).select(
+            F.col(ID).alias("id"), "title", "composite_score", F.col("source.agent_type").alias("agent"), "profile"
+        )
     )
-
-    def facing(name: str, side: Column) -> DataFrame:
-        item = F.struct("id", "title", "impact", "composite_score", "agent", "classes").alias(name)
-        return rows.select(item, F.col("tag.pair").alias("pair"), side.alias("side"))
-
-    a, b = facing("a", F.col("tag.side")), facing("b", 1 - F.col("tag.side"))
-    pairs = a.join(b, ["pair", "side"]).filter("a.id < b.id").dropDuplicates(["a", "b"])
+    item = F.struct(*rows.columns)
+    a = rows.select(item.alias("a"), F.explode(_words_of("profile", OPPOSITE)).alias("word"))
+    b = rows.select(item.alias("b"), F.explode(_words_of("profile", list(range(len(WORDS))))).alias("word"))
+    pairs = a.join(b, "word").filter("a.id < b.id").dropDuplicates(["a", "b"])
     return pairs.select(
         F.col("a.id").alias("id_1"), F.col("a.agent").alias("agent_1"), F.col("a.title").alias("title_1"),
         F.col("b.id").alias("id_2"), F.col("b.agent").alias("agent_2"), F.col("b.title").alias("title_2"),
-        conflict_class(F.array_union("a.classes", "b.classes")).alias("conflict_type"),
+        conflict_class(F.col("a.profile").bitwiseOR(F.col("b.profile"))).alias("conflict_type"),
         resolution(F.col("a.composite_score"), F.col("a.agent"), F.col("b.composite_score"), F.col("b.agent"))
         .alias("resolution"),
     )

@@ -79,7 +79,7 @@ def landed(rows: DataFrame, kind: str) -> DataFrame:
         F.coalesce(text("event_timestamp"), text("timestamp")).alias("sent_at"),
         F.struct(*fields).alias("payload"),
         F.lit(None).cast("string").alias("raw_data"),
-        F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("event"),
+        F.struct(*[F.col(c) for c in rows.columns]).alias("event"),
     )
 
 
@@ -166,8 +166,10 @@ def valid_rows(validated: DataFrame) -> DataFrame:
 
 def invalid_rows(validated: DataFrame) -> DataFrame:
     """Quarantine rows: the event as it came and why it was refused."""
+    came_as_text = dict(validated.dtypes)["event"] == "string"
+    event = F.col("event") if came_as_text else F.to_json("event")  # only refused rows are serialised
     return validated.filter(F.size("errors") > 0).select(
-        "event_type", "event", F.array_join("errors", "; ").alias("error")
+        "event_type", event.alias("event"), F.array_join("errors", "; ").alias("error")
     )
 
 

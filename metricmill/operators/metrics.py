@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricmill.functions.quantiles import DISTINCT_BOUND, exact_quantiles
-from metricmill.functions.timeparts import bucket_start, days_before, in_period, instant, period_days
+from metricmill.functions.timeparts import bucket_start, days_before, in_period, instant
 
 TS = "event_timestamp"
 AGGREGATES = {
@@ -164,21 +164,29 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def column_summary(df: DataFrame, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
     """Row count, and min / max / mean / median / deviation of every numeric column.
 
-    Columns are unpivoted once; moments combine map-side and the median is an exact
-    quantile over (column, value) counts.
+    The moments are one aggregate of the frame as it stands. Only the exact medians
+    need the columns unpivoted, and those are reduced to (column, value) counts.
     """
     names = numeric_columns(df)
+    moments = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.count("*").alias("row_count"),
+                    F.count(c).alias("non_null"),
+                    F.min(c).cast("double").alias("min"),
+                    F.max(c).cast("double").alias("max"),
+                    F.avg(c).cast("double").alias("mean"),
+                    F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(c), F.lit(0.0))).alias("std"),
+                )
+                for c in names
+            ]
+        ).alias("rows")
+    ).select(F.inline("rows"))
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names]))
     )
-    moments = long.groupBy("column").agg(
-        F.count("*").alias("row_count"),
-        F.count("v").alias("non_null"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        F.avg("v").alias("mean"),
-        F.when(F.count("v") > 0, F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("std"),
-    )
     medians = exact_quantiles(long, ["column"], "v", {"median": 0.5}, distinct_bound)
     return moments.join(medians, "column", "left")
 
@@ -229,7 +237,3 @@ def rollup_series(events: DataFrame, keys: Sequence[str | Column], value: str |
         .agg(aggregate(how, value).cast("double").alias("value"))
         .filter(F.col("value").isNotNull())
     )
-
-
-def period_length(period: str | float) -> float:
-    return period_days(period)
