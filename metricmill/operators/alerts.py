@@ -27,7 +27,7 @@ def _recipients(names: Sequence[str]) -> Column:
 
 
 def _shown(number: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", number), F.lit("N/A"))
+    return F.when(number.isNull(), "N/A").otherwise(F.format_string("%.2f", number))
 
 
 def anomaly_alerts(

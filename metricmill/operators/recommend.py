@@ -188,7 +188,7 @@ def analysis_confidence(recommendations: DataFrame, metric_rows: DataFrame) -> D
     """
     means = recommendations.groupBy("domain").agg(F.avg("confidence").alias("mean"))
     quality = F.when(F.col("rows") < 10, 0.7).when(F.col("rows") < 50, 0.85).otherwise(1.0)
-    confidence = F.least(F.col("mean") * quality, F.lit(1.0))
+    confidence = F.when(F.col("mean").isNotNull(), F.least(F.col("mean") * quality, F.lit(1.0)))
     return metric_rows.join(means, "domain", "left").select(
         "domain", F.coalesce(confidence, F.lit(0.5)).alias("confidence")
     )

@@ -547,8 +547,8 @@ def metric_rows(spark, root):
 @query(
     "analysis_confidence",
     over(
-        """SELECT domain, coalesce(least(c * CASE WHEN rows < 10 THEN 0.7 WHEN rows < 50 THEN 0.85 ELSE 1.0 END, 1.0), 0.5)
-                    AS confidence
+        """SELECT domain, CASE WHEN c IS NULL THEN 0.5 ELSE
+                    least(c * CASE WHEN rows < 10 THEN 0.7 WHEN rows < 50 THEN 0.85 ELSE 1.0 END, 1.0) END AS confidence
            FROM m LEFT JOIN (SELECT domain, avg(confidence) AS c FROM r GROUP BY 1) USING (domain)""",
         "sales_events", "revenue_events", "customer_events", r=RECS, m=METRIC_ROWS.replace(
             "UNION ALL SELECT 'marketing', 12", ""),
