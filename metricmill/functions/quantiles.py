@@ -9,6 +9,8 @@ bucket holds the wanted rank, and only that bucket is sorted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,43 +36,71 @@ def _widest(counted: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("d")).first()[0] or 0
 
 
-def _values_at_ranks(counted: DataFrame, keys: list[str], targets: Column, wide: bool) -> DataFrame:
-    """Rows (keys, n, name, v): the value at each 0-based ascending rank.
+def _bucket(cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda cut: cut < F.col("v")))
+
+
+def _cut_points() -> Column:
+    """Sketched cut points. They decide how work is split, never the result."""
+    return F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
 
-    ``targets`` is an array of (name, rank) built from ``n``. Cut points come from a
-    sketch, but only decide how the work is split: the counts per bucket are exact.
+
+def _values_at_ranks(counted: DataFrame, keys: list[str], targets: Column) -> DataFrame:
+    """Rows (keys, n, name, v): the value at each 0-based ascending rank of every key.
+
+    ``targets`` is an array of (name, rank) built from ``n``.
     """
-    by_key = counted.withColumn("g", F.struct(*keys) if keys else F.struct(F.lit(0).alias("one")))
-    totals = by_key.groupBy("g").agg(
-        F.sum("cnt").alias("n"),
-        (
-            F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
-            if wide
-            else F.array().cast("array<double>")
-        ).alias("cuts"),
-    )
-    below = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
-    placed = by_key.join(totals.select("g", "cuts"), "g").select("g", "v", "cnt", below.alias("b"))
+    totals = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"), _cut_points().alias("cuts"))
+    placed = counted.join(totals.select(*keys, "cuts"), keys).withColumn("b", _bucket(F.col("cuts"))).drop("cuts")
 
-    up_to = Window.partitionBy("g").orderBy("b")
+    up_to = Window.partitionBy(*keys).orderBy("b")
     histogram = (
-        placed.groupBy("g", "b")
+        placed.groupBy(*keys, "b")
         .agg(F.sum("cnt").alias("size"))
         .withColumn("end", F.sum("size").over(up_to))
         .withColumn("start", F.col("end") - F.col("size"))
     )
-    wanted = totals.select("g", "n", F.explode(targets).alias("t")).select("g", "n", "t.name", "t.rank")
-    located = histogram.join(wanted, "g").filter("start <= rank AND rank < end")
-    located = located.select("g", "b", "n", "name", (F.col("rank") - F.col("start")).alias("offset"))
+    wanted = totals.select(*keys, "n", F.inline(targets))
+    located = histogram.join(wanted, keys).filter("start <= rank AND rank < end")
+    located = located.select(*keys, "b", "n", "name", (F.col("rank") - F.col("start")).alias("offset"))
 
-    inside = Window.partitionBy("g", "b").orderBy("v")
+    inside = Window.partitionBy(*keys, "b").orderBy("v")
     ordered = (
-        placed.join(located.select("g", "b").distinct(), ["g", "b"], "left_semi")
+        placed.join(located.select(*keys, "b").distinct(), [*keys, "b"], "left_semi")
         .withColumn("hi", F.sum("cnt").over(inside))
         .withColumn("lo", F.col("hi") - F.col("cnt"))
     )
-    hit = ordered.join(located, ["g", "b"]).filter("lo <= offset AND offset < hi")
-    return hit.select(*[F.col(f"g.{k}").alias(k) for k in keys], "n", "name", "v")
+    hit = ordered.join(located, [*keys, "b"]).filter("lo <= offset AND offset < hi")
+    return hit.select(*keys, "n", "name", "v")
+
+
+def _values_of_frame(counted: DataFrame, distinct_bound: int, ranks_of) -> dict[str, float]:
+    """The same for the whole frame at once. ``ranks_of`` maps n to named ranks.
+
+    The driver sees n, the cut points and one count per bucket: at most a few hundred numbers.
+    """
+    size = counted.agg(F.sum("cnt").alias("n"), F.count("*").alias("d")).first()
+    if not size.n:
+        return {}
+    cuts = counted.agg(_cut_points()).first()[0] if size.d > distinct_bound else []
+    placed = counted.withColumn("b", _bucket(F.array(*[F.lit(c) for c in cuts]).cast("array<double>")))
+    histogram = {r.b: r.size for r in placed.groupBy("b").agg(F.sum("cnt").alias("size")).collect()}
+
+    offsets, start = [], 0
+    ranks = ranks_of(size.n)
+    for bucket in sorted(histogram):
+        end = start + histogram[bucket]
+        offsets += [(name, bucket, rank - start) for name, rank in ranks.items() if start <= rank < end]
+        start = end
+    inside = Window.partitionBy("b").orderBy("v")
+    ordered = placed.filter(F.col("b").isin({b for _, b, _ in offsets})).withColumn("hi", F.sum("cnt").over(inside))
+    found = ordered.agg(
+        *[
+            F.min(F.when((F.col("b") == bucket) & (F.col("hi") > offset), F.col("v"))).alias(name)
+            for name, bucket, offset in offsets
+        ]
+    ).first()
+    return found.asDict()
 
 
 def exact_quantiles(
@@ -89,6 +119,8 @@ def exact_quantiles(
         return counted.groupBy(*keys).agg(
             *[F.percentile("v", F.lit(p), F.col("cnt")).alias(name) for name, p in probs.items()]
         )
+    if not keys:
+        return _whole_frame_quantiles(counted, probs, distinct_bound)
 
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("n") - 1)
@@ -100,7 +132,7 @@ def exact_quantiles(
             for side, rank in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    picked = _values_at_ranks(counted, keys, targets, wide=True)
+    picked = _values_at_ranks(counted, keys, targets)
 
     def at(name: str, side: str) -> Column:
         return F.max(F.when(F.col("name") == f"{name}.{side}", F.col("v")))
@@ -113,21 +145,27 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(*columns)
 
 
+def _whole_frame_quantiles(counted: DataFrame, probs: dict[str, float], distinct_bound: int) -> DataFrame:
+    shares = {}
+
+    def ranks_of(n: int) -> dict[str, int]:
+        ranks = {}
+        for name, p in probs.items():
+            position = p * (n - 1)
+            shares[name] = position - math.floor(position)
+            ranks |= {f"{name}.lo": math.floor(position), f"{name}.hi": math.ceil(position)}
+        return ranks
+
+    at = _values_of_frame(counted, distinct_bound, ranks_of)
+    row = [at[f"{n}.lo"] + (at[f"{n}.hi"] - at[f"{n}.lo"]) * shares[n] if at else None for n in probs]
+    return counted.sparkSession.createDataFrame([row], ", ".join(f"{n} double" for n in probs))
+
+
 def values_from_top(
     df: DataFrame, value: str, shares: dict[str, float], distinct_bound: int = DISTINCT_BOUND
-) -> DataFrame:
-    """One row: for each share q the value at index floor(q*n) of a descending order."""
-    counted = _counted(df, [], value)
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.col("n") - 1 - F.floor(F.lit(q) * F.col("n"))).cast("long").alias("rank"),
-            )
-            for name, q in shares.items()
-        ]
-    )
-    picked = _values_at_ranks(counted, [], targets, wide=_widest(counted, []) > distinct_bound)
-    return picked.agg(
-        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares]
-    )
+) -> dict[str, float]:
+    """For each share q the value at index floor(q*n) of a descending order; empty for no rows."""
+    def ranks_of(n: int) -> dict[str, int]:
+        return {name: n - 1 - math.floor(n * q) for name, q in shares.items()}
+
+    return _values_of_frame(_counted(df, [], value), distinct_bound, ranks_of)

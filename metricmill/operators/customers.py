@@ -70,13 +70,12 @@ def customer_value(customers: DataFrame, sales: DataFrame, as_of, days: float =
 
 
 def assign_value_segments(valued: DataFrame, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
-    """Segment by the revenue found 20 % and 60 % down the descending order."""
-    cuts = values_from_top(valued, "total_revenue", {"high": 0.2, "low": 0.6}, distinct_bound)
-    cut = cuts.select(F.struct("high", "low")).scalar()
+    """Segment by the revenue found 20 % and 60 % down the descending order: two numbers."""
+    cut = values_from_top(valued, "total_revenue", {"high": 0.2, "low": 0.6}, distinct_bound)
     return valued.withColumn(
         "segment",
-        F.when(F.col("total_revenue") >= cut["high"], "high_value")
-        .when(F.col("total_revenue") >= cut["low"], "medium_value")
+        F.when(F.col("total_revenue") >= F.lit(cut.get("high")), "high_value")
+        .when(F.col("total_revenue") >= F.lit(cut.get("low")), "medium_value")
         .otherwise("low_value"),
     )
 

@@ -17,6 +17,7 @@ from metricmill.operators import recommend as rec
 from metricmill.plans.catalog import EVENTS_AS_OF, SALES_AS_OF, over, query, within
 from metricmill.plans.series_queries import HOURLY, event_series
 from metricmill.plans.domain_queries import STREAMS
+from metricmill.session import stage
 from metricmill.sources import star
 
 VERBS = ["Reduce", "Increase", "Lower", "Raise", "Cut", "Invest in", "Decrease", "Grow", "Minimize", "Maximize", "Review"]
@@ -580,7 +581,7 @@ DAILY_COUNTS = f"""SELECT 'sales' AS domain, CAST(event_timestamp AS DATE) AS d,
     ),
 )
 def key_findings(spark, root):
-    rows = metric_rows(spark, root)
+    rows = stage(metric_rows(spark, root))
     series = rows.select(F.col("domain").alias("series_key"), F.col("date").cast("timestamp").alias("ts"), "value")
     odd = anomalies.z_score(series, 2.0).select(F.col("series_key").alias("domain"))
     return rec.key_findings(rows, odd)
@@ -644,17 +645,19 @@ def notification_stats(spark, root):
 
 def alert_measures(spark, root):
     """KPI measures the alert rules look at, one row each."""
-    week = metrics.rollup_series(
-        star.revenue_events(spark, root).filter(in_period("event_timestamp", SALES_AS_OF, 97)), [], "amount", "daily"
+    week = stage(
+        metrics.rollup_series(
+            star.revenue_events(spark, root).filter(in_period("event_timestamp", SALES_AS_OF, 97)), [], "amount", "daily"
+        )
     )
     before = week.filter(F.col("ts") < F.lit("2001-07-26").cast("timestamp"))
-    expected = fc.projected_totals(fc.forecast(before, 7, "linear")).select("series_key", "projected_total")
+    expected = fc.projected_totals(fc.forecast(before, 7, "linear")).select("projected_total")
     actual = week.filter(F.col("ts") >= F.lit("2001-07-26").cast("timestamp")).groupBy("series_key").agg(
         F.sum("value").alias("actual")
     )
-    gap = actual.join(expected, "series_key").select(
+    gap = actual.withColumn("expected", expected.scalar()).select(
         F.lit("revenue_vs_forecast_percent").alias("measure"),
-        ((F.col("actual") - F.col("projected_total")) / F.col("projected_total") * 100).alias("value"),
+        ((F.col("actual") - F.col("expected")) / F.col("expected") * 100).alias("value"),
     )
     events = star.customer_events(spark, root)
     recent = in_period("event_timestamp", EVENTS_AS_OF, 15)

@@ -71,9 +71,10 @@ def test_exact_quantiles_without_keys(spark, bound):
 def test_values_from_top_match_the_sorted_list(spark, bound, size):
     vs = [float(v) for v in np.random.default_rng(size).integers(0, 60, size)]
     df = spark.createDataFrame([(v,) for v in vs], "v double")
-    row = values_from_top(df, "v", {"high": 0.2, "low": 0.6}, distinct_bound=bound).first()
+    got = values_from_top(df, "v", {"high": 0.2, "low": 0.6}, distinct_bound=bound)
     ordered = sorted(vs, reverse=True)
-    assert (row.high, row.low) == (ordered[int(size * 0.2)], ordered[int(size * 0.6)])
+    assert got == {"high": ordered[int(size * 0.2)], "low": ordered[int(size * 0.6)]}
+    assert values_from_top(df.limit(0), "v", {"high": 0.2}, distinct_bound=bound) == {}
 
 
 def _integrated(t, df):
