@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from metricmill.session import stage
 
 BUCKETS = 256
+BLOCK = 16
 SKETCH_ACCURACY = 10_000
 DISTINCT_BOUND = 1_000_000
 
@@ -36,8 +37,22 @@ def _widest(counted: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("d")).first()[0] or 0
 
 
-def _bucket(cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut < F.col("v")))
+def _blocks() -> Column:
+    """Every 16th cut point, to look up the block of a value first."""
+    return F.filter("cuts", lambda _, i: (i + 1) % BLOCK == 0)
+
+
+def _with_bucket(rows: DataFrame) -> DataFrame:
+    """``b``: how many of the ascending ``cuts`` lie below v; first among the blocks, then inside one."""
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda cut: cut < F.col("v")))
+
+    start = F.col("block") * BLOCK
+    return (
+        rows.withColumn("block", below(F.col("block_cuts")))
+        .withColumn("b", start + below(F.slice("cuts", start + 1, F.lit(BLOCK - 1))))
+        .drop("block", "cuts", "block_cuts")
+    )
 
 
 def _cut_points() -> Column:
@@ -51,7 +66,7 @@ def _values_at_ranks(counted: DataFrame, keys: list[str], targets: Column) -> Da
     ``targets`` is an array of (name, rank) built from ``n``.
     """
     totals = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"), _cut_points().alias("cuts"))
-    placed = counted.join(totals.select(*keys, "cuts"), keys).withColumn("b", _bucket(F.col("cuts"))).drop("cuts")
+    placed = _with_bucket(counted.join(totals.select(*keys, "cuts", _blocks().alias("block_cuts")), keys))
 
     up_to = Window.partitionBy(*keys).orderBy("b")
     histogram = (
@@ -83,7 +98,8 @@ def _values_of_frame(counted: DataFrame, distinct_bound: int, ranks_of) -> dict[
     if not size.n:
         return {}
     cuts = counted.agg(_cut_points()).first()[0] if size.d > distinct_bound else []
-    placed = counted.withColumn("b", _bucket(F.array(*[F.lit(c) for c in cuts]).cast("array<double>")))
+    as_array = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    placed = _with_bucket(counted.withColumn("cuts", as_array).withColumn("block_cuts", _blocks()))
     histogram = {r.b: r.size for r in placed.groupBy("b").agg(F.sum("cnt").alias("size")).collect()}
 
     offsets, start = [], 0
