@@ -6,6 +6,7 @@ no read fails. Every step is a projection, so validating needs no shuffle.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -133,14 +134,16 @@ def _own(name: str) -> Column:
     return F.when(F.col("event_type").isin(owners), _typed(name))
 
 
-def validate(events: DataFrame, as_of, counters: Observation | str = "ingest") -> DataFrame:
+def validate(events: DataFrame, as_of, counters: Observation | str | None = None) -> DataFrame:
     """Adds ``record`` (typed fields), ``event_timestamp`` and ``errors`` (empty when valid).
 
     The event time is the one sent, else the payload's, else ``as_of``. Fields that do not
     belong to the event's type are left out of the record. Counts of received, processed
     and failed rows are observed on the way; the observation also keeps a later filter on
-    ``errors`` above the parsing, so that no row is parsed twice.
+    ``errors`` above the parsing, so that no row is parsed twice. ``counters`` receives the
+    counts, or names them in a stream's progress.
     """
+    counters = counters or f"ingest-{uuid.uuid4().hex}"
     when_sent = F.coalesce("t_sent", F.col(TYPED + "timestamp"), instant(as_of))
     ok = F.size("errors") == 0
     return (

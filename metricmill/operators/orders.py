@@ -53,11 +53,13 @@ def orders_to_events(orders: DataFrame) -> DataFrame:
         F.col("order_timestamp").alias("event_timestamp"),
         F.to_json(F.struct(*payload)).alias("data"),
     )
-    draw = F.pmod(F.xxhash64("order_id", F.lit("satisfaction")), F.lit(50))
+    digest = F.md5("order_id")
+    chosen = F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % 10 < 3
+    draw = F.conv(F.substring(digest, 8, 7), 16, 10).cast("int") % 50
     # Of the sampled orders a fifth gives no score; the others are 60 : 40 for 4 and 5.
     score = F.when(draw < 10, F.lit(None)).when(draw < 34, 4).otherwise(5)
     kind = F.when(F.col("order_status") == "completed", "purchase").otherwise("support")
-    visit = orders.filter(F.pmod(F.xxhash64("order_id"), F.lit(10)) < 3).select(
+    visit = orders.filter(chosen).select(
         F.concat(F.lit("evt_cust_"), "order_id").alias("event_id"),
         F.lit("customer").alias("event_type"),
         F.lit("customer").alias("domain"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricmill.functions import texts
+from metricmill.functions.scalars import rupiah
 from metricmill.operators import customers, operations, orders, revenue, sales
 from metricmill.plans.catalog import EVENTS_AS_OF, SALES_AS_OF, over, query, texts_case, within
 from metricmill.plans.metric_queries import DAILY_REVENUE, DAILY_STATS, daily_revenue
@@ -443,6 +444,34 @@ def popular_items(spark, root):
     return orders.popular_items(items.select(F.col("p_name").alias("name"), F.col("l_quantity").alias("quantity")))
 
 
-@query("orders_to_events")
+@query(
+    "orders_to_events",
+    over(
+        """SELECT 'evt_order_' || id AS event_id, 'sale' AS event_type, 'sales' AS domain, t AS event_timestamp,
+                  '{"order_id":"' || id || '","customer_id":"' || cust || '","channel":"' || channel
+                    || '","total_idr":' || total_idr || '}' AS data FROM o
+           UNION ALL
+           SELECT 'evt_cust_' || id, 'customer', 'customer', t,
+                  '{"customer_id":"' || cust || '","event_type":"' || CASE WHEN done THEN 'purchase' ELSE 'support' END
+                    || '"' || CASE WHEN draw < 10 THEN '' WHEN draw < 34 THEN ',"satisfaction_score":4'
+                    ELSE ',"satisfaction_score":5' END || '}'
+           FROM (SELECT *, CAST('0x' || substr(md5(id), 8, 7) AS INTEGER) % 50 AS draw FROM o)
+           WHERE CAST('0x' || substr(md5(id), 1, 7) AS INTEGER) % 10 < 3""",
+        o="""SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS cust, o_orderpriority AS channel,
+                    CAST(round(o_totalprice * 100) AS BIGINT) AS total_idr, o_orderstatus = 'F' AS done,
+                    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS t FROM orders""",
+    ),
+)
 def orders_to_events(spark, root):
     return orders.orders_to_events(shop_orders(spark, root))
+
+
+@query(
+    "order_amount_texts",
+    """SELECT o_orderkey AS order_id, 'Rp' || replace(format('{:,}', CAST(round(o_totalprice * 100) AS BIGINT)), ',', '.')
+              AS amount FROM orders""",
+)
+def order_amount_texts(spark, root):
+    return shop_orders(spark, root).select(
+        F.col("order_id").cast("bigint").alias("order_id"), rupiah(F.col("total_idr")).alias("amount")
+    )

@@ -349,6 +349,39 @@ def actions_created(spark, root):
     )
 
 
+@query(
+    "latest_actions",
+    recs_sql(
+        """SELECT 'act_' || substr(md5(concat_ws('_', recommendation_id, 'review', 'Line ' || l_linenumber, t)), 1, 12)
+                    AS action_id, recommendation_id, 'Line ' || l_linenumber AS description, t AS created_at
+           FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS t FROM lineitem JOIN r ON l_orderkey = k
+                 WHERE l_returnflag <> 'R') ORDER BY l_shipdate DESC, 1 LIMIT 10"""
+    ),
+)
+def latest_actions(spark, root):
+    created = actions.create_actions(action_requests(spark, root), recommendations(spark, root))
+    return actions.latest_actions(created).select("action_id", "recommendation_id", "description", "created_at")
+
+
+@query(
+    "actions_written_back",
+    recs_sql(
+        """SELECT recommendation_id, a.d AS action_taken, strftime(coalesce(a.t, created_at), '%Y-%m-%d %H:%M:%S') AS updated_at
+           FROM r LEFT JOIN (
+             SELECT recommendation_id, max(t) AS t, (max({'t': t, 'id': id, 'd': d})).d AS d
+             FROM (SELECT recommendation_id, l_shipdate AS t, 'Line ' || l_linenumber AS d,
+                          md5(concat_ws('_', recommendation_id, 'review', 'Line ' || l_linenumber,
+                                        strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')))[1:12] AS id
+                   FROM lineitem JOIN r ON l_orderkey = k WHERE l_returnflag <> 'R') GROUP BY 1) a
+           USING (recommendation_id)"""
+    ),
+)
+def actions_written_back(spark, root):
+    base = recommendations(spark, root)
+    made = actions.create_actions(action_requests(spark, root), base)
+    return actions.record_actions(base, made).select("recommendation_id", "action_taken", "updated_at")
+
+
 @query(
     "orphan_action_requests",
     """SELECT 'rec_lost_' || l_linestatus AS recommendation_id, count(*) AS requests

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricmill.operators import ingest
 
+COUNTERS = "ingest"
 BatchHook = Callable[[DataFrame, int], None]
 
 
@@ -26,7 +27,8 @@ def read_message_bus(spark: SparkSession, options: Mapping[str, str], max_messag
 
 def checked(messages: DataFrame, as_of=None) -> DataFrame:
     """Parsed and validated messages; the counters are read from the query's progress."""
-    return ingest.validate(ingest.parse_messages(messages), as_of if as_of is not None else F.current_timestamp())
+    now = as_of if as_of is not None else F.current_timestamp()
+    return ingest.validate(ingest.parse_messages(messages), now, COUNTERS)
 
 
 def start_ingest(
@@ -68,7 +70,7 @@ def ingest_counters(query: StreamingQuery) -> dict[str, int]:
     """Counters summed over the progress reports the query still holds."""
     totals = {"received": 0, "processed": 0, "failed": 0}
     for report in query.recentProgress:
-        row = report.observedMetrics.get("ingest")
+        row = report.observedMetrics.get(COUNTERS)
         for name in totals:
             totals[name] += row[name] if row else 0
     return totals

@@ -108,6 +108,18 @@ def test_batch_counts_stats_and_strict(spark):
     assert ingest.require_valid(ingest.validate(events.limit(3), AS_OF)).count() == 3
 
 
+def test_types_are_validated_apart_and_joined_after(spark):
+    person = {"customer_id": "c", "event_type": "login", "timestamp": "2024-01-06"}
+    frames = [
+        ingest.validate(landed_rows(spark, [item, {}], kind), AS_OF)
+        for kind, item in (("sale", GOOD_SALE), ("customer", person))
+    ]
+    good = [ingest.enrich(ingest.valid_rows(f), AS_OF) for f in frames]
+    assert sorted(r.domain for r in good[0].unionByName(good[1]).collect()) == ["customer", "sales"]
+    bad = [ingest.invalid_rows(f) for f in frames]
+    assert bad[0].unionByName(bad[1]).count() == 2
+
+
 def test_csv_blanks_and_column_order(spark, tmp_path):
     (tmp_path / "c.csv").write_text(
         "event_type,customer_id,nps_score,satisfaction_score,timestamp\nlogin,c1,,4,2024-01-06 10:00:00\nlogin,,3,4.0,1704537000\n"
