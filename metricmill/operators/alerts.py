@@ -16,7 +16,15 @@ ALERT_RULES = [
     ("revenue_concentration", "revenue", "largest_stream_percent", "above", 40.0),
 ]
 ANOMALY_TITLE = "🚨 Anomaly Detected: "
+ANOMALY_OPENING = "Anomaly detected in "
+ANOMALY_LABELS = ["Value: ", "Expected: ", "Deviation: ", "Severity: ", "Time: ", "Context: "]
 RECOMMENDATION_TITLE = "Recommendation: "
+UNTITLED = "New insight"
+NOTICE_LABELS = [
+    "Summary: ", "Description:", "Details:", "- Impact: ", "- Urgency: ", "- Effort: ", "- Confidence: ",
+    "Rationale:", "Affected Metrics:",
+]
+MISSING = "N/A"
 # ---- end of fixed values -------------------------------------------------------
 
 PRIORITIES = ["low", "medium", "high", "critical"]
@@ -27,7 +35,11 @@ def _recipients(names: Sequence[str]) -> Column:
 
 
 def _shown(number: Column) -> Column:
-    return F.when(number.isNull(), "N/A").otherwise(F.format_string("%.2f", number))
+    return F.when(number.isNull(), MISSING).otherwise(F.format_string("%.2f", number))
+
+
+def _labelled(label: str, text: Column) -> Column:
+    return F.concat(F.lit(label), text)
 
 
 def anomaly_alerts(
@@ -36,17 +48,18 @@ def anomaly_alerts(
     """One alert per anomaly; an unknown severity becomes medium priority."""
     name = F.lit(metric) if isinstance(metric, str) else metric
     level = F.coalesce("severity", F.lit("medium"))
+    value, expected, deviation, grade, time, context = ANOMALY_LABELS
     lines = [
-        F.concat(F.lit("Anomaly detected in "), name),
+        _labelled(ANOMALY_OPENING, name),
         F.lit(""),
-        F.concat(F.lit("Value: "), _shown(F.col("value"))),
-        F.concat(F.lit("Expected: "), _shown(F.col("expected_value"))),
-        F.concat(F.lit("Deviation: "), _shown(F.col("deviation"))),
-        F.concat(F.lit("Severity: "), F.upper(level)),
-        F.concat(F.lit("Time: "), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))),
+        _labelled(value, _shown(F.col("value"))),
+        _labelled(expected, _shown(F.col("expected_value"))),
+        _labelled(deviation, _shown(F.col("deviation"))),
+        _labelled(grade, F.upper(level)),
+        _labelled(time, F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(MISSING))),
     ]
     if "context" in anomalies.columns:
-        lines += [F.lit(""), F.concat(F.lit("Context: "), F.coalesce(F.to_json("context"), F.lit("{}")))]
+        lines += [F.lit(""), _labelled(context, F.coalesce(F.to_json("context"), F.lit("{}")))]
     return anomalies.select(
         F.lit(channel).alias("channel"),
         F.when(level.isin(PRIORITIES), level).otherwise("medium").alias("priority"),
@@ -62,29 +75,26 @@ def recommendation_notices(
     recommendations: DataFrame, recipients: Sequence[str] = (), priority: str = "medium"
 ) -> DataFrame:
     def part(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit("N/A"))
+        return F.coalesce(F.col(column), F.lit(MISSING))
 
+    summary, about, details, impact, urgency, effort, sure, why, touched = NOTICE_LABELS
     percent = F.format_string("%.0f%%", F.coalesce("confidence", F.lit(0.0)) * 100)
-    message = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Summary: "), part("title")),
-        F.lit(""),
-        F.lit("Description:"), part("description"),
-        F.lit(""),
-        F.lit("Details:"),
-        F.concat(F.lit("- Impact: "), part("impact")),
-        F.concat(F.lit("- Urgency: "), part("urgency")),
-        F.concat(F.lit("- Effort: "), part("effort")),
-        F.concat(F.lit("- Confidence: "), percent),
-        F.lit(""),
-        F.lit("Rationale:"), part("rationale"),
-        F.lit(""),
-        F.lit("Affected Metrics:"), F.array_join(F.coalesce("metrics_affected", F.array().cast("array<string>")), ", "),
-    )
+    names = F.array_join(F.coalesce("metrics_affected", F.array().cast("array<string>")), ", ")
+    blocks = [
+        [_labelled(summary, part("title"))],
+        [F.lit(about), part("description")],
+        [
+            F.lit(details), _labelled(impact, part("impact")), _labelled(urgency, part("urgency")),
+            _labelled(effort, part("effort")), _labelled(sure, percent),
+        ],
+        [F.lit(why), part("rationale")],
+        [F.lit(touched), names],
+    ]
+    message = F.concat_ws("\n\n", *[F.concat_ws("\n", *block) for block in blocks])
     return recommendations.select(
         F.lit("email").alias("channel"),
         F.lit(priority).alias("priority"),
-        F.concat(F.lit(RECOMMENDATION_TITLE), F.coalesce("title", F.lit("New insight"))).alias("title"),
+        F.concat(F.lit(RECOMMENDATION_TITLE), F.coalesce("title", F.lit(UNTITLED))).alias("title"),
         F.rtrim(message).alias("message"),
         _recipients(recipients).alias("recipients"),
         F.to_json(F.struct("recommendation_id")).alias("metadata"),

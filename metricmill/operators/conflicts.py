@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.functions.texts import CONFLICT_CLASSES, CONFLICT_OTHER, OPPOSING_WORDS
+from metricmill.functions.texts import CONFLICT_CLASSES, CONFLICT_OTHER, OPPOSING_WORDS, RESOLUTION
 from metricmill.operators.recommend import ID, best
 from metricmill.session import stage
 
@@ -121,7 +121,8 @@ def opponents(recommendations: DataFrame) -> DataFrame:
 def resolution(score_a: Column, agent_a: Column, score_b: Column, agent_b: Column) -> Column:
     """The higher score goes first; on equal scores the second."""
     winner = F.when(score_a > score_b, agent_a).otherwise(agent_b)
-    return F.concat(F.lit("Prioritize "), winner, F.lit(" recommendation due to higher priority score"))
+    before, after = RESOLUTION
+    return F.concat(F.lit(before), winner, F.lit(after))
 
 
 def top_conflicts(recommendations: DataFrame, top: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricmill.functions.quantiles import DISTINCT_BOUND, exact_quantiles
-from metricmill.functions.texts import BOTTLENECK_ACTION, DISRUPTION_ACTION
+from metricmill.functions.texts import BOTTLENECK_ACTION, DISRUPTION_ACTION, REORDER
 from metricmill.functions.timeparts import in_period, instant
 from metricmill.session import stage
 
@@ -35,7 +35,7 @@ def stockout_risk(
         .withColumn("risk_score", F.greatest(F.lit(0.0), 1 - left / days_ahead))
         .withColumn("urgency", F.when(left < 3, "high").otherwise("medium"))
         .withColumn(
-            "suggested_action", F.concat(F.lit("Reorder within "), left.cast("int").cast("string"), F.lit(" days"))
+            "suggested_action", F.concat(F.lit(REORDER[0]), left.cast("int").cast("string"), F.lit(REORDER[1]))
         )
         .orderBy(F.desc("risk_score"), "product_id")
     )
