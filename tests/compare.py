@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -75,7 +76,7 @@ def main() -> None:
     import __spark_entry__ as entry
     from metricmill.session import build_session
 
-    root = "/root/testdata/sf0.01"
+    root = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                                     "spark.driver.memory": "8g"})
