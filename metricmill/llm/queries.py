@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import mixing, simhash
+from metricmill.llm import bpe, mixing, simhash
 from metricmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,8 @@ FROM queued LEFT JOIN kept USING (doc_id)
 def mixing_sources(spark: SparkSession, root: str) -> DataFrame:
     mixed = mixing.mix(table(spark, root, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_byte_bpe")
+def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.digests(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
