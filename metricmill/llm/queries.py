@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, mixing, simhash
-from metricmill.llm.common import table
+from metricmill.llm import bpe, langid, mixing, simhash
+from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,12 @@ def mixing_sources(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_byte_bpe")
 def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.digests(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
