@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, langid, mixing, simhash
+from metricmill.llm import bpe, langid, mixing, simhash, surrogates
 from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.identify(docs, model).select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op3_pii_surrogates")
+def pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs, key="op3", marks=True)
