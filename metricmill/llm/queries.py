@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, langid, mixing, simhash, surrogates
+from metricmill.llm import bpe, langid, mixing, simhash, surrogates, toxicity
 from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,11 @@ def language_id(spark: SparkSession, root: str) -> DataFrame:
 def pii_surrogates(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return surrogates.pseudonymize(docs, key="op3", marks=True)
+
+
+@query("op4_toxicity")
+def toxic_texts(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    labels = table(spark, root, "labels").where(remainder("doc_id", 5) != 0)
+    found = toxicity.classify(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
