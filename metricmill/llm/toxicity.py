@@ -105,7 +105,7 @@ def fit(
     sample: int = 8_000,
     features: int = 3_000,
     least: int = 5,
-    penalty: float = 1.0,
+    penalty: float = 0.3,
     rounds: int = 300,
 ) -> Classifier:
     """Learn from the rows of ``docs`` that ``labels`` (ident, label 0 or 1) has a label for.
