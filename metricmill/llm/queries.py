@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, langid, mixing, simhash, surrogates, toxicity
+from metricmill.llm import bpe, collisions, langid, mixing, simhash, surrogates, toxicity, vptree
 from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,28 @@ def toxic_texts(spark: SparkSession, root: str) -> DataFrame:
     labels = table(spark, root, "labels").where(remainder("doc_id", 5) != 0)
     found = toxicity.classify(docs, toxicity.fit(docs, labels))
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, root, "embeddings"), cosine=0.95)
+
+
+NEAREST_SQL = """
+WITH good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+    FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op2_nearest_neighbours", NEAREST_SQL)
+def nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    base = table(spark, root, "embeddings")
+    return vptree.nearest(base, base.where("vec_id % 50 = 0"), k=5, factor=1.0)
