@@ -21,7 +21,7 @@ from metricmill.llm.common import runs, slices
 from metricmill.llm.hashing import PerfectHash, Spans
 
 # Merged pre-tokens that a task remembers: the last so many, and as many before them.
-MEMORY = 250_000
+MEMORY = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -168,45 +168,60 @@ def vocabulary_keys(tokens: list[bytes]) -> np.ndarray:
     return Spans(np.frombuffer(b"".join(tokens), np.uint8))(stops - lengths, stops)
 
 
-def encode(docs: DataFrame, ranks: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+class Decoder:
+    """The bytes of token ids."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray, upto: np.ndarray) -> pa.Array:
+        """One value of bytes per list; list i holds the ids from upto[i] to upto[i + 1]."""
+        lengths = self.lengths[ids]
+        data = self.blob[runs(self.starts[ids], lengths)]
+        stops = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))[upto]
+        return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(data)])
+
+
+def encode(docs: DataFrame, ranks: str, ident: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """One row (ident, tokens) per row of ``docs``; tokens are the ids of the whole text, without special tokens.
 
-    ``ranks`` is the path of the rank file, read here once. Null and empty texts have no tokens; null and
+    ``ranks`` is the path of the rank file, read here once. With ``decoded`` a column of that name holds the
+    bytes that the ids stand for, as ``decode`` gives them. Null and empty texts have no tokens; null and
     repeated ids keep their rows; other columns are not read. An empty table gives an empty result.
     """
-    encoder = Encoder(read_ranks(ranks))
+    vocabulary = read_ranks(ranks)
+    encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 2_000_000):
+        for batch in slices(batches, "__text", 1_000_000):
             ids, upto = encoder.encode(batch.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["__id", "tokens"])
+            made = [batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))]
+            names = ["__id", "tokens"]
+            if decoded:
+                made, names = [*made, decoder.decode(ids, upto)], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(made, names=names)
 
     rows = docs.select(F.col(ident).alias("__id"), F.col(text).cast("string").alias("__text"))
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__id {kind}, tokens array<int>").withColumnRenamed("__id", ident)
+    schema = f"__id {kind}, tokens array<int>" + ", decoded binary" * decoded
+    return rows.mapInArrow(run, schema).withColumnRenamed("__id", ident)
 
 
 def decode(encoded: DataFrame, ranks: str, tokens: str = "tokens") -> DataFrame:
     """``encoded`` with a column ``decoded``: the bytes its token ids stand for (empty for null)."""
-    vocabulary = read_ranks(ranks)
+    decoder = Decoder(read_ranks(ranks))
     at = encoded.columns.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = np.frombuffer(b"".join(vocabulary), np.uint8)
-        lengths = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        starts = np.cumsum(lengths) - lengths
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 lists = batch.column(at)
-                counts = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                data = blob[runs(starts[ids], lengths[ids])].tobytes()
-                stops = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[ids])))
-                ends = stops[np.cumsum(counts)]
-                begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-                made = pa.array([data[a:b] for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+                made = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), upto)
                 yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
@@ -215,8 +230,7 @@ def decode(encoded: DataFrame, ranks: str, tokens: str = "tokens") -> DataFrame:
 
 def digests(docs: DataFrame, ranks: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again, and both summed up."""
-    both = decode(encode(docs, ranks, ident, text), ranks)
-    return both.select(
+    return encode(docs, ranks, ident, text, decoded=True).select(
         ident,
         F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -111,8 +111,8 @@ def embedding_near_dedup(spark: SparkSession, root: str) -> DataFrame:
 NEAREST_SQL = """
 WITH good AS (
     SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id,
            list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score

@@ -98,7 +98,10 @@ def nearest(
     left = left.join(widths, F.size("v") == F.col("width"))
     left = left.select("id", "v", "width", F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"))
     right = right.join(widths, F.size("v") == F.col("width"))
-    right = right.select("id", "v", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)
+    right = right.select(
+        F.col("id").alias("asked_id"), F.col("v").alias("asked"), F.col("width").alias("asked_width"), F.explode(every).alias("asked_shard")
+    )
 
     def search(key, held: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -114,7 +117,7 @@ def nearest(
         grouped = np.argsort(which, kind="stable")
         begins = np.searchsorted(which[grouped], np.arange(len(first) + 1))
         tree = Tree(unit(x[first]))
-        q, names = matrix(asked["v"], width), asked["id"].to_numpy()
+        q, names = matrix(asked["asked"], width), asked["asked_id"].to_numpy()
         out = []
         for at in range(0, len(q), query_rows):
             part, own = q[at: at + query_rows], names[at: at + query_rows]
@@ -132,7 +135,7 @@ def nearest(
         query_id, vec_id, score = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query_id": query_id, "vec_id": vec_id, "score": score})
 
-    met = left.groupBy("width", "shard").cogroup(right.groupBy("width", "shard"))
+    met = left.groupBy("width", "shard").cogroup(right.groupBy("asked_width", "asked_shard"))
     hits = met.applyInArrow(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     # A query has about k rows from each shard here.
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
