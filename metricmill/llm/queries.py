@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, collisions, langid, mixing, simhash, surrogates, toxicity, vptree
+from metricmill.llm import bpe, collisions, columns, langid, mixing, simhash, surrogates, toxicity, vptree
 from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,15 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
     base = table(spark, root, "embeddings")
     return vptree.nearest(base, base.where("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
+@query("op10_suffix_columns")
+def suffix_columns(spark: SparkSession, root: str) -> DataFrame:
+    found = columns.repeats(table(spark, root, "documents"), width=400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
