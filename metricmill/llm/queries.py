@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, collisions, columns, langid, mixing, simhash, surrogates, toxicity, vptree
+from metricmill.llm import bpe, collisions, columns, langid, mixing, simhash, suffixtree, surrogates, toxicity, vptree
 from metricmill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def suffix_columns(spark: SparkSession, root: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op7_suffix_tree")
+def suffix_tree(spark: SparkSession, root: str) -> DataFrame:
+    return suffixtree.score(table(spark, root, "documents"), remainder("doc_id", 5) == 1)
