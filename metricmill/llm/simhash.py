@@ -97,7 +97,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
             )
             looked_up = looked_up.union(base.selectExpr("id", "x", f"explode({flips})", "true"))
     met = looked_up.join(segments, "key").where(
-        f"bit_count(p ^ x) between 1 and {max_bits} and (flipped or p < x)"
+        f"if(flipped, bit_count(p ^ x) = 2, bit_count(p ^ x) between 1 and {max_bits} and p < x)"
     )
     return met.select("a", F.col("id").alias("b"))
 
