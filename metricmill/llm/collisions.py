@@ -38,7 +38,7 @@ class Plan:
 
     def __init__(self, cosine: float, width: int, rows: int, seed: int = 7):
         spread = math.sqrt(max(2 - 2 * cosine, 1e-12))
-        self.cosine, self.width = cosine, width
+        self.cosine, self.width, self.spread = cosine, width, spread
         # The window: two-sided normal quantile for HIT, by bisection.
         low, high = 0.0, 10.0
         for _ in range(60):
@@ -84,9 +84,10 @@ class Plan:
         rows = np.argsort(a[:, 0], kind="stable")
         for at in range(0, len(rows), 128):
             own = rows[at: at + 128]
-            # Rows are sorted by their first projection, so a run of queries shares one window there.
-            low = np.searchsorted(b[:, 0], a[own[0], 0] - self.window)
-            high = np.searchsorted(b[:, 0], a[own[-1], 0] + self.window, side="right")
+            # A pair may miss on the first projection and pass the count; no pair at the threshold is six
+            # spreads apart. Rows are sorted there, so a run of queries shares one stretch of candidates.
+            low = np.searchsorted(b[:, 0], a[own[0], 0] - 6 * self.spread)
+            high = np.searchsorted(b[:, 0], a[own[-1], 0] + 6 * self.spread, side="right")
             if low == high:
                 continue
             seen = np.zeros((len(own), high - low), np.uint8)

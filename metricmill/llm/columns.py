@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.llm.common import runs, slices
+from metricmill.llm.common import in_place, runs, slices
 from metricmill.llm.hashing import Spans
 from metricmill.session import stage
 
@@ -136,10 +136,10 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
     spans are the maximal runs (start, stop) of UTF-8 bytes covered by strings of ``width`` bytes that also
     start anywhere else in the table, the same text included; kept are the remaining bytes. Null counts as
     empty text; texts shorter than ``width`` have no spans; repeated rows and null ids are documents like any
-    other. Rows are told apart by their place in the input, so ``docs`` should be read from files or be
-    checkpointed. An empty table gives an empty result.
+    other. Rows are told apart by their place in the input: ``docs`` is best read
+    from files, and is checkpointed if its plan shuffles. An empty table gives an empty result.
     """
-    rows = docs.select(
+    rows = in_place(docs).select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(f"`{ident}`").alias("id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"),

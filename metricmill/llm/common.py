@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricmill.session import stage
+
 # What separates words: the space and the characters 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +25,15 @@ def remainder(ident: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")), F.lit(0)) % modulus
 
 
+def in_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with rows that keep their places when they are read again.
+
+    Files are read alike each time; rows that went through a shuffle are checkpointed.
+    """
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return stage(docs) if "Exchange" in plan else docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one slice hold about ``limit`` bytes.
 

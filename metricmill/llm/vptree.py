@@ -115,6 +115,9 @@ def nearest(
         _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
         which = which.ravel()
         grouped = np.argsort(which, kind="stable")
+        once = np.ones(len(grouped), bool)
+        once[1:] = (np.diff(which[grouped]) != 0) | (np.diff(ids[grouped]) != 0)
+        grouped = grouped[once]
         begins = np.searchsorted(which[grouped], np.arange(len(first) + 1))
         tree = Tree(unit(x[first]))
         q, names = matrix(asked["asked"], width), asked["asked_id"].to_numpy()
