@@ -35,15 +35,37 @@ BETWEEN = {"satisfaction_score": (1, 5), "nps_score": (0, 10)}
 # ---- end of fixed values -------------------------------------------------------
 
 
-def parse_time(text: Column) -> Column:
-    """ISO text (``Z`` allowed) or Unix seconds; null when it is neither."""
-    number = text.rlike(r"^\s*-?\d+(\.\d+)?\s*$")
-    seconds = F.timestamp_micros((text.try_cast("double") * 1_000_000).cast("bigint"))
-    return F.when(number, seconds).otherwise(F.try_to_timestamp(text))
+# The years 1 to 9999 in Unix seconds.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
+DIGITS = r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"
+
+
+def parse_time(text: Column, quoted: Column | None = None) -> Column:
+    """ISO text (``Z`` allowed) or Unix seconds of the years 1 to 9999; null when it is neither.
+
+    ``quoted`` tells that the value was text in a JSON message: digits in quotes are not a time.
+    """
+    number = text.rlike(DIGITS)
+    seconds = text.try_cast("double")
+    if quoted is not None:
+        seconds = F.when(~F.coalesce(quoted, F.lit(False)), seconds)
+    inside = F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds)
+    return F.when(number, F.timestamp_micros((inside * 1_000_000).cast("bigint"))).otherwise(F.try_to_timestamp(text))
+
+
+def _in_quotes(text: Column, value: Column, path: Column) -> Column:
+    """Whether a JSON message gives the value at a path as text; looked up for digits only.
+
+    In a message that is not strict JSON the digits count as text.
+    """
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    return F.when(value.rlike(DIGITS), F.coalesce(kind == "STRING", F.lit(True))).otherwise(F.lit(False))
 
 
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text to (event_type, declared, sent_at, payload, raw_data).
+    """JSON text to (event_type, declared, sent_at, payload, raw_data, sent_quoted, stamp_quoted).
 
     The payload is the ``data`` object, or the whole message when there is none. Text
     that is not JSON is kept in ``raw_data`` and goes on as a system event.
@@ -60,13 +82,24 @@ def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
         payload.alias("payload"),
         F.when(F.col("m._bad").isNotNull() | F.col("m").isNull(), text).alias("raw_data"),
         text.alias("event"),
-    )
+        _in_quotes(text, F.col("m.event_timestamp"), F.lit("$.event_timestamp")).alias("named_quoted"),
+        _in_quotes(text, F.col("m.timestamp"), F.lit("$.timestamp")).alias("plain_quoted"),
+        _in_quotes(text, payload["timestamp"], F.lit("$.data.timestamp")).alias("data_quoted"),
+        F.col("m.event_timestamp").isNotNull().alias("named"),
+        F.coalesce(nested, F.lit(False)).alias("nested"),
+    ).withColumns(
+        {
+            "sent_quoted": F.when(F.col("named"), F.col("named_quoted")).otherwise(F.col("plain_quoted")),
+            "stamp_quoted": F.when(F.col("nested"), F.col("data_quoted")).otherwise(F.col("plain_quoted")),
+        }
+    ).drop("named_quoted", "plain_quoted", "data_quoted", "named", "nested")
 
 
 def landed(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of one known type with text (or typed) columns, in the shape of parsed messages.
 
-    A blank cell is a null; a column the source lacks is null throughout.
+    A blank cell is a null; a column the source lacks is null throughout. Cells have no quotes, so
+    digits in a time column are Unix seconds.
     """
     def text(name: str) -> Column:
         if name not in rows.columns:
@@ -81,6 +114,8 @@ def landed(rows: DataFrame, kind: str) -> DataFrame:
         F.struct(*fields).alias("payload"),
         F.lit(None).cast("string").alias("raw_data"),
         F.struct(*[F.col(c) for c in rows.columns]).alias("event"),
+        F.lit(False).alias("sent_quoted"),
+        F.lit(False).alias("stamp_quoted"),
     )
 
 
@@ -88,11 +123,13 @@ def _typed(name: str) -> Column:
     text = F.col(f"payload.{name}")
     kind = FIELDS[name]
     if name == "timestamp":
-        return parse_time(text)
+        return parse_time(text, F.col("stamp_quoted"))
     if isinstance(kind, T.IntegerType):
         number = text.try_cast("double")
         return F.when(number == F.floor(number), number.try_cast("int"))
-    return text.try_cast(kind)
+    value = text.try_cast(kind)
+    # NaN compares above every number and would pass the range rules; neither it nor infinity is an amount.
+    return F.when(F.abs(value) < float("inf"), value) if isinstance(kind, T.DoubleType) else value
 
 
 def _field_errors(name: str) -> list[Column]:
@@ -137,21 +174,23 @@ def _own(name: str) -> Column:
 def validate(events: DataFrame, as_of, counters: Observation | str | None = None) -> DataFrame:
     """Adds ``record`` (typed fields), ``event_timestamp`` and ``errors`` (empty when valid).
 
-    The event time is the one sent, else the payload's, else ``as_of``. Fields that do not
+    The event time is the one sent, else the payload's, else ``as_of``; ``given_time`` is null in the last
+    case. Fields that do not
     belong to the event's type are left out of the record. Counts of received, processed
     and failed rows are observed on the way; the observation also keeps a later filter on
     ``errors`` above the parsing, so that no row is parsed twice. ``counters`` receives the
     counts, or names them in a stream's progress.
     """
     counters = counters or f"ingest-{uuid.uuid4().hex}"
-    when_sent = F.coalesce("t_sent", F.col(TYPED + "timestamp"), instant(as_of))
+    given = F.coalesce("t_sent", F.col(TYPED + "timestamp"))
     ok = F.size("errors") == 0
     return (
-        events.withColumns({TYPED + name: _own(name) for name in FIELDS} | {"t_sent": parse_time(F.col("sent_at"))})
+        events.withColumns({TYPED + name: _own(name) for name in FIELDS} | {"t_sent": parse_time(F.col("sent_at"), F.col("sent_quoted"))})
         .withColumn("errors", _errors())
         .select(
             "event_type", "raw_data", "event", "errors",
-            when_sent.alias("event_timestamp"),
+            F.coalesce(given, instant(as_of)).alias("event_timestamp"),
+            given.alias("given_time"),
             F.struct(*[F.col(TYPED + name).alias(name) for name in FIELDS]).alias("record"),
         )
         .observe(
@@ -201,7 +240,7 @@ def require_valid(validated: DataFrame) -> DataFrame:
 
 
 def event_id(kind: Column, when: Column, content: Column) -> Column:
-    """Deterministic id: the same type, time and content give the same id."""
+    """Deterministic id: the same type, own time (null if none came) and content give the same id."""
     return F.concat(
         F.lit("evt_"), F.substring(F.md5(F.concat_ws("_", kind, when.cast("string"), content)), 1, 16)
     )
@@ -220,7 +259,7 @@ def enrich(valid: DataFrame, ingested_at) -> DataFrame:
     score, nps = F.col(f"{r}satisfaction_score"), F.col(f"{r}nps_score")
     content = F.coalesce(F.col("raw_data"), F.to_json("record"))
     return valid.select(
-        event_id(F.col("event_type"), F.col("event_timestamp"), content).alias("event_id"),
+        event_id(F.col("event_type"), F.col("given_time"), content).alias("event_id"),
         "event_type",
         domain_of(F.col("event_type")).alias("domain"),
         "event_timestamp",

@@ -208,6 +208,40 @@ def customer_enrichment(spark, root):
     return ingest.silver(rows, "customer").drop("timestamp", "ingested_at")
 
 
+def odd_messages(events):
+    """Sales whose numbers and times are at the edge of what a message can hold."""
+    k = F.get_json_object("props", "$.k").cast("int") % 10
+    revenue = F.when(k == 0, '"NaN"').when(k == 1, '"Infinity"').when(k == 8, "1e400").otherwise("12.5")
+    quantity = F.when(k == 4, "1.5").when(k == 5, '""').when(k == 9, "99999999999").otherwise("2")
+    stamp = (
+        F.when(k == 2, "99999999999999999999").when(k == 3, '"2024"').when(k == 6, "1700000000.5")
+        .otherwise('"2024-01-05T10:00:00Z"')
+    )
+    body = F.format_string(
+        '{"customer_id":"c%d","product_id":"p","revenue":%s,"quantity":%s,"channel":"web","timestamp":%s}',
+        "user_id", revenue, quantity, stamp,
+    )
+    return events.select(F.format_string('{"event_type":"sale","data":%s}', body).alias("value"))
+
+
+ODD = "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS k FROM events"
+ODD_ERRORS = """CASE k WHEN 0 THEN 'revenue: not a valid double' WHEN 1 THEN 'revenue: not a valid double'
+    WHEN 2 THEN 'timestamp: not a valid timestamp' WHEN 3 THEN 'timestamp: not a valid timestamp'
+    WHEN 4 THEN 'quantity: not a valid int' WHEN 5 THEN 'quantity: not a valid int'
+    WHEN 8 THEN 'revenue: not a valid double' WHEN 9 THEN 'quantity: not a valid int' END"""
+
+
+@query(
+    "odd_message_errors",
+    f"""SELECT 'sale' AS event_type, {ODD_ERRORS} AS error, count(*) AS events FROM ({ODD})
+        WHERE k NOT IN (6, 7) GROUP BY 2""",
+)
+def odd_message_errors(spark, root):
+    """NaN, infinity, numbers beyond their type and digits in quotes are findings; nothing fails."""
+    parsed = ingest.parse_messages(odd_messages(star.table(spark, root, "events")))
+    return ingest.error_counts(ingest.validate(parsed, EVENTS_AS_OF))
+
+
 def event_stream(spark, root):
     star.pin_utc(spark)
     return spark.readStream.schema(star.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(root)
@@ -287,3 +321,18 @@ def csv_round_trip(spark, root):
     return ingest.silver(rows, "sale").groupBy("channel").agg(
         F.count("*").alias("events"), F.sum("total_value").alias("total_value")
     )
+
+
+@query(
+    "stream_odd_messages",
+    f"""SELECT CASE WHEN k IN (6, 7) THEN 'events' ELSE 'quarantine' END AS sink, {ODD_ERRORS} AS error, count(*) AS events
+        FROM ({ODD}) GROUP BY 1, 2""",
+)
+def stream_odd_messages(spark, root):
+    """The same through the stream: what is refused reaches quarantine and the stream goes on."""
+    base = scratch(spark, "stream-odd")
+    messages = odd_messages(event_stream(spark, root))
+    live.start_ingest(messages, base, f"{base}/checkpoint", EVENTS_AS_OF, window_seconds=None).awaitTermination()
+    good = spark.read.parquet(f"{base}/events").select(F.lit("events").alias("sink"), F.lit(None).cast("string").alias("error"))
+    bad = spark.read.parquet(f"{base}/quarantine").select(F.lit("quarantine").alias("sink"), "error")
+    return good.union(bad).groupBy("sink", "error").agg(F.count("*").alias("events"))
