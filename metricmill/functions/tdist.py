@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NORMAL_FROM = 1_000_000  # degrees of freedom from which t and normal tails agree to 1e-6
+# Terms of the continued fraction; it needs about the square root of the degrees of freedom.
+TERMS = 1_000_000
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -20,7 +21,8 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     c = np.ones_like(x)
     d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
     total = d
-    for m in range(1, 5000):
+    active = np.isfinite(x)
+    for m in range(1, TERMS):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -28,9 +30,21 @@ def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1.0 / safe(1.0 + term * d)
             c = safe(1.0 + term / c)
             total = total * c * d
-        if np.all(np.abs(c * d - 1.0) < 1e-15):
-            break
-    return total
+        if np.all(np.abs(c * d - 1.0)[active] < 1e-15):
+            return total
+    return np.where(np.abs(c * d - 1.0) < 1e-12, total, np.nan)  # not converged: no value
+
+
+def _half_step(a: np.ndarray) -> np.ndarray:
+    """lgamma(a + 1/2) - lgamma(a), by the asymptotic series at a + 12 and the recurrence down to a.
+
+    Subtracting two large logarithms would lose the digits that large arguments have in common.
+    """
+    z = a + 12.0
+    series = 0.5 * np.log(z) - 1 / (8 * z) + 1 / (192 * z**3) - 1 / (640 * z**5) + 17 / (14336 * z**7) - 31 / (18432 * z**9)
+    for k in range(12):
+        series = series - np.log((a + k + 0.5) / (a + k))
+    return series
 
 
 def two_sided(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
@@ -38,7 +52,7 @@ def two_sided(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
     square = np.minimum(t * t, 1e300)
     a, b = freedom / 2.0, np.full_like(freedom, 0.5)
     x, y = freedom / (freedom + square), square / (freedom + square)
-    gamma = np.array([math.lgamma(v + 0.5) - math.lgamma(v) for v in a]) - math.lgamma(0.5)
+    gamma = _half_step(a) - math.lgamma(0.5)
     with np.errstate(divide="ignore", invalid="ignore"):
         front = np.exp(gamma + a * np.log(x) + 0.5 * np.log(y))
     low_side = x < (a + 1.0) / (a + 2.5)
@@ -47,9 +61,7 @@ def two_sided(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
         front * _fraction(a, b, np.where(low_side, x, 0.0)) / a,
         1.0 - front * _fraction(b, a, np.where(low_side, 0.0, y)) / b,
     )
-    p = np.where(square == 0.0, 1.0, p)
-    normal = np.array([math.erfc(abs(v) / math.sqrt(2.0)) for v in t])
-    return np.where(freedom >= NORMAL_FROM, normal, np.clip(p, 0.0, 1.0))
+    return np.where(square == 0.0, 1.0, np.clip(p, 0.0, 1.0))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,7 +4,7 @@
 UPSELL_ACTION = "Offer bundle discount or premium product"
 DISRUPTION_ACTION = "Investigate supplier delays and consider alternative sources"
 BOTTLENECK_ACTION = "Review staffing, equipment, and processes"
-REORDER = ("Reorder within ", " days")
+REORDER = "Reorder within %d days"
 PRICING_REASON = "Low quantity sensitivity to price changes"
 
 VALUE_SEGMENTS = {
@@ -155,5 +155,5 @@ CONFLICT_CLASSES = [
     ("inventory", "inventory_optimization_trade_off"),
 ]
 CONFLICT_OTHER = "resource_allocation_conflict"
-RESOLUTION = ("Prioritize ", " recommendation due to higher priority score")
+RESOLUTION = "Prioritize %s recommendation due to higher priority score"
 # ---- end of fixed values -------------------------------------------------------

@@ -66,7 +66,7 @@ def action_states(log: DataFrame) -> DataFrame:
     )
 
 
-def latest_actions(actions: DataFrame, top: int = 10) -> DataFrame:
+def latest_actions(actions: DataFrame, top: int) -> DataFrame:
     return actions.orderBy(F.desc("created_at"), "action_id").limit(top)
 
 

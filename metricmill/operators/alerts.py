@@ -15,15 +15,35 @@ ALERT_RULES = [
     ("support_volume_spike", "customer", "support_volume_change_percent", "above", 50.0),
     ("revenue_concentration", "revenue", "largest_stream_percent", "above", 40.0),
 ]
-ANOMALY_TITLE = "🚨 Anomaly Detected: "
-ANOMALY_OPENING = "Anomaly detected in "
-ANOMALY_LABELS = ["Value: ", "Expected: ", "Deviation: ", "Severity: ", "Time: ", "Context: "]
-RECOMMENDATION_TITLE = "Recommendation: "
+ANOMALY_TITLE = "🚨 Anomaly Detected: %s"
+ANOMALY_MESSAGE = """Anomaly detected in %s
+
+Value: %s
+Expected: %s
+Deviation: %s
+Severity: %s
+Time: %s"""
+ANOMALY_CONTEXT = """
+
+Context: %s"""
+RECOMMENDATION_TITLE = "Recommendation: %s"
 UNTITLED = "New insight"
-NOTICE_LABELS = [
-    "Summary: ", "Description:", "Details:", "- Impact: ", "- Urgency: ", "- Effort: ", "- Confidence: ",
-    "Rationale:", "Affected Metrics:",
-]
+NOTICE_MESSAGE = """Summary: %s
+
+Description:
+%s
+
+Details:
+- Impact: %s
+- Urgency: %s
+- Effort: %s
+- Confidence: %s
+
+Rationale:
+%s
+
+Affected Metrics:
+%s"""
 MISSING = "N/A"
 # ---- end of fixed values -------------------------------------------------------
 
@@ -38,33 +58,25 @@ def _shown(number: Column) -> Column:
     return F.when(number.isNull(), MISSING).otherwise(F.format_string("%.2f", number))
 
 
-def _labelled(label: str, text: Column) -> Column:
-    return F.concat(F.lit(label), text)
-
-
 def anomaly_alerts(
     anomalies: DataFrame, metric: str | Column, recipients: Sequence[str] = (), channel: str = "email"
 ) -> DataFrame:
     """One alert per anomaly; an unknown severity becomes medium priority."""
     name = F.lit(metric) if isinstance(metric, str) else metric
     level = F.coalesce("severity", F.lit("medium"))
-    value, expected, deviation, grade, time, context = ANOMALY_LABELS
-    lines = [
-        _labelled(ANOMALY_OPENING, name),
-        F.lit(""),
-        _labelled(value, _shown(F.col("value"))),
-        _labelled(expected, _shown(F.col("expected_value"))),
-        _labelled(deviation, _shown(F.col("deviation"))),
-        _labelled(grade, F.upper(level)),
-        _labelled(time, F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(MISSING))),
+    shown = [
+        name, _shown(F.col("value")), _shown(F.col("expected_value")), _shown(F.col("deviation")), F.upper(level),
+        F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(MISSING)),
     ]
+    template = ANOMALY_MESSAGE
     if "context" in anomalies.columns:
-        lines += [F.lit(""), _labelled(context, F.coalesce(F.to_json("context"), F.lit("{}")))]
+        template += ANOMALY_CONTEXT
+        shown.append(F.coalesce(F.to_json("context"), F.lit("{}")))
     return anomalies.select(
         F.lit(channel).alias("channel"),
         F.when(level.isin(PRIORITIES), level).otherwise("medium").alias("priority"),
-        F.concat(F.lit(ANOMALY_TITLE), name).alias("title"),
-        F.concat_ws("\n", *lines).alias("message"),
+        F.format_string(ANOMALY_TITLE, name).alias("title"),
+        F.format_string(template, *shown).alias("message"),
         _recipients(recipients).alias("recipients"),
         F.to_json(F.struct(name.alias("metric"), "value", "score", "severity", "method")).alias("metadata"),
         F.col("ts").alias("timestamp"),
@@ -77,24 +89,16 @@ def recommendation_notices(
     def part(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit(MISSING))
 
-    summary, about, details, impact, urgency, effort, sure, why, touched = NOTICE_LABELS
     percent = F.format_string("%.0f%%", F.coalesce("confidence", F.lit(0.0)) * 100)
     names = F.array_join(F.coalesce("metrics_affected", F.array().cast("array<string>")), ", ")
-    blocks = [
-        [_labelled(summary, part("title"))],
-        [F.lit(about), part("description")],
-        [
-            F.lit(details), _labelled(impact, part("impact")), _labelled(urgency, part("urgency")),
-            _labelled(effort, part("effort")), _labelled(sure, percent),
-        ],
-        [F.lit(why), part("rationale")],
-        [F.lit(touched), names],
-    ]
-    message = F.concat_ws("\n\n", *[F.concat_ws("\n", *block) for block in blocks])
+    message = F.format_string(
+        NOTICE_MESSAGE, part("title"), part("description"), part("impact"), part("urgency"), part("effort"), percent,
+        part("rationale"), names,
+    )
     return recommendations.select(
         F.lit("email").alias("channel"),
         F.lit(priority).alias("priority"),
-        F.concat(F.lit(RECOMMENDATION_TITLE), F.coalesce("title", F.lit(UNTITLED))).alias("title"),
+        F.format_string(RECOMMENDATION_TITLE, F.coalesce("title", F.lit(UNTITLED))).alias("title"),
         F.rtrim(message).alias("message"),
         _recipients(recipients).alias("recipients"),
         F.to_json(F.struct("recommendation_id")).alias("metadata"),

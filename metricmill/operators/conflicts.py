@@ -121,11 +121,10 @@ def opponents(recommendations: DataFrame) -> DataFrame:
 def resolution(score_a: Column, agent_a: Column, score_b: Column, agent_b: Column) -> Column:
     """The higher score goes first; on equal scores the second."""
     winner = F.when(score_a > score_b, agent_a).otherwise(agent_b)
-    before, after = RESOLUTION
-    return F.concat(F.lit(before), winner, F.lit(after))
+    return F.format_string(RESOLUTION, winner)
 
 
-def top_conflicts(recommendations: DataFrame, top: int = 20) -> DataFrame:
+def top_conflicts(recommendations: DataFrame, top: int) -> DataFrame:
     """The conflicting pairs among the ``top`` best recommendations, a report of bounded size."""
     rows = stage(
         profiled(best(recommendations, top)).select(

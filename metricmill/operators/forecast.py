@@ -124,8 +124,8 @@ def seasonal_linear_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
 def forecast(series: DataFrame, periods: int = 7, method: str = "auto", strict: bool = False) -> DataFrame:
     """Forecast rows for every series of at least ten points.
 
-    ``strict`` fails the job on a shorter series instead of leaving it out. An unknown
-    method means linear. In auto mode each series goes to its own method; the reduced
+    A shorter series has its steps with method ``too_short`` and no values; ``strict`` fails the
+    job on it instead. An unknown method means linear. In auto mode each series goes to its own method; the reduced
     series are staged, so the facts are read once for both branches.
     """
     counted = indexed(series)
@@ -133,6 +133,7 @@ def forecast(series: DataFrame, periods: int = 7, method: str = "auto", strict:
         short = F.raise_error(F.lit(f"need at least {MIN_POINTS} data points for forecasting"))
         counted = counted.withColumn("n", F.when(F.col("n") >= MIN_POINTS, F.col("n")).otherwise(short.cast("long")))
     usable = counted.filter(F.col("n") >= MIN_POINTS)
+    short = _too_short(counted.filter(F.col("n") < MIN_POINTS), periods)
     if method == "auto":
         slope = F.regr_slope("value", "idx").over(whole())
         reach = F.max("value").over(whole()) - F.min("value").over(whole())
@@ -142,8 +143,14 @@ def forecast(series: DataFrame, periods: int = 7, method: str = "auto", strict:
             forecast_by(tagged.filter(F.col("method") == name).drop("method"), periods, name)
             for name in ("linear", "exponential_smoothing")
         ]
-        return parts[0].unionByName(parts[1])
-    return forecast_by(usable.select(KEY, "ts", "value"), periods, method)
+        return parts[0].unionByName(parts[1]).unionByName(short)
+    return forecast_by(usable.select(KEY, "ts", "value"), periods, method).unionByName(short)
+
+
+def _too_short(rows: DataFrame, periods: int) -> DataFrame:
+    """The steps ahead of series that are too short to be forecast, without values."""
+    fits = rows.withColumn("gap", F.lit(None).cast("double")).groupBy(KEY).agg(*_fit_metrics())
+    return _rows(_steps(fits, periods), F.lit(None).cast("double"), F.lit("too_short"))
 
 
 def forecast_by(series: DataFrame, periods: int, method: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Isolation forest over series values.
 
-Sampling and scoring are relational. Only growing a tree, on at most 256 sampled
-values, is a Python helper. In one dimension a tree is a step function of the value,
-so the forest is one sorted list of steps and scoring is a running sum over it.
+Scoring is relational. Only growing the trees of a series on sampled values is a Python
+helper. In one dimension a tree is a step function of the value, so the forest is one
+sorted list of steps and scoring is a running sum over it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from metricmill.operators.anomalies import anomaly_rows, severity
 from metricmill.operators.series import KEY, indexed, whole
 
-TREES = 100
-SAMPLE = 256
 EULER = 0.5772156649015329
 
 
@@ -53,36 +51,39 @@ def grow_tree(values: np.ndarray, seed: int) -> tuple[list[float], list[float]]:
     return starts, depths
 
 
-def isolation_forest(series: DataFrame, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Points in the highest ``contamination`` share of isolation scores, per series."""
-    rows = indexed(series).filter("n >= 4")
+def isolation_forest(
+    series: DataFrame, contamination: float = 0.1, seed: int = 42, trees: int = 100, sample: int = 256
+) -> DataFrame:
+    """Points in the highest ``contamination`` share of isolation scores, per series.
 
-    # Draw about two samples' worth per tree by hash, then keep exactly the sample size.
-    draw = F.pmod(F.xxhash64(KEY, "idx", F.col("tree"), F.lit(seed)), F.lit(1_000_000))
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n"))
-    trees = rows.select(KEY, "idx", "n", "value", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    drawn = trees.withColumn("draw", draw).filter(F.col("draw") < share * 1_000_000)
-    order = Window.partitionBy(KEY, "tree").orderBy("draw", "idx")
-    sample = drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE)
+    Each of ``trees`` trees is grown on ``sample`` values drawn from the series, as the algorithm has it; a
+    series is a roll-up, bounded by its calendar slots, so its trees are grown together.
+    """
+    rows = indexed(series).filter("n >= 4")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        key, tree = group[KEY].iloc[0], int(group["tree"].iloc[0])
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        key = group[KEY].iloc[0]
         values = group.sort_values("idx")["value"].to_numpy(dtype=float)
-        starts, depths = grow_tree(values, zlib.crc32(f"{seed}|{key}|{tree}".encode()))
-        # A step holds the change of path length at its start; the first leaf starts at -inf.
-        return pd.DataFrame({KEY: key, "value": starts, "step": np.diff(depths, prepend=0.0)})
+        found = []
+        for tree in range(trees):
+            mark = zlib.crc32(f"{seed}|{key}|{tree}".encode())
+            drawn = np.random.default_rng([mark, 1]).permutation(len(values))[:sample]
+            starts, depths = grow_tree(values[drawn], mark)
+            # A step holds the change of path length at its start; the first leaf starts at -inf.
+            found.append(pd.DataFrame({KEY: key, "value": starts, "step": np.diff(depths, prepend=0.0)}))
+        return pd.concat(found)
 
-    steps = sample.groupBy(KEY, "tree").applyInPandas(one, f"{KEY} string, value double, step double")
+    steps = rows.select(KEY, "idx", "value").groupBy(KEY).applyInPandas(grow, f"{KEY} string, value double, step double")
 
     # A value on a cut belongs to the left leaf, so rows precede the steps of equal value.
     running = Window.partitionBy(KEY).orderBy("value", "is_step").rowsBetween(Window.unboundedPreceding, 0)
     merged = rows.select(
         KEY, "idx", "n", "ts", "value", F.lit(0.0).alias("step"), F.lit(0).alias("is_step")
     ).unionByName(steps.withColumn("is_step", F.lit(1)), allowMissingColumns=True)
-    psi = F.least(F.lit(SAMPLE), F.col("n"))
+    psi = F.least(F.lit(sample), F.col("n"))
     usual = 2.0 * (F.log(psi - 1.0) + EULER) - 2.0 * (psi - 1.0) / psi
     scored = (
-        merged.withColumn("path", F.sum("step").over(running) / TREES)
+        merged.withColumn("path", F.sum("step").over(running) / trees)
         .filter("is_step = 0")
         .withColumn("score", F.pow(F.lit(2.0), -F.col("path") / usual))
         .withColumn("cut", F.percentile("score", F.lit(1.0 - contamination)).over(whole()))

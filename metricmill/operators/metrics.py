@@ -24,7 +24,7 @@ def aggregate(name: str, column: str | Column) -> Column:
     return AGGREGATES[name](column)
 
 
-def recent_events(events: DataFrame, as_of, hours: float = 24, limit: int = 1000, tie: Sequence[str] = ()) -> DataFrame:
+def recent_events(events: DataFrame, as_of, limit: int, hours: float = 24, tie: Sequence[str] = ()) -> DataFrame:
     """Newest events of the last hours. The limit is the size of the feed."""
     window = events.filter(in_period(TS, as_of, hours / 24))
     return window.orderBy(F.desc(TS), *tie).limit(limit)
@@ -199,9 +199,9 @@ def analytics_query(
     group_by: Sequence[str] = (),
     filters: Mapping[str, object] | None = None,
     aggregations: Sequence[str] = ("avg", "min", "max", "count"),
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Generic request: filter, group, aggregate; at most ``limit`` result rows."""
+    """Generic request: filter, group, aggregate; all groups, or the first ``limit`` in key order."""
     selected = events.filter(in_period(TS, as_of, period))
     for name, wanted in (filters or {}).items():
         column = F.col(name)
@@ -209,7 +209,7 @@ def analytics_query(
             column.isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else column == F.lit(wanted)
         )
     result = selected.groupBy(*group_by).agg(*[aggregate(a, metric).alias(a) for a in aggregations])
-    return result.orderBy(*group_by).limit(limit) if group_by else result
+    return result.orderBy(*group_by).limit(limit) if group_by and limit is not None else result
 
 
 def ingestion_stats(events: DataFrame, as_of, kind: str = "event_type", valid: Column | None = None) -> DataFrame:

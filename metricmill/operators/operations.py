@@ -35,7 +35,7 @@ def stockout_risk(
         .withColumn("risk_score", F.greatest(F.lit(0.0), 1 - left / days_ahead))
         .withColumn("urgency", F.when(left < 3, "high").otherwise("medium"))
         .withColumn(
-            "suggested_action", F.concat(F.lit(REORDER[0]), left.cast("int").cast("string"), F.lit(REORDER[1]))
+            "suggested_action", F.format_string(REORDER, left.cast("int"))
         )
         .orderBy(F.desc("risk_score"), "product_id")
     )

@@ -26,12 +26,12 @@ def channel_distribution(orders: DataFrame) -> DataFrame:
     return orders.groupBy("channel").agg(F.count("*").alias("orders"))
 
 
-def peak_hours(orders: DataFrame, top: int = 5) -> DataFrame:
+def peak_hours(orders: DataFrame, top: int) -> DataFrame:
     by_hour = orders.groupBy(F.hour("order_timestamp").alias("hour")).agg(F.count("*").alias("orders"))
     return by_hour.orderBy(F.desc("orders"), "hour").limit(top)
 
 
-def popular_items(items: DataFrame, top: int = 10) -> DataFrame:
+def popular_items(items: DataFrame, top: int) -> DataFrame:
     counts = items.groupBy("name").agg(F.sum("quantity").alias("quantity"))
     return counts.orderBy(F.desc("quantity"), "name").limit(top)
 

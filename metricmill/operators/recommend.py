@@ -118,7 +118,7 @@ def stakeholder_tier() -> Column:
     return F.when(any_of("executive", "ceo"), 0).when(any_of("manager", "director"), 1).otherwise(2)
 
 
-def prioritize(recommendations: DataFrame, strategy: str = "score_based", limit: int = 20) -> DataFrame:
+def prioritize(recommendations: DataFrame, strategy: str, limit: int) -> DataFrame:
     """The first ``limit`` by the chosen order; a top-k, never a full sort. Unknown strategies keep no order."""
     score = F.desc("composite_score")
     orders = {
@@ -131,7 +131,7 @@ def prioritize(recommendations: DataFrame, strategy: str = "score_based", limit:
     return recommendations.orderBy(*orders.get(strategy, []), ID).limit(limit)
 
 
-def ranked(recommendations: DataFrame, top: int = 20) -> DataFrame:
+def ranked(recommendations: DataFrame, top: int) -> DataFrame:
     """The top of all domains by urgency, then score, with its rank put in the tags.
 
     The ranking window covers the ``top`` rows that are left after the top-k.
@@ -246,9 +246,17 @@ def expire(recommendations: DataFrame, as_of, hours: float = 168) -> DataFrame:
     )
 
 
-def board(recommendations: DataFrame, limit: int = 50) -> DataFrame:
-    """Pending rows by urgency, best first: the top 2 x ``limit`` are spread over the levels."""
-    top = best(recommendations.filter(F.col("status") == "pending"), 2 * limit)
+def board(recommendations: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best pending rows of every urgency level, best first.
+
+    Ranked within slices of a level first, so that a level with a third of all rows is no single task.
+    """
+    order = [F.desc("composite_score"), F.asc(ID)]
+    pending = recommendations.filter(F.col("status") == "pending").withColumn("slice", F.pmod(F.xxhash64(ID), F.lit(64)))
+    in_slice = Window.partitionBy("urgency", "slice").orderBy(*order)
+    in_level = Window.partitionBy("urgency").orderBy(*order)
+    top = pending.withColumn("place", F.row_number().over(in_slice)).filter(F.col("place") <= limit)
+    top = top.withColumn("place", F.row_number().over(in_level)).filter(F.col("place") <= limit)
     entry = F.struct((-F.col("composite_score")).alias("order"), ID, "title", "domain")
     return top.groupBy("urgency").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
@@ -256,16 +264,21 @@ def board(recommendations: DataFrame, limit: int = 50) -> DataFrame:
 # -- extraction and cross-domain -------------------------------------------------
 
 
-def extract(analyses: DataFrame, max_items: int = 10, threshold: float = 0.7,
+def extract(analyses: DataFrame, max_items: int | None = None, threshold: float = 0.7,
             weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Recommendations out of text that holds a JSON object, scored, best first within a text.
+    """Recommendations out of text that holds a JSON object: all are scored, the confident ones returned.
 
-    At most ``max_items`` of one text are read, in text order; text without JSON gives none.
+    With ``max_items`` only so many of one text are, the best by score. Text without JSON gives none.
     """
     parsed = F.from_json(first_json(F.col("text")), EXTRACTED)["recommendations"]
-    items = analyses.select("analysis_id", "domain", F.inline(F.slice(parsed, 1, max_items)))
+    items = analyses.select("analysis_id", "domain", F.posexplode(parsed).alias("place", "item"))
+    items = items.select("analysis_id", "domain", "place", "item.*")
     score = composite_score(*[F.col(c) for c in ("confidence", "impact", "urgency", "effort")], weights)
-    return confident(items.withColumn("composite_score", score), threshold).withColumnRenamed("summary", "title")
+    good = confident(items.withColumn("composite_score", score), threshold)
+    if max_items is not None:  # a text's own items, as many as the text lists
+        best_first = Window.partitionBy("analysis_id").orderBy(F.desc("composite_score"), "place")
+        good = good.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= max_items).drop("rank")
+    return good.drop("place").withColumnRenamed("summary", "title")
 
 
 def domain_summary(recommendations: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ TS = "event_timestamp"
 
 def churn_risk(
     sales: DataFrame, as_of, customer_id=None, days: float = 90, low_value: float = 100.0,
-    keep_from: float = 0.5, top: int = 10,
+    keep_from: float = 0.5, *, top: int,
 ) -> DataFrame:
     """Customers whose purchase gap outgrows their usual interval; the ``top`` riskiest."""
     recent = sales.filter(in_period(TS, as_of, days))
@@ -53,8 +53,8 @@ def churn_risk(
     )
 
 
-def upsell_opportunities(sales: DataFrame, as_of, limit: int = 20, aov_cap: float = 500.0, days: float = 90) -> DataFrame:
-    """Frequent buyers of small baskets.
+def upsell_opportunities(sales: DataFrame, as_of, limit: int, aov_cap: float = 500.0, days: float = 90) -> DataFrame:
+    """Frequent buyers of small baskets; every one is scored, the ``limit`` best are returned.
 
     Reduced to (customer, product) first: that spreads a hot customer over all tasks
     and turns the distinct product count into a plain count.
@@ -73,8 +73,6 @@ def upsell_opportunities(sales: DataFrame, as_of, limit: int = 20, aov_cap: floa
         )
         .withColumn("avg_order_value", F.col("total_revenue") / F.col("purchase_count"))
         .filter((F.col("purchase_count") >= 3) & (F.col("avg_order_value") < aov_cap))
-        .orderBy(F.desc("purchase_count"), F.desc("total_revenue"), "customer_id")
-        .limit(limit * 2)
     )
     frequency = F.least(F.col("purchase_count") / 10, F.lit(1.0))
     headroom = 1 - F.least(F.col("avg_order_value") / aov_cap, F.lit(1.0))

@@ -20,9 +20,9 @@ OUTPUT = (
 ROUNDS = 4
 
 
-def _run(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray):
+def _run(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray, start_points: int):
     """One-step errors of all parameter sets at once; the loop is over time only."""
-    head = y[: min(10, len(y))]
+    head = y[: min(start_points, len(y))]
     slope, start = np.polyfit(np.arange(len(head)), head, 1)
     level = np.full_like(alpha, start - slope)
     growth = np.full_like(alpha, slope)
@@ -36,7 +36,7 @@ def _run(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray):
     return errors, level, growth
 
 
-def fit(y: np.ndarray):
+def fit(y: np.ndarray, start_points: int = 10):
     """Smallest squared error over a grid that is narrowed around the best point."""
     low, high = np.array([0.01, 0.01, 0.80]), np.array([0.99, 0.99, 0.995])
     box_low, box_high = low, high
@@ -44,7 +44,7 @@ def fit(y: np.ndarray):
     for _ in range(ROUNDS):
         axes = [np.linspace(a, b, 7) for a, b in zip(box_low, box_high)]
         alpha, beta, phi = (g.ravel() for g in np.meshgrid(*axes))
-        errors, level, growth = _run(y, alpha, beta, phi)
+        errors, level, growth = _run(y, alpha, beta, phi, start_points)
         sse = (errors**2).sum(axis=0)
         i = int(sse.argmin())
         if best is None or sse[i] < best[0]:
@@ -54,11 +54,13 @@ def fit(y: np.ndarray):
     return best
 
 
-def smoothing_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
+def smoothing_forecast(series: DataFrame, periods: int = 7, start_points: int = 10) -> DataFrame:
+    """Damped-trend forecasts. The line through the first ``start_points`` values gives the level and the
+    growth that the recursion starts from; all values take part in fitting the parameters."""
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         y = rows["value"].to_numpy(dtype=float)
-        _, (_, _, phi), errors, level, growth = fit(y)
+        _, (_, _, phi), errors, level, growth = fit(y, start_points)
         steps = np.arange(1, periods + 1)
         ahead = level + growth * np.cumsum(phi**steps)
         reach = 1.96 * errors.std()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricmill.session import prepared
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,7 +39,7 @@ def query(name: str, oracle: str | None = None):
     def add(run: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, root: portable(run(spark, root))
+        QUERIES[name] = lambda spark, root: portable(run(prepared(spark), root))
         if oracle is not None:
             ORACLES[name] = oracle
         return run

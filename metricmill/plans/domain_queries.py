@@ -41,7 +41,7 @@ Q = {
     ),
 )
 def churn_risk(spark, root):
-    return sales.churn_risk(star.sales_events(spark, root), SALES_AS_OF)
+    return sales.churn_risk(star.sales_events(spark, root), SALES_AS_OF, top=10)
 
 
 @query(
@@ -56,12 +56,11 @@ def churn_risk(spark, root):
         c=f"""SELECT customer_id, count(*) AS purchase_count, sum(revenue) AS total_revenue,
                      count(DISTINCT product_id) AS products_purchased, sum(revenue) / count(*) AS avg_order_value
               FROM sales_events WHERE {within(90)} GROUP BY 1
-              HAVING count(*) >= 3 AND sum(revenue) / count(*) < 60000
-              ORDER BY 2 DESC, 3 DESC, 1 LIMIT 40""",
+              HAVING count(*) >= 3 AND sum(revenue) / count(*) < 60000""",
     ),
 )
 def upsell_opportunities(spark, root):
-    return sales.upsell_opportunities(star.sales_events(spark, root), SALES_AS_OF, aov_cap=60000.0)
+    return sales.upsell_opportunities(star.sales_events(spark, root), SALES_AS_OF, 20, aov_cap=60000.0)
 
 
 @query(
@@ -430,7 +429,7 @@ def order_channel_distribution(spark, root):
 )
 def peak_event_hours(spark, root):
     events = star.table(spark, root, "events").filter("event_type = 'purchase'")
-    return orders.peak_hours(events.withColumnRenamed("ts", "order_timestamp"))
+    return orders.peak_hours(events.withColumnRenamed("ts", "order_timestamp"), 5)
 
 
 @query(
@@ -441,7 +440,7 @@ def peak_event_hours(spark, root):
 def popular_items(spark, root):
     lines, part = star.table(spark, root, "lineitem"), star.table(spark, root, "part")
     items = lines.join(part, lines.l_partkey == part.p_partkey)
-    return orders.popular_items(items.select(F.col("p_name").alias("name"), F.col("l_quantity").alias("quantity")))
+    return orders.popular_items(items.select(F.col("p_name").alias("name"), F.col("l_quantity").alias("quantity")), 10)
 
 
 @query(

@@ -183,7 +183,7 @@ for _name, _order in STRATEGIES.items():
 
     @query(f"prioritize_{_name}", strategy_sql(_order))
     def prioritized(spark, root, strategy=_name):
-        return rec.prioritize(recommendations(spark, root), strategy).select(*SHORT)
+        return rec.prioritize(recommendations(spark, root), strategy, 20).select(*SHORT)
 
 
 @query(
@@ -200,7 +200,7 @@ def cross_domain_ranking(spark, root):
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return rec.ranked(merged).select(*SHORT, F.col("tags")["orchestrator_rank"].alias("orchestrator_rank"))
+    return rec.ranked(merged, 20).select(*SHORT, F.col("tags")["orchestrator_rank"].alias("orchestrator_rank"))
 
 
 @query(
@@ -360,7 +360,7 @@ def actions_created(spark, root):
 )
 def latest_actions(spark, root):
     created = actions.create_actions(action_requests(spark, root), recommendations(spark, root))
-    return actions.latest_actions(created).select("action_id", "recommendation_id", "description", "created_at")
+    return actions.latest_actions(created, 10).select("action_id", "recommendation_id", "description", "created_at")
 
 
 @query(
@@ -431,12 +431,13 @@ def action_states(spark, root):
     recs_sql(
         """SELECT urgency, count(*) AS entries, string_agg(recommendation_id, '; ' ORDER BY composite_score DESC,
                   recommendation_id) AS ids
-           FROM (SELECT * FROM r WHERE status = 'pending' ORDER BY composite_score DESC, recommendation_id LIMIT 100)
+           FROM (SELECT * FROM r WHERE status = 'pending' QUALIFY row_number() OVER (
+                   PARTITION BY urgency ORDER BY composite_score DESC, recommendation_id) <= 50)
            GROUP BY 1"""
     ),
 )
 def recommendation_board(spark, root):
-    return rec.board(recommendations(spark, root)).select(
+    return rec.board(recommendations(spark, root), 50).select(
         "urgency", F.size("entries").cast("bigint").alias("entries"),
         F.transform("entries", lambda e: e["recommendation_id"]).alias("ids"),
     )
@@ -534,7 +535,7 @@ def conflict_opponents(spark, root):
     ),
 )
 def top_conflicts(spark, root):
-    return conflicts.top_conflicts(recommendations(spark, root)).drop("title_1", "title_2")
+    return conflicts.top_conflicts(recommendations(spark, root), 20).drop("title_1", "title_2")
 
 
 @query(

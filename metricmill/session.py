@@ -28,6 +28,14 @@ def build_session(app: str = "metricmill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """A borrowed session with the runtime settings of ``SQL_SETTINGS``."""
+    for key, value in SQL_SETTINGS.items():
+        if spark.conf.isModifiable(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Timestamps are read and compared in UTC; make a borrowed session agree."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -53,7 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder for one run's output."""
     base = shared_dir(spark)
-    return os.path.join(base, f"{label}-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}")
+    path = os.path.join(base, f"{label}-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}")
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context).deleteOnExit(folder)  # gone when the driver ends
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -22,18 +22,18 @@ def test_churn_scores_and_threshold(sale, rows):
         ("once", "p", "2024-01-20", 10, 1),
         ("old", "p", "2023-01-01", 10, 1), ("old", "p", "2023-01-02", 10, 1),
     )
-    got = rows(sales.churn_risk(df, AS_OF), "customer_id")
+    got = rows(sales.churn_risk(df, AS_OF, top=10), "customer_id")
     assert set(got) == {"same_day", "exact"}
     assert got["same_day"]["risk_score"] == pytest.approx(0.6)
     assert got["same_day"]["avg_interval_days"] == 0
     assert got["exact"]["risk_score"] == pytest.approx(0.5)
-    assert sales.churn_risk(df, AS_OF, customer_id="exact").count() == 1
+    assert sales.churn_risk(df, AS_OF, customer_id="exact", top=10).count() == 1
     assert sales.churn_risk(df, AS_OF, top=1).first().customer_id == "same_day"
 
 
 def test_upsell_counts_distinct_products(sale):
     df = sale(*[("a", f"p{i % 2}", "2024-03-01", 100, 1) for i in range(4)], ("b", "p", "2024-03-01", 100, 1))
-    row = sales.upsell_opportunities(df, AS_OF).collect()
+    row = sales.upsell_opportunities(df, AS_OF, 20).collect()
     assert [(r.customer_id, r.purchase_count, r.products_purchased) for r in row] == [("a", 4, 2)]
     assert row[0].opportunity_score == pytest.approx((0.4 + 0.8) / 2)
 
@@ -207,7 +207,12 @@ def test_key_filter_and_unknown_aggregate(sale):
 
 
 def test_order_analytics(spark):
-    from metricmill.schemas import ORDER
+    schema = (
+        "order_id string, customer_id string, store_id string, channel string, order_type string, "
+        "items array<struct<item_id: string, name: string, name_en: string, quantity: int, price: bigint>>, "
+        "subtotal bigint, tax bigint, fee bigint, total_idr bigint, payment string, order_status string, "
+        "order_timestamp timestamp, minutes int"
+    )
 
     def order(i, channel, status, hour, items, total):
         return (str(i), f"c{i}", "s1", channel, "delivery", items, total, 0, 0, total, "cash", status, None, 5), hour
@@ -219,13 +224,13 @@ def test_order_analytics(spark):
     ]
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([m for m, _ in made], ORDER)
+    df = spark.createDataFrame([m for m, _ in made], schema)
     stamps = F.create_map(*[F.lit(x) for i, (_, h) in enumerate(made) for x in (str(i + 1), h)])
     df = df.withColumn("order_timestamp", stamps[F.col("order_id")].cast("timestamp"))
     totals = orders.order_totals(df).first()
     assert (totals.total_revenue_idr, totals.total_orders, totals.average_order_value) == (120, 3, 40.0)
-    assert [(r.hour, r.orders) for r in orders.peak_hours(df).collect()] == [(12, 2), (18, 1)]
-    assert [(r.name, r.quantity) for r in orders.popular_items(orders.order_items(df)).collect()] == [("Teh", 5), ("Nasi", 3)]
+    assert [(r.hour, r.orders) for r in orders.peak_hours(df, 5).collect()] == [(12, 2), (18, 1)]
+    assert [(r.name, r.quantity) for r in orders.popular_items(orders.order_items(df), 10).collect()] == [("Teh", 5), ("Nasi", 3)]
     events = orders.orders_to_events(df)
     sale = events.filter("event_type = 'sale'")
     assert sale.count() == 3 and '"items":[{"item_id":"m1"' in sale.orderBy("event_id").first().data

@@ -188,8 +188,9 @@ def test_stream_equals_batch_and_restarts_without_repeats(spark, tmp_path):
         query.awaitTermination()
         return query
 
-    first = live.ingest_counters(run())
-    assert first["received"] == 20 and first["processed"] + first["failed"] == 20
+    run()
+    first = live.ingest_counters(spark, target).first()
+    assert first.received == 20 and first.processed + first.failed == 20
     (source / "2.txt").write_text("\n".join(lines[20:]) + "\n")
     run()
     run()  # nothing new

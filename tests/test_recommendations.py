@@ -77,7 +77,7 @@ def test_strategies(recs):
     )
     expected = {"score_based": "123", "urgency_first": "231", "impact_first": "312", "effort_aware": "321", "stakeholder": "321"}
     for strategy, order in expected.items():
-        assert ids(rec.prioritize(df, strategy)) == list(order), strategy
+        assert ids(rec.prioritize(df, strategy, 20)) == list(order), strategy
     assert rec.prioritize(df, "urgency_first", 1).count() == 1
     ranked = rec.ranked(df, 2).collect()
     assert [(r.recommendation_id, r.tags["orchestrator_rank"]) for r in ranked] == [("2", "1"), ("3", "2")]
