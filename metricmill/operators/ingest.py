@@ -58,10 +58,10 @@ def parse_time(text: Column, quoted: Column | None = None) -> Column:
 def _in_quotes(text: Column, value: Column, path: Column) -> Column:
     """Whether a JSON message gives the value at a path as text; looked up for digits only.
 
-    In a message that is not strict JSON the digits count as text.
+    A message that is not strict JSON, with a bare NaN say, is searched for a quoted time.
     """
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
-    return F.when(value.rlike(DIGITS), F.coalesce(kind == "STRING", F.lit(True))).otherwise(F.lit(False))
+    return F.when(value.rlike(DIGITS), F.coalesce(kind == "STRING", text.rlike(r'timestamp"\s*:\s*"'))).otherwise(F.lit(False))
 
 
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:

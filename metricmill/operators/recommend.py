@@ -104,6 +104,12 @@ def page(picked: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def page_with_total(picked: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page whose rows also carry the number of rows there are."""
+    total = picked.agg(F.count("*").alias("total")).scalar()
+    return page(picked, limit, offset).withColumn("total", total)
+
+
 def best(recommendations: DataFrame, top: int) -> DataFrame:
     return page(recommendations, top)
 

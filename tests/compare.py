@@ -79,7 +79,8 @@ def main() -> None:
     root = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                    "spark.driver.memory": "8g"})
+                                                    "spark.driver.memory": "6g",
+                                                    "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
     oracles = entry.oracle_sql()

@@ -230,3 +230,50 @@ def test_channel_rows(spark):
     got = live.channel_rows(metrics, alerts).collect()
     assert [(r.channel, r.type) for r in got] == [("metrics:sales", "metric_update"), ("alerts", "alert")]
     assert json.loads(got[0].data)["metric"] == "revenue"
+
+
+def test_event_tables_prune_days_and_replay(spark, tmp_path):
+    from metricmill.sources import tables
+
+    rows = spark.range(4000).select(
+        F.col("id").alias("n"), F.expr("timestamp'2024-01-01' + make_dt_interval(0, cast(id % 240 as int))").alias("event_timestamp")
+    )
+    path = str(tmp_path / "events")
+    for batch in (1, 2, 1):
+        tables.write_events(rows.filter(F.col("n") % 2 == batch % 2), path, batch)
+    tables.compact(spark, path, f"{path}-compact")
+    for place in (path, f"{path}-compact"):
+        recent = tables.read_events(spark, place, "2024-01-11", 2)
+        assert recent.count() == rows.filter("event_timestamp >= '2024-01-09'").count()
+        plan = recent._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert tables.read_events(spark, path).count() == 4000
+    tables.write_daily_metrics(spark, path, f"{path}-days", [], {"total": "n"})
+    before = {r.event_date: r.total for r in tables.read_daily_metrics(spark, f"{path}-days").collect()}
+    touched = spark.read.parquet(path).filter("event_date = '2024-01-03'")
+    tables.write_daily_metrics(spark, path, f"{path}-days", [], {"total": "n"}, touched)
+    assert {r.event_date: r.total for r in tables.read_daily_metrics(spark, f"{path}-days").collect()} == before
+    assert tables.read_daily_metrics(spark, f"{path}-days", "2024-01-11", 3).count() == 3
+
+
+def test_numbers_beyond_their_type_are_findings(spark):
+    def errors(**fields):
+        data = {"customer_id": "c", "product_id": "p", "revenue": 1.5, "quantity": 2, "channel": "x", "timestamp": 1_700_000_000} | fields
+        text = json.dumps({"event_type": "sale", "data": data})
+        return ingest.validate(ingest.parse_messages(spark.createDataFrame([(text,)], "value string")), AS_OF).first()
+
+    assert errors().errors == []
+    for odd in (float("nan"), float("inf"), "NaN", "1e400"):
+        assert errors(revenue=odd).errors == ["revenue: not a valid double"]
+    for odd in ("1.5", "", 10**12):
+        assert errors(quantity=odd).errors == ["quantity: not a valid int"]
+    for odd in ("2024", 10**19, "99999999999999999999", -(10**15)):
+        assert errors(timestamp=odd).errors == ["timestamp: not a valid timestamp"]
+    assert str(errors(timestamp="2024-01-05T10:00:00Z").event_timestamp) == "2024-01-05 10:00:00"
+
+
+def test_ids_do_not_depend_on_the_fallback_time(spark):
+    text = json.dumps({"event_type": "system"})
+    parsed = ingest.parse_messages(spark.createDataFrame([(text,)], "value string"))
+    ids = {ingest.enrich(ingest.validate(parsed, day), day).first().event_id for day in ("2024-01-01", "2024-02-01")}
+    assert len(ids) == 1
