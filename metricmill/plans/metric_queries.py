@@ -221,13 +221,20 @@ def analytics_request(spark, root):
     over(
         """SELECT event_type, count(*) AS total_events,
                   count(*) FILTER (CAST(event_timestamp AS DATE) = DATE '2024-01-30') AS events_today,
-                  count(*) FILTER (satisfaction_score IS NOT NULL) / count(*) * 100 AS valid_rate,
-                  strftime(max(event_timestamp), '%Y-%m-%d %H:%M:%S') AS last_event
-           FROM customer_events GROUP BY 1""",
-        "customer_events",
+                  count(*) FILTER (valid) / count(*) * 100 AS valid_rate,
+                  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_event
+           FROM (SELECT CASE WHEN broken THEN 'system' WHEN unknown THEN 'signal' ELSE 'customer' END AS event_type,
+                        NOT broken AND NOT unknown AND (s IS NULL OR s BETWEEN 1 AND 5) AND (p IS NULL OR p <= 10) AS valid,
+                        CASE WHEN broken OR unknown THEN TIMESTAMP '2024-01-31' ELSE ts END AS ts
+                 FROM (SELECT ts, k, k = 99 AS broken, k % 17 = 0 AS unknown,
+                              CASE WHEN k % 10 >= 3 THEN k % 7 END AS s, CASE WHEN k % 2 <> 0 THEN k % 13 END AS p
+                       FROM (SELECT ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)))
+           GROUP BY 1""".replace("CAST(event_timestamp AS DATE)", "CAST(ts AS DATE)"),
     ),
 )
 def event_ingestion_stats(spark, root):
-    events = star.customer_events(spark, root)
-    return m.ingestion_stats(events, "2024-01-30", valid=F.col("satisfaction_score").isNotNull())
+    """Totals by type with the share that validation accepts."""
+    from metricmill.plans.ingest_queries import checked_customers
+
+    return m.ingestion_stats(checked_customers(spark, root), "2024-01-30", valid=F.size("errors") == 0)
 

@@ -115,7 +115,9 @@ def recommendation_scores(spark, root):
 @query(
     "recommendation_create",
     """SELECT 'rec_' || substr(md5(title || '_' || description), 1, 12) AS recommendation_id, title, description,
-              'pending' AS status, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS updated_at
+              'pending' AS status, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS updated_at,
+              '2001-08-02 00:00:00' AS created_at, 0.8 * 0.3 + 3 / 3 * 0.3 + 1 / 4 * 0.25 + 3 / 3 * 0.15 AS composite_score,
+              0::INTEGER AS stakeholders, 0::INTEGER AS metrics_affected, 0::INTEGER AS tags
        FROM (SELECT 'Review ' || o_orderpriority AS title, 'Customer group ' || (o_custkey % 100) AS description,
                     o_orderdate AS t FROM orders) GROUP BY 1, 2, 3""",
 )
@@ -127,7 +129,10 @@ def recommendation_create(spark, root):
         F.lit("easy").alias("effort"), F.col("o_orderdate").alias("updated_at"),
     )
     created = rec.create(drafts, SALES_AS_OF)
-    return created.select("recommendation_id", "title", "description", "status", "updated_at")
+    sizes = [F.size(c).alias(c) for c in ("stakeholders", "metrics_affected", "tags")]
+    return created.select(
+        "recommendation_id", "title", "description", "status", "updated_at", "created_at", "composite_score", *sizes
+    )
 
 
 @query(
@@ -632,15 +637,21 @@ EVENT_Z = """SELECT *, abs((value - mean) / nullif(sd, 0)) AS z FROM (
     over(
         f"""SELECT 'email' AS channel, {ALERT_SEVERITY} AS priority, '🚨 Anomaly Detected: ' || series_key AS title,
                    'ops@example.com' AS recipients, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
-                   'Severity: ' || upper({ALERT_SEVERITY}) AS severity_line
+                   printf('Anomaly detected in %s%sValue: %.2f%sExpected: %.2f%sDeviation: %.2f%sSeverity: %s%sTime: %s',
+                          series_key, chr(10) || chr(10), value, chr(10), mean, chr(10), value - mean, chr(10),
+                          upper({ALERT_SEVERITY}), chr(10), strftime(ts, '%Y-%m-%d %H:%M:%S')) AS message,
+                   series_key AS metric, 'z_score' AS method, z AS score
             FROM z WHERE z > 2.5""",
         s=HOURLY, z=EVENT_Z,
     ),
 )
 def anomaly_alerts(spark, root):
     rows = alerts.anomaly_alerts(anomalies.z_score(event_series(spark, root)), F.col("series_key"), ["ops@example.com"])
-    line = F.regexp_extract("message", r"(Severity: \w+)", 1).alias("severity_line")
-    return rows.select("channel", "priority", "title", "recipients", "timestamp", line)
+    said = [F.get_json_object("metadata", f"$.{name}").alias(name) for name in ("metric", "method")]
+    score = F.get_json_object("metadata", "$.score").cast("double").alias("score")
+    # No context is given for z-scores; its line is empty.
+    message = F.regexp_replace("message", r"(?s)\n\nContext: \{\}$", "").alias("message")
+    return rows.select("channel", "priority", "title", "recipients", "timestamp", message, *said, score)
 
 
 @query(

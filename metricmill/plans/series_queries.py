@@ -178,21 +178,19 @@ def channel_seasonality_monthly(spark, root):
                     AS strength, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
            FROM stat JOIN tail USING (series_key)""",
         "sales_events",
-        d=f"""SELECT channel AS series_key, event_timestamp AS ts, avg(revenue / quantity) AS x, avg(quantity) AS y
+        d=f"""SELECT channel AS series_key, event_timestamp AS ts, sum(revenue) AS x, sum(quantity) AS y
               FROM sales_events WHERE {within(365)} GROUP BY 1, 2""",
         stat="""SELECT *, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM
-                (SELECT series_key, count(*) AS n, corr(x, ts_day + y) AS r
-                 FROM (SELECT *, epoch(ts) / 86400 / 100 AS ts_day FROM d) GROUP BY 1)""",
+                (SELECT series_key, count(*) AS n, corr(x, y) AS r FROM d GROUP BY 1)""",
         tail=T_TAIL,
     ),
 )
 def channel_revenue_quantity_correlation(spark, root):
     sales = star.sales_events(spark, root).filter(in_period("event_timestamp", SALES_AS_OF, 365))
     daily = sales.groupBy(F.col("channel").alias("series_key"), "event_timestamp").agg(
-        F.avg(F.col("revenue") / F.col("quantity")).alias("x"), F.avg("quantity").alias("q")
+        F.sum("revenue").alias("x"), F.sum("quantity").alias("y")
     )
-    drift = F.unix_seconds("event_timestamp") / 86400 / 100
-    return se.correlation(daily.withColumn("y", drift + F.col("q")))
+    return se.correlation(daily)
 
 
 @query(
