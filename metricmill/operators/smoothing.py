@@ -36,6 +36,12 @@ def _run(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray, phi: np.ndarray, st
     return errors, level, growth
 
 
+def fit_given(y: np.ndarray, parameters: tuple[float, float, float], start_points: int = 10):
+    """The same for given (alpha, beta, phi)."""
+    errors, level, growth = _run(y, *[np.array([p]) for p in parameters], start_points)
+    return (errors**2).sum(), np.array(parameters), errors[:, 0], level[0], growth[0]
+
+
 def fit(y: np.ndarray, start_points: int = 10):
     """Smallest squared error over a grid that is narrowed around the best point."""
     low, high = np.array([0.01, 0.01, 0.80]), np.array([0.99, 0.99, 0.995])
@@ -54,13 +60,16 @@ def fit(y: np.ndarray, start_points: int = 10):
     return best
 
 
-def smoothing_forecast(series: DataFrame, periods: int = 7, start_points: int = 10) -> DataFrame:
+def smoothing_forecast(
+    series: DataFrame, periods: int = 7, start_points: int = 10, parameters: tuple[float, float, float] | None = None
+) -> DataFrame:
     """Damped-trend forecasts. The line through the first ``start_points`` values gives the level and the
-    growth that the recursion starts from; all values take part in fitting the parameters."""
+    growth that the recursion starts from; all values take part in fitting (alpha, beta, phi), unless
+    these are given as ``parameters``."""
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         y = rows["value"].to_numpy(dtype=float)
-        _, (_, _, phi), errors, level, growth = fit(y, start_points)
+        _, (_, _, phi), errors, level, growth = fit_given(y, parameters, start_points) if parameters else fit(y, start_points)
         steps = np.arange(1, periods + 1)
         ahead = level + growth * np.cumsum(phi**steps)
         reach = 1.96 * errors.std()

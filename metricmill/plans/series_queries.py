@@ -9,6 +9,7 @@ from metricmill.operators import anomalies as an
 from metricmill.operators import forecast as fc
 from metricmill.operators import forest, series as se
 from metricmill.operators.metrics import rollup_series
+from metricmill.operators.smoothing import smoothing_forecast
 from metricmill.plans.catalog import EVENTS_AS_OF, SALES_AS_OF, over, query, within
 from metricmill.plans.metric_queries import DAILY_CHANNEL, channel_series
 from metricmill.sources import star
@@ -352,6 +353,20 @@ def event_anomaly_summary(spark, root):
     return an.anomaly_summary(an.z_score(rows).unionByName(an.moving_window(rows)))
 
 
+@query(
+    "event_forest_extremes",
+    hourly_sql(
+        """SELECT series_key, max(value) AS highest, true AS few FROM i WHERE n >= 4 GROUP BY 1""",
+    ),
+)
+def event_forest_extremes(spark, root):
+    """The forest flags each series' highest value, and no more than its share of points."""
+    series = event_series(spark, root)
+    flagged = forest.isolation_forest(series, 0.1).groupBy("series_key").agg(F.max("value").alias("highest"), F.count("*").alias("flagged"))
+    sizes = series.groupBy("series_key").agg(F.count("*").alias("n"))
+    return flagged.join(sizes, "series_key").select("series_key", "highest", (F.col("flagged") <= F.ceil(F.col("n") * 0.1)).alias("few"))
+
+
 @query("event_isolation_forest")
 def event_isolation_forest(spark, root):
     return flat(forest.isolation_forest(event_series(spark, root)))
@@ -448,6 +463,28 @@ def channel_forecast_seasonal(spark, root):
     return fc.seasonal_linear_forecast(channel_series(spark, root), 7)
 
 
+SMOOTH = """SELECT series_key, -1::BIGINT AS idx, regr_intercept(value, idx) - regr_slope(value, idx) AS level,
+                   regr_slope(value, idx) AS growth, NULL::DOUBLE AS e FROM i WHERE idx < 10 AND n >= 10 GROUP BY 1
+            UNION ALL
+            SELECT r.series_key, i.idx, ahead + 0.3 * (value - ahead), 0.9 * growth + 0.3 * 0.2 * (value - ahead), value - ahead
+            FROM (SELECT *, level + 0.9 * growth AS ahead FROM r) r JOIN i ON i.series_key = r.series_key AND i.idx = r.idx + 1"""
+
+
+@query(
+    "channel_forecast_smoothing_given",
+    channel_sql(
+        """SELECT series_key, step::INTEGER AS step, level + growth * list_sum(list_transform(range(1, step + 1), lambda j: pow(0.9, j))) AS forecast,
+                  mae, rmse FROM r JOIN (SELECT series_key, max(idx) AS idx, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse
+                                         FROM r GROUP BY 1) USING (series_key, idx), (SELECT unnest(range(1, 8)) AS step)""",
+        r=SMOOTH,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def channel_forecast_smoothing_given(spark, root):
+    """The recursion at fixed parameters, replayed in SQL."""
+    rows = smoothing_forecast(channel_series(spark, root), 7, parameters=(0.3, 0.2, 0.9))
+    return rows.select("series_key", "step", "forecast", "mae", "rmse")
+
+
 @query("channel_forecast_smoothing")
 def channel_forecast_smoothing(spark, root):
     return fc.forecast(channel_series(spark, root), 7, "exponential_smoothing")
