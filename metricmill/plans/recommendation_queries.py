@@ -814,8 +814,10 @@ def _note_sql(column: str, high: float, low: float, up: str, down: str) -> str:
 )
 def what_if_scenarios(spark, root):
     sales = star.sales_events(spark, root).filter(in_period("event_timestamp", SALES_AS_OF, 30))
-    base = sales.agg(
-        F.sum("revenue").alias("revenue"), F.count_distinct("purchase_id").alias("orders"),
-        F.count_distinct("customer_id").alias("customers"),
+    # A purchase has one customer, so two plain reductions count both.
+    orders = sales.groupBy("customer_id", "purchase_id").agg(F.sum("revenue").alias("revenue"))
+    customers = orders.groupBy("customer_id").agg(F.sum("revenue").alias("revenue"), F.count("*").alias("orders"))
+    base = customers.agg(
+        F.sum("revenue").alias("revenue"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"), F.count("*").alias("customers")
     )
     return scenario.what_if(scenarios(spark, root), base)
