@@ -1,187 +1,104 @@
-"""Exact order statistics that never hold an unbounded group in one task.
+"""Exact order statistics in two passes, without a shuffle of all values.
 
-Values are first reduced to (key, value, count), which combines map-side and
-spreads a hot key over all tasks by value. While every key has few distinct
-values (checked, not assumed) the built-in ``percentile`` finishes the job. Past
-the bound each key's values are cut into buckets, exact bucket counts say which
-bucket holds the wanted rank, and only that bucket is sorted.
+The first pass sketches, for every wanted rank, two values that surely enclose it. The second counts
+what lies below each lower value and keeps only what lies between the two, reduced to (value, count) map-side:
+about MARGIN * 2 / ACCURACY of a key's values per rank, whatever the size. Exact counting among these few finds
+the rank. The sketch decides how much is looked at, never the result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricmill.session import stage
-
-BUCKETS = 256
-BLOCK = 16
-SKETCH_ACCURACY = 10_000
-DISTINCT_BOUND = 1_000_000
-
-
-def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    reduced = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("cnt"))
-    )
-    return stage(reduced)
-
-
-def _widest(counted: DataFrame, keys: list[str]) -> int:
-    """Most distinct values under one key; one number comes back to the driver."""
-    sizes = counted.groupBy(*keys).agg(F.count("*").alias("d"))
-    return sizes.agg(F.max("d")).first()[0] or 0
-
-
-def _blocks() -> Column:
-    """Every 16th cut point, to look up the block of a value first."""
-    return F.filter("cuts", lambda _, i: (i + 1) % BLOCK == 0)
+# A sketched rank is off by n / ACCURACY at most; brackets reach MARGIN times that to either side.
+ACCURACY = 10_000
+MARGIN = 3
 
 
-def _with_bucket(rows: DataFrame) -> DataFrame:
-    """``b``: how many of the ascending ``cuts`` lie below v; first among the blocks, then inside one."""
-    def below(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut < F.col("v")))
+def _brackets(probs: dict[str, float], ranks) -> Column:
+    """(name, rank, low, high) of every wanted rank, to be aggregated; an open end is null.
 
-    start = F.col("block") * BLOCK
-    return (
-        rows.withColumn("block", below(F.col("block_cuts")))
-        .withColumn("b", start + below(F.slice("cuts", start + 1, F.lit(BLOCK - 1))))
-        .drop("block", "cuts", "block_cuts")
-    )
-
-
-def _cut_points() -> Column:
-    """Sketched cut points. They decide how work is split, never the result."""
-    return F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
-
-
-def _values_at_ranks(counted: DataFrame, keys: list[str], targets: Column) -> DataFrame:
-    """Rows (keys, n, name, v): the value at each 0-based ascending rank of every key.
-
-    ``targets`` is an array of (name, rank) built from ``n``.
+    With fewer than ACCURACY rows the next rank can be further away than the margin: both ends are open.
     """
-    totals = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"), _cut_points().alias("cuts"))
-    placed = _with_bucket(counted.join(totals.select(*keys, "cuts", _blocks().alias("block_cuts")), keys))
-
-    up_to = Window.partitionBy(*keys).orderBy("b")
-    histogram = (
-        placed.groupBy(*keys, "b")
-        .agg(F.sum("cnt").alias("size"))
-        .withColumn("end", F.sum("size").over(up_to))
-        .withColumn("start", F.col("end") - F.col("size"))
-    )
-    wanted = totals.select(*keys, "n", F.inline(targets))
-    located = histogram.join(wanted, keys).filter("start <= rank AND rank < end")
-    located = located.select(*keys, "b", "n", "name", (F.col("rank") - F.col("start")).alias("offset"))
-
-    inside = Window.partitionBy(*keys, "b").orderBy("v")
-    ordered = (
-        placed.join(located.select(*keys, "b").distinct(), [*keys, "b"], "left_semi")
-        .withColumn("hi", F.sum("cnt").over(inside))
-        .withColumn("lo", F.col("hi") - F.col("cnt"))
-    )
-    hit = ordered.join(located, [*keys, "b"]).filter("lo <= offset AND offset < hi")
-    return hit.select(*keys, "n", "name", "v")
+    reach = MARGIN / ACCURACY
 
+    def edge(p: float) -> Column:
+        if not 0 < p < 1:
+            return F.lit(None).cast("double")
+        return F.when(F.count("*") >= ACCURACY, F.percentile_approx("v", p, ACCURACY))
 
-def _values_of_frame(counted: DataFrame, distinct_bound: int, ranks_of) -> dict[str, float]:
-    """The same for the whole frame at once. ``ranks_of`` maps n to named ranks.
-
-    The driver sees n, the cut points and one count per bucket: at most a few hundred numbers.
-    """
-    size = counted.agg(F.sum("cnt").alias("n"), F.count("*").alias("d")).first()
-    if not size.n:
-        return {}
-    cuts = counted.agg(_cut_points()).first()[0] if size.d > distinct_bound else []
-    as_array = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
-    placed = _with_bucket(counted.withColumn("cuts", as_array).withColumn("block_cuts", _blocks()))
-    histogram = {r.b: r.size for r in placed.groupBy("b").agg(F.sum("cnt").alias("size")).collect()}
-
-    offsets, start = [], 0
-    ranks = ranks_of(size.n)
-    for bucket in sorted(histogram):
-        end = start + histogram[bucket]
-        offsets += [(name, bucket, rank - start) for name, rank in ranks.items() if start <= rank < end]
-        start = end
-    inside = Window.partitionBy("b").orderBy("v")
-    ordered = placed.filter(F.col("b").isin({b for _, b, _ in offsets})).withColumn("hi", F.sum("cnt").over(inside))
-    found = ordered.agg(
+    return F.array(
         *[
-            F.min(F.when((F.col("b") == bucket) & (F.col("hi") > offset), F.col("v"))).alias(name)
-            for name, bucket, offset in offsets
+            F.struct(
+                F.lit(name).alias("name"), rank.cast("long").alias("rank"),
+                edge(p - reach).alias("low"), edge(p + reach).alias("high"),
+            )
+            for (name, p) in probs.items()
+            for rank in [ranks(name, p)]
         ]
-    ).first()
-    return found.asDict()
+    )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    distinct_bound: int = DISTINCT_BOUND,
-) -> DataFrame:
-    """Linearly interpolated quantiles per key, one column per entry of ``probs``.
+def _at_ranks(rows: DataFrame, keys: list[str], probs: dict[str, float], ranks) -> DataFrame:
+    """(keys, n, name, v): the value at a 0-based ascending rank, counted exactly.
 
-    Nulls are left out. With no keys the result is one row for the whole frame.
+    ``rows`` holds the keys and v without nulls; ``ranks(name, p)`` is a column over the count of rows.
+    The brackets have one row per key and rank.
     """
-    counted = _counted(df, keys, value)
-    if _widest(counted, keys) <= distinct_bound:
-        return counted.groupBy(*keys).agg(
-            *[F.percentile("v", F.lit(p), F.col("cnt")).alias(name) for name, p in probs.items()]
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), _brackets(probs, ranks).alias("brackets"))
+    if keys:
+        wanted = totals.select(*keys, "n", F.inline("brackets"))
+        placed = rows.join(wanted, keys)
+    else:  # a handful of numbers enter the second pass as constants
+        first = totals.first()
+        entries = [(first.n, *b) for b in first.brackets]
+        wanted = rows.sparkSession.createDataFrame(entries, "n long, name string, rank long, low double, high double")
+        literal = F.array(
+            *[
+                F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(e[1:], ("string", "long", "double", "double"), ("name", "rank", "low", "high"))])
+                for e in entries
+            ]
         )
-    if not keys:
-        return _whole_frame_quantiles(counted, probs, distinct_bound)
+        placed = rows.withColumn("bracket", F.explode(literal)).select("v", "bracket.*")
+    below = F.col("low").isNotNull() & (F.col("v") < F.col("low"))
+    placed = placed.filter(F.col("high").isNull() | (F.col("v") <= F.col("high")))
+    # Null stands for everything below the bracket, which is one row per key, rank and task before the shuffle.
+    kept = placed.groupBy(*keys, "name", F.when(~below, F.col("v")).alias("v")).agg(F.count("*").alias("cnt"))
+    inside = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
+    counted = kept.withColumn("hi", F.sum("cnt").over(inside)).withColumn("lo", F.col("hi") - F.col("cnt"))
+    hit = counted.join(wanted.select(*keys, "n", "name", "rank"), [*keys, "name"])
+    return hit.filter("lo <= rank AND rank < hi").select(*keys, "n", "name", "v")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key, one column per entry of ``probs``.
+
+    Nulls are left out. With no keys the result is one row for the whole frame, nulls if it has no values.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
 
     def position(p: float) -> Column:
-        return F.lit(p) * (F.col("n") - 1)
+        return F.lit(p) * (F.count("*") - 1)
 
-    targets = F.array(
-        *[
-            F.struct(F.lit(f"{name}.{side}").alias("name"), rank(position(p)).cast("long").alias("rank"))
-            for name, p in probs.items()
-            for side, rank in (("lo", F.floor), ("hi", F.ceil))
-        ]
-    )
-    picked = _values_at_ranks(counted, keys, targets)
+    sides = {f"{name}.{side}": p for name, p in probs.items() for side in ("lo", "hi")}
+    picked = _at_ranks(rows, keys, sides, lambda name, p: (F.ceil if name.endswith(".hi") else F.floor)(position(p)))
 
     def at(name: str, side: str) -> Column:
         return F.max(F.when(F.col("name") == f"{name}.{side}", F.col("v")))
 
-    n = F.max("n")
     columns = []
     for name, p in probs.items():
-        share = F.lit(p) * (n - 1) - F.floor(F.lit(p) * (n - 1))
+        share = F.lit(p) * (F.max("n") - 1) - F.floor(F.lit(p) * (F.max("n") - 1))
         columns.append((at(name, "lo") + (at(name, "hi") - at(name, "lo")) * share).alias(name))
     return picked.groupBy(*keys).agg(*columns)
 
 
-def _whole_frame_quantiles(counted: DataFrame, probs: dict[str, float], distinct_bound: int) -> DataFrame:
-    shares = {}
-
-    def ranks_of(n: int) -> dict[str, int]:
-        ranks = {}
-        for name, p in probs.items():
-            position = p * (n - 1)
-            shares[name] = position - math.floor(position)
-            ranks |= {f"{name}.lo": math.floor(position), f"{name}.hi": math.ceil(position)}
-        return ranks
-
-    at = _values_of_frame(counted, distinct_bound, ranks_of)
-    row = [at[f"{n}.lo"] + (at[f"{n}.hi"] - at[f"{n}.lo"]) * shares[n] if at else None for n in probs]
-    return counted.sparkSession.createDataFrame([row], ", ".join(f"{n} double" for n in probs))
-
-
-def values_from_top(
-    df: DataFrame, value: str, shares: dict[str, float], distinct_bound: int = DISTINCT_BOUND
-) -> dict[str, float]:
+def values_from_top(df: DataFrame, value: str, shares: dict[str, float]) -> dict[str, float]:
     """For each share q the value at index floor(q*n) of a descending order; empty for no rows."""
-    def ranks_of(n: int) -> dict[str, int]:
-        return {name: n - 1 - math.floor(n * q) for name, q in shares.items()}
-
-    return _values_of_frame(_counted(df, [], value), distinct_bound, ranks_of)
+    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    picked = _at_ranks(
+        rows, [], {name: 1 - q for name, q in shares.items()},
+        lambda name, p: F.count("*") - 1 - F.floor(F.count("*") * F.lit(shares[name])),
+    )
+    return {r.name: r.v for r in picked.collect()}  # one number per share

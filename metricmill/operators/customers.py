@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.functions.quantiles import DISTINCT_BOUND, values_from_top
+from metricmill.functions.quantiles import values_from_top
 from metricmill.functions.texts import (
     BEHAVIOR_SEGMENTS,
     LIFECYCLE_SEGMENTS,
@@ -69,9 +69,9 @@ def customer_value(customers: DataFrame, sales: DataFrame, as_of, days: float =
     )
 
 
-def assign_value_segments(valued: DataFrame, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
+def assign_value_segments(valued: DataFrame) -> DataFrame:
     """Segment by the revenue found 20 % and 60 % down the descending order: two numbers."""
-    cut = values_from_top(valued, "total_revenue", {"high": 0.2, "low": 0.6}, distinct_bound)
+    cut = values_from_top(valued, "total_revenue", {"high": 0.2, "low": 0.6})
     return valued.withColumn(
         "segment",
         F.when(F.col("total_revenue") >= F.lit(cut.get("high")), "high_value")
@@ -81,12 +81,12 @@ def assign_value_segments(valued: DataFrame, distinct_bound: int = DISTINCT_BOUN
 
 
 def value_segments(
-    customers: DataFrame, sales: DataFrame, as_of, days: float = 90, distinct_bound: int = DISTINCT_BOUND
+    customers: DataFrame, sales: DataFrame, as_of, days: float = 90
 ) -> DataFrame:
     """``as_of`` is a pair (customer events, sales), since the two feeds may end on different days."""
     valued = stage(customer_value(customers, sales, as_of, days))
     summary = _segment_rows(
-        assign_value_segments(valued, distinct_bound), VALUE_SEGMENTS, ("total_revenue", "total_revenue")
+        assign_value_segments(valued), VALUE_SEGMENTS, ("total_revenue", "total_revenue")
     )
     average = F.coalesce(F.try_divide("total_revenue", "count"), F.lit(0.0))
     return summary.withColumn("avg_revenue", average)

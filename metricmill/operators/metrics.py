@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricmill.functions.quantiles import DISTINCT_BOUND, exact_quantiles
+from metricmill.functions.quantiles import exact_quantiles
 from metricmill.functions.timeparts import bucket_start, days_before, in_period, instant
 
 TS = "event_timestamp"
@@ -161,11 +161,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def column_summary(df: DataFrame, distinct_bound: int = DISTINCT_BOUND) -> DataFrame:
+def column_summary(df: DataFrame) -> DataFrame:
     """Row count, and min / max / mean / median / deviation of every numeric column.
 
-    The moments are one aggregate of the frame as it stands. Only the exact medians
-    need the columns unpivoted, and those are reduced to (column, value) counts.
+    The moments are one aggregate of the frame as it stands. The exact medians read it twice more and
+    shuffle only the few values around each median.
     """
     names = numeric_columns(df)
     moments = df.agg(
@@ -187,7 +187,7 @@ def column_summary(df: DataFrame, distinct_bound: int = DISTINCT_BOUND) -> DataF
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names]))
     )
-    medians = exact_quantiles(long, ["column"], "v", {"median": 0.5}, distinct_bound)
+    medians = exact_quantiles(long, ["column"], "v", {"median": 0.5})
     return moments.join(medians, "column", "left")
 
 

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricmill.functions.quantiles import DISTINCT_BOUND, exact_quantiles
+from metricmill.functions.quantiles import exact_quantiles
 from metricmill.functions.texts import BOTTLENECK_ACTION, DISRUPTION_ACTION, REORDER
 from metricmill.functions.timeparts import in_period, instant
 from metricmill.session import stage
@@ -105,7 +105,7 @@ def supply_disruptions(operations: DataFrame, as_of, threshold_hours: float = 48
 
 
 def bottlenecks(
-    operations: DataFrame, as_of, days: float = 30, min_orders: int = 10, distinct_bound: int = DISTINCT_BOUND,
+    operations: DataFrame, as_of, days: float = 30, min_orders: int = 10,
 ) -> DataFrame:
     """Warehouses whose average exceeds the mean of averages by a population deviation."""
     recent = operations.filter(in_period(TS, as_of, days))
@@ -126,7 +126,7 @@ def bottlenecks(
     # Only flagged warehouses need their quantiles.
     slow = recent.join(flagged.select("warehouse_id"), "warehouse_id", "left_semi")
     quantiles = exact_quantiles(
-        slow, ["warehouse_id"], "fulfillment_time_hours", {"median_time": 0.5, "p95_time": 0.95}, distinct_bound
+        slow, ["warehouse_id"], "fulfillment_time_hours", {"median_time": 0.5, "p95_time": 0.95}
     )
     return (
         flagged.join(quantiles, "warehouse_id")

@@ -69,13 +69,12 @@ def test_disruption_with_flat_baseline_has_no_z(frame):
     assert [(r.warehouse_id, r.increase_hours, r.z_score, r.severity) for r in got] == [("w", 76.0, None, "low")]
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_bottlenecks_need_ten_orders(frame, bound):
+def test_bottlenecks_need_ten_orders(frame):
     items = [("fast", f"2024-03-{d:02d}", 10.0) for d in range(10, 20)]
     items += [("mid", f"2024-03-{d:02d}", 12.0) for d in range(10, 20)]
     items += [("slow", f"2024-03-{d:02d}", 50.0 + d) for d in range(10, 20)]
     items += [("few", f"2024-03-{d:02d}", 900.0) for d in range(10, 19)]
-    got = operations.bottlenecks(_shipping(frame, items), AS_OF, distinct_bound=bound).collect()
+    got = operations.bottlenecks(_shipping(frame, items), AS_OF).collect()
     assert [(r.warehouse_id, r.order_count, r.median_time, r.percent_of_slowest) for r in got] == [("slow", 10, 64.5, 100.0)]
     assert got[0].p95_time == pytest.approx(68.55)
 
@@ -184,14 +183,13 @@ def test_periods_and_kpis_with_an_empty_side(sale, rows):
     assert kpi.current_value == 40 and kpi.percent_change is None and kpi.trend == "down"
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_column_summary(spark, rows, bound):
+def test_column_summary(spark, rows):
     df = spark.createDataFrame([(1, 2.0, None, "x"), (2, None, None, "y"), (9, 4.0, None, "z")],
                                "a int, b double, c double, s string")
-    got = rows(metrics.column_summary(df, bound), "column")
+    got = rows(metrics.column_summary(df), "column")
     assert got["a"]["median"] == 2 and got["a"]["row_count"] == 3 and got["b"]["non_null"] == 2
     assert got["b"]["median"] == 3 and got["c"]["mean"] is None and got["c"]["median"] is None
-    one = rows(metrics.column_summary(df.limit(1), bound), "column")
+    one = rows(metrics.column_summary(df.limit(1)), "column")
     assert one["a"]["std"] == 0
 
 

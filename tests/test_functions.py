@@ -47,34 +47,31 @@ def _numbers(spark, seed=3):
     return values, spark.createDataFrame(rows, "k string, v double").repartition(8)
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_exact_quantiles_on_both_paths(spark, bound):
+def test_exact_quantiles_with_ties_and_hot_keys(spark):
     values, df = _numbers(spark)
     probs = {"q05": 0.05, "median": 0.5, "p95": 0.95, "top": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, distinct_bound=bound).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
     assert set(got) == set(values)
     for key, vs in values.items():
         for name, p in probs.items():
             assert got[key][name] == pytest.approx(np.percentile(vs, p * 100), rel=1e-12)
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_exact_quantiles_without_keys(spark, bound):
+def test_exact_quantiles_without_keys(spark):
     values, df = _numbers(spark)
     everything = np.concatenate(list(values.values()))
-    row = exact_quantiles(df, [], "v", {"m": 0.5}, distinct_bound=bound).first()
+    row = exact_quantiles(df, [], "v", {"m": 0.5}).first()
     assert row.m == pytest.approx(np.median(everything))
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
 @pytest.mark.parametrize("size", [1, 5, 10, 997])
-def test_values_from_top_match_the_sorted_list(spark, bound, size):
+def test_values_from_top_match_the_sorted_list(spark, size):
     vs = [float(v) for v in np.random.default_rng(size).integers(0, 60, size)]
     df = spark.createDataFrame([(v,) for v in vs], "v double")
-    got = values_from_top(df, "v", {"high": 0.2, "low": 0.6}, distinct_bound=bound)
+    got = values_from_top(df, "v", {"high": 0.2, "low": 0.6})
     ordered = sorted(vs, reverse=True)
     assert got == {"high": ordered[int(size * 0.2)], "low": ordered[int(size * 0.6)]}
-    assert values_from_top(df.limit(0), "v", {"high": 0.2}, distinct_bound=bound) == {}
+    assert values_from_top(df.limit(0), "v", {"high": 0.2}) == {}
 
 
 def _integrated(t, df):
@@ -123,3 +120,17 @@ def test_composite_score(spark):
     assert got == pytest.approx([1.0, 0.1 + 0.0625 + 0.05, 0.15 + 0.2 + 0.125 + 0.1])
     only = [r[0] for r in df.select(composite_score(*args, {"impact": 0, "urgency": 0, "effort": 0, "confidence": 1})).collect()]
     assert only == pytest.approx([1.0, 0.0, 0.5])
+
+
+def test_exact_quantiles_of_keys_larger_than_the_sketch(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=6).selectExpr("id % 2 as k", "cast((id * 7919) % 60013 as double) / 7 as v")
+    probs = {"low": 0.001, "median": 0.5, "p99": 0.99, "top": 1.0}
+    values = df.toPandas()
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    for key, group in values.groupby("k"):
+        for name, p in probs.items():
+            assert got[key][name] == pytest.approx(np.percentile(group["v"], p * 100), rel=1e-12)
+    assert exact_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(values["v"].median())
+    cut = values_from_top(df, "v", {"high": 0.2})
+    assert cut["high"] == sorted(values["v"], reverse=True)[int(n * 0.2)]
