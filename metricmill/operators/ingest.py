@@ -293,8 +293,15 @@ class BatchResult(NamedTuple):
     counts: Observation
 
 
-def process_batch(events: DataFrame, as_of) -> BatchResult:
-    """Enriched rows, refused rows and counts; the counts fill when ``events`` or ``invalid`` first runs."""
+def process_batch(events: DataFrame, as_of, landing: str | None = None) -> BatchResult:
+    """Enriched rows, refused rows and counts; the counts fill when ``events`` or ``invalid`` first runs.
+
+    With a ``landing`` folder the checked rows are written there once, and both frames read them instead of
+    parsing the events each.
+    """
     counts = Observation()
     checked = validate(events, as_of, counts)
+    if landing:
+        checked.write.mode("overwrite").parquet(landing)
+        checked = events.sparkSession.read.schema(checked.schema).parquet(landing)
     return BatchResult(enrich(valid_rows(checked), as_of), invalid_rows(checked), counts)

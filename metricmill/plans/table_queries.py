@@ -69,6 +69,22 @@ SALE_TOTALS = over(
 )
 
 
+@query(
+    "landed_batch",
+    over(
+        f"""SELECT 'valid' AS sink, count(*) AS events FROM c WHERE NOT {ANY_SALE_ERROR}
+            UNION ALL SELECT 'refused', count(*) FROM c WHERE {ANY_SALE_ERROR}""",
+        c=SALES_CHECKS,
+    ),
+)
+def landed_batch(spark, root):
+    """Checked once into a landing folder; both sinks read it."""
+    rows = ingest.landed(landed_sales(spark, root), "sale")
+    done = ingest.process_batch(rows, SALES_AS_OF, scratch(spark, "landing"))
+    sinks = [f.agg(F.lit(n).alias("sink"), F.count("*").alias("events")) for n, f in (("valid", done.events), ("refused", done.invalid))]
+    return sinks[0].union(sinks[1])
+
+
 def sale_totals(rows):
     events = ingest.process_batch(rows, SALES_AS_OF).events
     return ingest.silver(events, "sale").groupBy("channel").agg(
