@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from metricmill.llm.common import in_place, runs, slices
 from metricmill.llm.hashing import Spans
-from metricmill.session import stage
+from metricmill.session import scratch, stage
 
 GRAM = 16
 CROWD = 3000
@@ -163,7 +163,10 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
                 names=["rid", "h", "seg", "first", "more", "off"],
             )
 
-    found = stage(long.mapInArrow(anchors, "rid long, h long, seg long, first int, more int, off int"))
+    kinds = "rid long, h long, seg long, first int, more int, off int"
+    path = scratch(docs.sparkSession, "anchors")
+    long.mapInArrow(anchors, kinds).write.parquet(path)
+    found = docs.sparkSession.read.schema(kinds).parquet(path)
     different = found.groupBy("h", "seg").agg(
         F.count("*").alias("n"), F.min(F.struct("rid", "first", "more", "off")).alias("one")
     )
@@ -171,8 +174,9 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
     shared = shared.where("kinds > 1 and least = 1").select("h", "kinds")
     compared = different.join(shared, "h").select("h", "kinds", "n", "one.*")
     compared = stage(compared)
-    segment = long.join(compared, "rid").select(
-        "rid", "h", "kinds", "n", "first", "off", F.expr(f"substring(data, first + 1, more + {width})").alias("data")
+    # Texts are dealt out by row once: the id is carried along, so that this join and the last read one shuffle.
+    segment = rows.join(compared, "rid").select(
+        "rid", "id", "h", "kinds", "n", "first", "off", F.expr(f"substring(data, first + 1, more + {width})").alias("data")
     )
     total = compared.count()
     shards = max(1, -(-total // SHARD))
@@ -196,7 +200,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 500_000):
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             data = np.frombuffer(b"".join(texts), np.uint8)
             begins = np.cumsum(lengths) - lengths
@@ -206,13 +210,13 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column(0).to_numpy()[own]),
-                    pa.array(batch.column(1).to_numpy().astype(np.int64)[own] + at - begins[own]),
+                    pa.array(batch.column(2).to_numpy().astype(np.int64)[own] + at - begins[own]),
                     pa.array(Spans(data)(at, at + width).view(np.int64)), pa.array(other(at, at + width).view(np.int64)),
                 ],
                 names=["rid", "start", "x", "y"],
             )
 
-    crowded = segment.where(f"kinds > {CROWD}").select("rid", "first", "data")
+    crowded = segment.where(f"kinds > {CROWD}").select("rid", "id", "first", "data")
     counted = crowded.mapInArrow(windows, "rid long, start long, x long, y long")
     twice = counted.groupBy("x", "y").count().where("count > 1").select("x", "y")
     counted = counted.join(twice, ["x", "y"]).select("rid", "start", (F.col("start") + width).alias("stop"))
