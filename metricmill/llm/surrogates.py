@@ -25,7 +25,7 @@ _WORD = r"\p{Lu}[\p{L}'-]{1,30}+"
 # What is looked for, in this order at every place.
 PATTERNS = {
     "email": rf"{_EDGE}[A-Za-z0-9][A-Za-z0-9._+-]{{0,63}}+@(?:[A-Za-z0-9-]{{1,63}}+\.){{1,8}}[A-Za-z]{{2,24}}(?![0-9A-Za-z])",
-    "secret": rf"{_EDGE}(?:password|passwd|secret|token|api_key|apikey)[\"']? ?[=:] ?[\"']?[0-9A-Za-z_/+-]{{8,128}}+",
+    "secret": rf"{_EDGE}(?i:password|passwd|secret|token|api_key|apikey)[\"']? ?[=:] ?[\"']?[0-9A-Za-z_/+-]{{8,128}}+",
     "key": rf"{_EDGE}AKIA[0-9A-Z]{{12,28}}(?![0-9A-Za-z])",
     "iban": rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
@@ -40,7 +40,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # No entity without a digit, an @, an equals sign or colon, or a title.
-HINT = rf"[0-9@=]|(?:token|secret|pass|key)[^ ]{{0,6}} ?:|{_TITLE}"
+HINT = rf"[0-9@=]|(?i:token|secret|pass|key)[^ ]{{0,6}} ?:|{_TITLE}"
 
 # What surrogate names are made of.
 SYLLABLES = {
@@ -121,6 +121,7 @@ def draw(key: str) -> Column:
             WHEN c rlike '[1-9]' THEN cast(1 + {b} % 9 as string)
             WHEN c = '0' THEN cast({b} % 10 as string)
             WHEN c rlike '[a-f]' AND type = 'secret' THEN substr('abcdef', 1 + {b} % 6, 1)
+            WHEN c rlike '[A-F]' AND type = 'secret' THEN substr('ABCDEF', 1 + {b} % 6, 1)
             WHEN c rlike '[a-z]' THEN substr('abcdefghijklmnopqrstuvwxyz', 1 + {b} % 26, 1)
             WHEN c rlike '[A-Z]' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + {b} % 26, 1)
             ELSE c END), '')"""

@@ -129,6 +129,20 @@ def test_surrogates_are_distinct(docs):
     assert len({m[2] for m in got}) == 5
 
 
+def test_credentials_in_any_case(docs):
+    texts = [
+        'TOKEN = "9233A8ECD0F14B7792AC"', "PASSWORD=Hunter2Hunter2", "API_KEY: ABCDEFGH", "Password: swordfish", 'ApiKey="aB3aB3aB3"', "my_Secret=ABCDEFGHXY",
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(docs(texts)).collect()}
+    for i, text in enumerate(texts):
+        value = re.search("[=:] ?\"?([0-9A-Za-z]{8,})", text)[1]
+        head, tail = text.split(value)
+        assert value not in got[i] and got[i].startswith(head) and got[i].endswith(tail)
+        shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t)))
+        assert shape(got[i]) == shape(text)
+    assert re.fullmatch('TOKEN = "[0-9A-F]{20}"', got[0])
+
+
 def test_pipeline(spark, docs, on_disk):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = [(9000, None, "en", "src1"), (9001, "", None, None), (9002, "12 34", "en", "src1"), (9003, "the " * 20_000, None, None), (None, "that is a text in a language", "en", "src2")]
