@@ -10,6 +10,8 @@ for this; of the texts only those that hold an entity are, once, when the surrog
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,8 @@ ENDINGS = {
     ("male", "latin"): "o", ("female", "latin"): "a", ("family", "latin"): "er",
     ("male", "cyrillic"): "ий", ("female", "cyrillic"): "ия", ("family", "cyrillic"): "ко",
 }
-ATTEMPTS = 40
+# Draws in the entity's own form; after them every second attempt makes the surrogate a character longer.
+ATTEMPTS = 8
 
 
 def find(text: Column) -> Column:
@@ -108,7 +111,10 @@ def parts(found: DataFrame) -> DataFrame:
 
 
 def draw(key: str) -> Column:
-    """A surrogate for (type, canonical, attempt), from a keyed digest."""
+    """A surrogate for (type, canonical, attempt), from a keyed digest.
+
+    From attempt ATTEMPTS on it is longer than its form: letters or digits are added, to an address an octet.
+    """
     seed = f"concat_ws('|', '{key}', type, canonical, attempt)"
     byte = "cast(conv(substr(hexes, 1 + 2 * ({} % 128), 2), 16, 10) as int)"
     hexes = f"concat(sha2({seed}, 256), sha2(concat({seed}, '.'), 256), sha2(concat({seed}, ':'), 256), sha2(concat({seed}, ';'), 256))"
@@ -132,19 +138,27 @@ def draw(key: str) -> Column:
         ending = "CASE " + " ".join(f"WHEN type = '{w} {s}' THEN '{e}'" for (w, s), e in ENDINGS.items() if s == script) + " END"
         return f"concat({made}, {ending})"
 
+    def more(alphabet: str) -> str:
+        """What makes a surrogate longer; empty for the first attempts."""
+        b = byte.format("(127 - i)")
+        return f"""if(attempt < {ATTEMPTS}, '', array_join(transform(sequence(0, greatest(0, (attempt - {ATTEMPTS}) div 2)),
+            i -> substr('{alphabet}', 1 + {b} % {len(alphabet)}, 1)), ''))"""
+
+    small, digits = more("abcdefghijklmnopqrstuvwxyz"), more("123456789")
     card = shaped("substr(canonical, 1, length(canonical) - 1)", "1")
     octets = ", ".join(f"cast(1 + {byte.format(i)} % 254 as string)" for i in range(4))
     return F.expr(f"""CASE
-        WHEN type = 'local' THEN {shaped("substring_index(canonical, '@', 1)")}
-        WHEN type = 'domain' THEN concat({shaped("left(canonical, length(canonical) - length(substring_index(canonical, '.', -1)))")}, substring_index(canonical, '.', -1))
-        WHEN type = 'key' THEN {shaped('canonical', '4')}
-        WHEN type = 'iban' THEN {shaped('canonical', '2')}
-        WHEN type = 'ip' THEN concat_ws('.', {octets})
-        WHEN type = 'phone' THEN {shaped('canonical', "if(canonical like '+%', 3, 0)")}
-        WHEN type = 'card' THEN {card}
+        WHEN type = 'local' THEN concat({small}, {shaped("substring_index(canonical, '@', 1)")})
+        WHEN type = 'domain' THEN concat({small}, {shaped("left(canonical, length(canonical) - length(substring_index(canonical, '.', -1)))")}, substring_index(canonical, '.', -1))
+        WHEN type = 'key' THEN concat({shaped('canonical', '4')}, {more("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+        WHEN type = 'iban' THEN concat({shaped('canonical', '2')}, {digits})
+        WHEN type = 'ip' THEN concat_ws('.', {octets}, nullif({digits}, ''))
+        WHEN type = 'phone' THEN {shaped('canonical', "if(canonical like '+%', 3, 0)")} || {digits}
+        WHEN type = 'card' THEN concat({card}, {digits})
         WHEN type like '%latin' THEN {syllables('latin')}
         WHEN type like '%cyrillic' THEN {syllables('cyrillic')}
-        ELSE {shaped('canonical')} END""".replace("hexes", hexes))
+        WHEN type = 'ssn' THEN concat({shaped('canonical')}, {digits})
+        ELSE concat({small}, {shaped('canonical')}) END""".replace("hexes", hexes))
 
 
 def _checked(drawn: DataFrame) -> DataFrame:
@@ -159,14 +173,14 @@ def assign(known: DataFrame, key: str) -> DataFrame:
 
     Each round draws for the parts that have no surrogate yet; of those that draw the same the first by
     canonical form keeps it, unless it was given in an earlier round or is itself a known part. A local
-    part is compared together with its domain's canonical form. If after ATTEMPTS rounds a form has more
-    parts than there are surrogates, an error is raised; nothing is left as it was.
+    part is compared together with its domain's canonical form. A form that has more parts than there are
+    surrogates is left for longer ones after ATTEMPTS rounds, so every part is served.
     """
     compared = F.when(F.col("type") == "local", F.concat("surrogate", F.lit("@"), F.substring_index("canonical", "@", -1)))
     compared = F.coalesce(compared, F.lower("surrogate"))
     real = known.select(F.col("type").alias("t"), F.lower("canonical").alias("c"))
     open_, given = known, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         drawn = _checked(open_.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", draw(key)))
         drawn = drawn.withColumn("compared", compared)
         taken = real if given is None else real.union(given.select("type", "compared"))
@@ -176,8 +190,8 @@ def assign(known: DataFrame, key: str) -> DataFrame:
         given = won if given is None else stage(given.union(won))
         open_ = stage(open_.join(won.select("type", "canonical"), ["type", "canonical"], "left_anti"))
         if open_.isEmpty():
-            return given.select("type", "canonical", "surrogate")
-    raise ValueError(f"no free surrogates after {ATTEMPTS} rounds for {open_.first()}")
+            break
+    return given.select("type", "canonical", "surrogate")
 
 
 def render(entity: str = "entity", kind: str = "kind", made: str = "made") -> Column:
@@ -185,17 +199,20 @@ def render(entity: str = "entity", kind: str = "kind", made: str = "made") -> Co
     first = f"element_at({made}, 1)"
 
     def filled(sort: str, text: str, values: str) -> str:
-        """Characters of a sort in ``text`` replaced by those in ``values``, in order, case kept."""
+        """Characters of a sort in ``text`` replaced by those in ``values``, in order, case kept; further ones follow."""
         at = f"length(regexp_replace(substr({text}, 1, i + 1), '[^{sort}]', ''))"
         return (
-            f"array_join(transform(split({text}, ''), (c, i) -> if(c rlike '[{sort}]', "
-            f"if(c rlike '[a-z]', lower(substr({values}, {at}, 1)), substr({values}, {at}, 1)), c)), '')"
+            f"concat(array_join(transform(split({text}, ''), (c, i) -> if(c rlike '[{sort}]', "
+            f"if(c rlike '[a-z]', lower(substr({values}, {at}, 1)), substr({values}, {at}, 1)), c)), ''), "
+            f"substr({values}, 1 + length(regexp_replace({text}, '[^{sort}]', ''))))"
         )
 
     name = f"regexp_extract({entity}, r'^(?:{FEMALE}|{MALE})\\.? ', 0)"
-    secret = f"concat(left({entity}, length({entity}) - length({first})), {first})"
+    secret = f"concat(regexp_extract({entity}, '^(.*?)[0-9A-Za-z_/+-]+$', 1), {first})"
     domain, local = f"element_at({made}, 2)", f"substring_index({entity}, '@', 1)"
-    cased = "array_join(transform(split({0}, ''), (c, i) -> if(c rlike '[A-Z]', upper(substr({1}, i + 1, 1)), substr({1}, i + 1, 1))), '')"
+    # A longer surrogate has its additional characters in front.
+    own = "substr({1}, i + 1 + length({1}) - length({0}), 1)"
+    cased = f"concat(left({{1}}, length({{1}}) - length({{0}})), array_join(transform(split({{0}}, ''), (c, i) -> if(c rlike '[A-Z]', upper({own}), {own})), ''))"
     tail = f"substring_index({entity}, '@', -1)"
     phone = f"if({entity} like '+1%', concat('+1', {filled('0-9', f'substr({entity}, 3)', first)}), {filled('0-9', entity, f'''replace({first}, '+', '')''')})"
     return F.expr(f"""CASE {kind}
