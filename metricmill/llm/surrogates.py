@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates of the same kind and form, with DataFrame operations only.
 
-Detection is one regular expression. Every entity has one or two parts (an e-mail address a local part
-and a domain, a name a given name and a surname), each part a type and a canonical form, so that the
+Detection is one regular expression. Every entity has one or more parts (an e-mail address a local part
+and a domain, a name given names and a surname), each part a type and a canonical form, so that the
 same person, number or address gets the same surrogate wherever and however it is written. A surrogate
 is drawn from a keyed digest of type, canonical form and attempt. Draws that two parts share, or that
 are themselves a part found in the texts, are drawn again until all differ. Only entities are shuffled
@@ -22,7 +22,11 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 MALE = "Mr|Herr|Señor|Monsieur|г-н|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|г-жа|госпожа"
 _TITLE = rf"(?:{FEMALE}|{MALE})\.? (?=\p{{Lu}})"
-_WORD = r"\p{Lu}[\p{L}'-]{1,30}+"
+# A possessive 's is not part of a name.
+_WORD = r"\p{Lu}(?:\p{L}++|(?=['-]\p{L}{2}))(?:['-](?!s(?!\p{L}))\p{L}++)*+"
+_INITIALS = r"(?:(?:\p{Lu}\.)++ ?|\p{Lu} )*+"
+# Marks an untitled mention, which is known as mark, sorts of its words, mark, text.
+MARK = "\u0001"
 
 # What is looked for, in this order at every place.
 PATTERNS = {
@@ -38,7 +42,7 @@ PATTERNS = {
     ),
     "ssn": rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z])",
     "card": rf"{_EDGE}(?:[0-9]{{4}}[ -]?){{3}}[0-9]{{1,7}}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}}){_TITLE}{_WORD}(?: {_WORD})?",
+    "name": rf"(?<!\p{{L}}){_TITLE}(?:{_INITIALS}{_WORD}(?: (?!{_TITLE}){_INITIALS}{_WORD})*+(?: (?:\p{{Lu}}\.)++)*+|(?:\p{{Lu}}\.)++(?: (?:\p{{Lu}}\.)++)*+)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # No entity without a digit, an @, an equals sign or colon, or a title.
@@ -55,6 +59,8 @@ ENDINGS = {
 }
 # Draws in the entity's own form; after them every second attempt makes the surrogate a character longer.
 ATTEMPTS = 8
+# What surrogate initials are drawn from.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 
 
 def find(text: Column) -> Column:
@@ -63,9 +69,44 @@ def find(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(HINT), F.lit(False)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
+def names(entities: Column) -> Column:
+    """The different words of the titled names among a text's entities, each after its sort: m or f (given names), s (surname)."""
+
+    def words(entity: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(entity, rf"^(?:{FEMALE}|{MALE})\.? ", ""), F.lit(_WORD), F.lit(0))
+        given = F.array_repeat(F.when(entity.rlike(rf"^(?:{MALE})\.? "), "m").otherwise("f"), F.size(found) - 1)
+        return F.zip_with(found, F.concat(given, F.array(F.lit("s"))), lambda w, sort: F.concat(sort, w))
+
+    titled = F.filter(entities, lambda e: e.rlike(f"^{_TITLE}"))
+    # A name of initials only has no word.
+    return F.filter(F.array_distinct(F.flatten(F.transform(titled, words))), lambda x: x.isNotNull())
+
+
+def mentions(known: Column) -> Column:
+    """Regular expression for the words of ``known`` and the initials between them, the longest words first."""
+    distinct = F.array_distinct(F.transform(known, lambda x: F.substr(x, F.lit(2))))
+    longest = F.array_sort(distinct, lambda a, b: F.length(b) - F.length(a))
+    word = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))
+    return F.concat(word, F.lit(rf"(?: {_INITIALS}"), word, F.lit(")*+"))
+
+
+def marked(entities: Column, known: Column) -> Column:
+    """Entities that are untitled mentions of ``known`` names in their marked form, the others as they are."""
+
+    def sorts(entity: Column) -> Column:
+        found = F.regexp_extract_all(entity, F.lit(_WORD), F.lit(0))
+        own = F.transform(found, lambda w: F.filter(known, lambda x: F.substr(x, F.lit(2)) == w)[0])
+        return F.array_join(F.transform(own, lambda x: F.left(x, F.lit(1))), "", "s")
+
+    return F.transform(
+        entities,
+        lambda e: F.when(e.rlike(f"^(?:{ANY})$"), e).otherwise(F.concat(F.lit(MARK), sorts(e), F.lit(MARK), e)),
+    )
+
+
 def kind(entity: Column) -> Column:
     """The type of an entity that ``find`` returned."""
-    out = F.lit(None).cast("string")
+    out = F.when(entity.startswith(MARK), "mention")
     for name, pattern in reversed(PATTERNS.items()):
         out = F.when(entity.rlike(f"^(?:{pattern})$"), name).otherwise(out)
     return out
@@ -81,14 +122,22 @@ def _luhn(digits: str) -> str:
     return f"aggregate(transform(sequence(0, length({digits}) - 1), i -> if(i % 2 = 0, {d}, {d} * 2 - if({d} > 4, 9, 0))), 0, (a, b) -> a + b)"
 
 
+def _plain(entity: str) -> str:
+    """SQL for a name without its title, or a mention's text."""
+    return rf"if({entity} like '{MARK}%', substring_index({entity}, '{MARK}', -1), regexp_replace({entity}, r'^(?:{FEMALE}|{MALE})\.? ', ''))"
+
+
 def parts(found: DataFrame) -> DataFrame:
     """(entity, kind) to (entity, kind, no, type, canonical): what of an entity is replaced, and how it is known.
 
     A number of 12 to 19 digits that fails the check-digit test is no card; it has no parts and stays.
     """
-    name = rf"regexp_replace(entity, r'^(?:{FEMALE}|{MALE})\.? ', '')"
-    script = f"if({name} rlike r'^\\p{{IsCyrillic}}', 'cyrillic', 'latin')"
-    gender = rf"if(entity rlike r'^(?:{MALE})\.? ', 'male', 'female')"
+    words = f"regexp_extract_all({_plain('entity')}, r\"{_WORD}\", 0)"
+    given = rf"array_repeat(if(entity rlike r'^(?:{MALE})\.? ', 'm', 'f'), size({words}) - 1)"
+    sorts = f"if(kind = 'mention', split(substring_index(substr(entity, 2), '{MARK}', 1), ''), concat({given}, array('s')))"
+    script = "if(w rlike r'^\\p{IsCyrillic}', 'cyrillic', 'latin')"
+    sort = "CASE sort WHEN 'm' THEN 'male ' WHEN 'f' THEN 'female ' ELSE 'family ' END"
+    named = f"zip_with({words}, {sorts}, (w, sort) -> struct(concat({sort}, {script}) as type, lower(w) as canonical))"
     one = "array(struct({} as type, {} as canonical))"
     lists = f"""CASE kind
         WHEN 'email' THEN array(struct('local' as type, lower(entity) as canonical),
@@ -100,10 +149,8 @@ def parts(found: DataFrame) -> DataFrame:
         WHEN 'phone' THEN {one.format("'phone'", f"if(entity like '+%' and entity not like '+1%', concat('+', {_digits('entity')}), right({_digits('entity')}, 10))")}
         WHEN 'ssn' THEN {one.format("'ssn'", _digits('entity'))}
         WHEN 'card' THEN if({_luhn(_digits('entity'))} % 10 = 0 and length({_digits('entity')}) >= 13, {one.format("'card'", _digits('entity'))}, null)
-        WHEN 'name' THEN if({name} like '% %',
-            array(struct(concat({gender}, ' ', {script}) as type, lower(substring_index({name}, ' ', 1)) as canonical),
-                  struct(concat('family ', {script}) as type, lower(substring_index({name}, ' ', -1)) as canonical)),
-            array(struct(concat('family ', {script}) as type, lower({name}) as canonical)))
+        WHEN 'name' THEN if(size({words}) > 0, {named}, {one.format("'initials'", "md5(entity)")})
+        WHEN 'mention' THEN {named}
         END"""
     return found.selectExpr("entity", "kind", f"posexplode({lists}) as (no, part)").selectExpr(
         "entity", "kind", "no", "part.type as type", "part.canonical as canonical"
@@ -194,8 +241,11 @@ def assign(known: DataFrame, key: str) -> DataFrame:
     return given.select("type", "canonical", "surrogate")
 
 
-def render(entity: str = "entity", kind: str = "kind", made: str = "made") -> Column:
-    """The surrogate written the way the entity is; ``made`` holds its parts' surrogates in order."""
+def render(entity: str = "entity", kind: str = "kind", made: str = "made", last: str = "''", key: str = "surrogates") -> Column:
+    """The surrogate written the way the entity is; ``made`` holds its parts' surrogates in order.
+
+    An initial becomes another letter, drawn from a digest of the letter and ``last``, the last word of the name.
+    """
     first = f"element_at({made}, 1)"
 
     def filled(sort: str, text: str, values: str) -> str:
@@ -207,7 +257,17 @@ def render(entity: str = "entity", kind: str = "kind", made: str = "made") -> Co
             f"substr({values}, 1 + length(regexp_replace({text}, '[^{sort}]', ''))))"
         )
 
-    name = f"regexp_extract({entity}, r'^(?:{FEMALE}|{MALE})\\.? ', 0)"
+    title = f"regexp_extract({entity}, r'^(?:{FEMALE}|{MALE})\\.? ', 0)"
+    def initial(letters: str) -> str:
+        drawn = f"cast(conv(substr(sha2(concat_ws('|', '{key}', 'initial', p, {last}), 256), 1, 7), 16, 10) as int)"
+        at = f"locate(p, '{letters}')"
+        return f"substr('{letters}', 1 + if({at} = 0, {drawn} % {len(letters)}, ({at} + {drawn} % {len(letters) - 1}) % {len(letters)}), 1)"
+
+    letter = f"if(p rlike r'^\\p{{IsCyrillic}}', {initial(CAPITALS[1])}, {initial(CAPITALS[0])})"
+    between = f"split({_plain(entity)}, r\"{_WORD}\", -1)"  # initials stand there
+    lettered = f"array_join(transform(split(t, ''), p -> if(p rlike r'^\\p{{Lu}}', {letter}, p)), '')"
+    words = f"if(size({between}) > 1, concat({made}, array('')), array(''))"
+    named = f"concat({title}, array_join(zip_with({between}, {words}, (t, w) -> concat({lettered}, w)), ''))"
     secret = f"concat(regexp_extract({entity}, '^(.*?)[0-9A-Za-z_/+-]+$', 1), {first})"
     domain, local = f"element_at({made}, 2)", f"substring_index({entity}, '@', 1)"
     # A longer surrogate has its additional characters in front.
@@ -222,7 +282,8 @@ def render(entity: str = "entity", kind: str = "kind", made: str = "made") -> Co
         WHEN 'phone' THEN {phone}
         WHEN 'ssn' THEN {filled('0-9', entity, first)}
         WHEN 'card' THEN {filled('0-9', entity, first)}
-        WHEN 'name' THEN concat({name}, array_join({made}, ' '))
+        WHEN 'name' THEN {named}
+        WHEN 'mention' THEN {named}
         ELSE {first} END""")
 
 
@@ -232,9 +293,10 @@ def replacements(lists: DataFrame, key: str) -> DataFrame:
     found = stage(parts(entities.withColumn("kind", kind(F.col("entity")))))
     given = assign(stage(found.select("type", "canonical").distinct()), key)
     made = found.join(given, ["type", "canonical"]).groupBy("entity", "kind").agg(
-        F.sort_array(F.collect_list(F.struct("no", "surrogate"))).alias("list")  # two parts at most
+        F.sort_array(F.collect_list(F.struct("no", "surrogate", "canonical"))).alias("list")  # as many as a name has words
     )
-    made = made.withColumn("made", F.col("list.surrogate")).select("entity", render().alias("new"))
+    made = made.withColumn("made", F.col("list.surrogate")).withColumn("last", F.element_at("list.canonical", -1))
+    made = made.select("entity", render(last="last", key=key).alias("new"))
     placed = lists.withColumn("list", F.md5(F.to_json("entities")))
     placed = placed.select("list", F.posexplode("entities").alias("no", "entity"))
     placed = placed.join(made, "entity", "left").select("list", "no", F.coalesce("new", "entity").alias("new"))
@@ -248,21 +310,29 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = "surrogates", m
     """``docs`` with the personal data in ``text`` replaced; all other columns and all rows unchanged.
 
     Found are e-mail addresses, telephone numbers, IP addresses, card numbers (with a valid check digit),
-    bank accounts, social security numbers, titled names, and credentials. Replaced are letters by letters
+    bank accounts, social security numbers, titled names with all their words and initials, words of these
+    names wherever they stand in the same text, and credentials. Replaced are letters by letters
     of the same case, digits by digits, names by names of the same gender and script; separators, country
     codes, the top domain, the card's first digit and its valid check digit stay. The same entity, in whatever
     spelling, has one surrogate in all texts, different entities have different ones; another ``key`` gives
     others. Null texts stay null; texts without an entity are not touched or shuffled; repeated rows stay
     alike. With ``marks`` the number of replaced entities is added as ``n_entities``.
     """
-    found = docs.withColumn("__pii", find(F.col(f"`{text}`").cast("string")))
-    lists = stage(found.where(F.size("__pii") > 0).select(F.col("__pii").alias("entities")).distinct())
+    value = F.col(f"`{text}`").cast("string")
+    found = docs.withColumn("__pii", find(value))
+    # Texts with titled names are searched once more, for other mentions of these.
+    named = F.size("__pii_names") > 0
+    hit = found.where(F.size("__pii") > 0).withColumn("__pii_names", names(F.col("__pii")))
+    hit = hit.withColumn("__pii_any", F.when(named, F.concat(F.lit(f"{ANY}|"), mentions(F.col("__pii_names")))).otherwise(F.lit(ANY)))
+    again = marked(F.regexp_extract_all(value, F.col("__pii_any"), F.lit(0)), F.col("__pii_names"))
+    hit = hit.withColumn("__pii", F.when(named, again).otherwise(F.col("__pii")))
+    lists = stage(hit.select(F.col("__pii").alias("entities")).distinct())
     new = replacements(lists, key)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rest = found.where(F.size("__pii") == 0).select(*columns, F.lit(0).cast("long").alias("__pii_n"))
-    hit = found.where(F.size("__pii") > 0).withColumn("__pii_key", F.md5(F.to_json("__pii")))
+    hit = hit.withColumn("__pii_key", F.md5(F.to_json("__pii")))
     hit = hit.join(new, F.col("__pii_key") == F.col("__pii_list"))
-    between = F.split(F.col(f"`{text}`"), ANY, -1)
+    between = F.split(F.col(f"`{text}`"), F.col("__pii_any"), -1)
     whole = F.array_join(
         F.flatten(F.zip_with(between, F.concat("__pii_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), ""
     )

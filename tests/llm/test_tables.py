@@ -130,6 +130,33 @@ def test_surrogates_are_distinct(docs):
     assert len({m[2] for m in got}) == 5
 
 
+def test_names_and_their_mentions(docs):
+    texts = [
+        "Mr John Smith came. John Smith said so; Smith's dog, and Johnson.",
+        "Mr John Paul Smith and Smith",
+        "Mr John F. Kennedy. Then John F. Kennedy and Kennedy left. F. stays",
+        "Frau Eva Maria O'Neil-Meier, Herr J.F. Otto und Eva Otto, Mr K. too",
+        "г-н Иван Иванов. Иванов и Иванова",
+        "John Smith and Smith stay without a title",
+        "Mrs Smith Mr Otto, Smith@Smith.com",
+        "Mr " + "Abc " * 20_000,
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(docs(texts)).collect()}
+    a, b = re.fullmatch(r"Mr (\w+o) (\w+er) came\. \1 \2 said so; \2's dog, and Johnson\.", got[0]).groups()
+    assert {a, b}.isdisjoint({"John", "Smith"})
+    m = re.fullmatch(r"Mr (\w+o) (\w+o) (\w+er) and \3", got[1])
+    assert m[1] == a and m[3] == b and m[2] != a
+    m = re.fullmatch(r"Mr (\w+o) ([A-Z])\. (\w+er)\. Then \1 \2\. \3 and \3 left\. F\. stays", got[2])
+    assert m[1] == a and m[2] != "F"
+    m = re.fullmatch(r"Frau (\w+a) (\w+a) (\w+er), Herr ([A-Z])\.([A-Z])\. (\w+er) und \1 \6, Mr ([A-Z])\. too", got[3])
+    assert m[4] != "J" and m[5] != "F" and m[7] != "K"
+    assert re.fullmatch(r"г-н [а-яА-Я]+ий ([а-яА-Я]+ко)\. \1 и Иванова", got[4])
+    assert got[5] == texts[5]
+    m = re.fullmatch(r"Mrs (\w+er) Mr (\w+er), \w+@\w+\.com", got[6])
+    assert m[1] == b and m[2] != b and "Smith" not in got[6]
+    assert "Abc" not in got[7] and "\x01" not in "".join(got.values())
+
+
 def test_crowded_forms(docs):
     """More parts than their forms can have surrogates."""
     letters = "abcdefghijklmnopqrstuvwxyz"
