@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricmill.llm.common import slices
@@ -51,9 +51,10 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(set_bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3, row: Column | None = None) -> DataFrame:
     """One row (ident, fp) per row of ``docs``; fp is the fingerprint as a signed 64-bit number.
 
+    With ``row``, a text, it is (ident, fp, row).
     Null and wordless texts have fingerprint zero. Texts are read whole; other columns are not read.
     """
 
@@ -61,10 +62,12 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", shi
         for batch in slices(batches, "__text"):
             found = [fingerprint(x, shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             values = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["__id", "fp"])
+            made = [batch.column(0), pa.array(values), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, names=["__id", "fp", "row"][: len(made)])
 
-    rows = docs.select(F.col(ident).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"))
-    return rows.mapInArrow(run, "__id long, fp long").withColumnRenamed("__id", ident)
+    more = [] if row is None else [row.cast("string").alias("row")]
+    rows = docs.select(F.col(ident).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"), *more)
+    return rows.mapInArrow(run, "__id long, fp long" + ", row string" * len(more)).withColumnRenamed("__id", ident)
 
 
 def _signed(value: int) -> int:
@@ -125,12 +128,26 @@ def near_duplicates(
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id.
 
-    Rows that repeat both id and text are kept once; rows with a null id all stay.
+    Every row is decided by its own fingerprint, so an id that stands with several texts is as many
+    documents. Null ids come after all others; a component that has only such keeps one of them. Among rows of one
+    component and id that differ in text, the one with the smallest digest of both stays; rows that repeat both
+    are kept once.
     """
-    groups = stage(near_duplicates(docs, ident, text, shingle, max_bits).select(ident, "component_id"))
-    gone = groups.where(F.col(ident) != F.col("component_id")).select(F.col(ident).alias("__gone")).distinct()
-    again = groups.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__again")).count().where("count > 1")
-    again = again.select("__again")
-    kept = docs.join(gone, docs[ident] == F.col("__gone"), "left_anti")
-    once = kept.join(again, kept[ident] == F.col("__again"), "left_anti")
-    return once.union(kept.join(again, kept[ident] == F.col("__again"), "left_semi").dropDuplicates([ident, text]))
+    # Id and text as one key; the sign before each tells null from empty.
+    own, whole = F.col(f"`{ident}`").cast("string"), F.col(f"`{text}`").cast("string")
+    row = F.md5(F.concat(F.coalesce(own, F.lit("-")), F.when(whole.isNull(), "-").otherwise(F.concat(F.lit("+"), whole))))
+    prints = fingerprints(docs, ident, text, shingle, row).withColumnRenamed(ident, "__id")
+    prints = stage(prints.groupBy(F.col("__id").alias("id"), "fp", "row").agg(F.count("*").alias("n")))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
+    found = components(links(first.select(F.col("fp").alias("node"), "fp"), max_bits))
+    merged = stage(first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    stays = merged.groupBy("component").agg(F.min("first")["row"].alias("stays"))
+    stays = merged.join(stays, "component").select(F.col("fp").alias("own_fp"), "stays")
+    decided = prints.join(stays, F.col("fp") == F.col("own_fp"))
+    gone = decided.where("row <> stays").select(F.col("row").alias("__gone"))
+    again = decided.where("row = stays and n > 1").select(F.col("row").alias("__again"))
+    kept = docs.withColumn("__row", row)
+    kept = kept.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    once = kept.join(again, F.col("__row") == F.col("__again"), "left_anti")
+    repeated = kept.join(again, F.col("__row") == F.col("__again"), "left_semi").dropDuplicates(["__row"])
+    return once.union(repeated).drop("__row")

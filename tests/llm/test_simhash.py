@@ -70,6 +70,18 @@ def test_empty_and_extra_columns(spark, docs):
     assert simhash.keep_one(df.union(df)).count() == 1
 
 
+def test_rows_that_share_an_id(docs):
+    a, b, c, d = (" ".join(random.Random(i).choices("abcdefgh", k=400)) for i in range(4))
+    # Near copies of c and d.
+    c2, d2, d3 = (next(y for y in (f"{x} {n}" for n in range(first, 1000)) if (plain(x) ^ plain(y)).bit_count() <= 2) for x, first in ((c, 0), (d, 0), (d, 200)))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (3, c2), (3, a), (7, "")]
+    rows += [(None, a), (None, d), (None, d), (None, d2), (None, None), (8, d3), (None, "alone")]
+    kept = simhash.keep_one(docs([(i, t, "en", None) for i, t in rows])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, a), (5, b), (3, c2), (7, ""), (8, d3), (0, "alone")])
+    kept = simhash.keep_one(docs([(None, d, "en", None), (None, d, "en", None), (None, d2, "en", None), (None, a, "en", None)])).collect()
+    assert len(kept) == 2 and a in [r["text"] for r in kept]
+
+
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)]
