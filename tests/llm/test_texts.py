@@ -174,6 +174,12 @@ def test_suffix_tree_learns(spark):
     assert held["score"].sum() > held["base_score"].sum()
 
 
+def test_tree_alone_learns(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = suffixtree.score(documents, queries.remainder("doc_id", 5) == 1, unigram=0.0).where("held_out").toPandas()
+    assert got["score"].sum() > got["base_score"].sum()
+
+
 def test_tree_distributions_sum_to_one(docs, spark):
     flat, at = suffixtree.normal([b"ab ab ac", b"ab ba", b""] * 50)
     keys, n = suffixtree.tally(suffixtree.grams(*suffixtree.sequence(flat, at)[:2]))
