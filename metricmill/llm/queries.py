@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricmill.llm import bpe, collisions, columns, langid, mixing, simhash, suffixtree, surrogates, toxicity, vptree
+from metricmill.llm import (
+    bpe, collisions, columns, isolation, langid, mixing, simhash, suffixtree, surrogates, toxicity, vptree,
+)
 from metricmill.llm.common import remainder, table
+from metricmill.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +146,12 @@ def suffix_columns(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_suffix_tree")
 def suffix_tree(spark: SparkSession, root: str) -> DataFrame:
     return suffixtree.score(table(spark, root, "documents"), remainder("doc_id", 5) == 1)
+
+
+@query("op12_isolation_rules")
+def isolation_rules(spark: SparkSession, root: str) -> DataFrame:
+    stats = stage(isolation.statistics(table(spark, root, "documents")))
+    forest = isolation.fit(stats, table(spark, root, "labels"))
+    return isolation.judge(stats, forest).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
