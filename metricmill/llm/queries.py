@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricmill.llm import (
-    bpe, collisions, columns, isolation, langid, mixing, simhash, suffixtree, surrogates, toxicity, vptree,
+    bpe, collisions, columns, isolation, langid, mixing, simhash, suffixtree, surrogates, toxicity, variants,
+    vptree,
 )
 from metricmill.llm.common import remainder, table
 from metricmill.session import stage
@@ -155,3 +156,8 @@ def isolation_rules(spark: SparkSession, root: str) -> DataFrame:
     return isolation.judge(stats, forest).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return variants.spellings(table(spark, root, "documents"), least=7, often=2, ratio=10)
