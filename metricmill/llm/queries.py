@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricmill.llm import (
-    bpe, collisions, columns, isolation, langid, mixing, simhash, suffixtree, surrogates, toxicity, variants,
+    alignment, bpe, collisions, columns, isolation, langid, mixing, simhash, suffixtree, surrogates, toxicity, variants,
     vptree,
 )
 from metricmill.llm.common import remainder, table
@@ -149,6 +149,13 @@ def suffix_tree(spark: SparkSession, root: str) -> DataFrame:
     return suffixtree.score(table(spark, root, "documents"), remainder("doc_id", 5) == 1)
 
 
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.link_scores(table(spark, root, "documents"), alignment.Vocabularies.read(*files))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query("op12_isolation_rules")
 def isolation_rules(spark: SparkSession, root: str) -> DataFrame:
     stats = stage(isolation.statistics(table(spark, root, "documents")))
