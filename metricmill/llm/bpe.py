@@ -2,7 +2,8 @@
 
 The rank file is a public vocabulary; its bytes are read where the query is planned and travel with
 the function. Within a task, texts are cut into pre-tokens by array operations, every different
-pre-token of a slice is resolved once, and the ids are spread back over the texts.
+pre-token of a slice is resolved once, and the ids are spread back over the texts. Pre-tokens are brought
+together by hash and then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from metricmill.llm import letters
 from metricmill.llm.common import runs, slices
-from metricmill.llm.hashing import PerfectHash, Spans
+from metricmill.llm.hashing import PerfectHash, Spans, unlike
 
 # Merged pre-tokens that a task remembers: the last so many, and as many before them.
 MEMORY = 150_000
@@ -119,8 +120,8 @@ class Encoder:
         self.rank_at = np.zeros(self.whole.n, np.int64)
         self.rank_at[self.whole.slots(self.keys)] = np.arange(len(tokens))
         self.kind = letters.classes()
-        self.known: dict[int, tuple[int, ...]] = {}
-        self.older: dict[int, tuple[int, ...]] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def resolve(self, keys: np.ndarray, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of different pre-tokens."""
@@ -129,13 +130,13 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
         out = []
-        for key, rank, word in zip(keys.tolist(), ranks, words):
+        for rank, word in zip(ranks, words):
             if rank >= 0 and self.tokens[rank] == word:
                 out.append((rank,))
                 continue
-            ids = self.known.get(key)
+            ids = self.known.get(word)
             if ids is None:
-                ids = self.known[key] = self.older.get(key) or merge(word, self.ranks)
+                ids = self.known[word] = self.older.get(word) or merge(word, self.ranks)
             out.append(ids)
         return out
 
@@ -152,6 +153,11 @@ class Encoder:
         last = np.append(first[1:], len(data))
         _, at, which = np.unique(hashed := Spans(data)(first, last), return_index=True, return_inverse=True)
         raw = data.tobytes()
+        odd = np.flatnonzero(unlike(data, first, last, at[which]))  # different pre-tokens of one hash
+        if len(odd):
+            new: dict[bytes, int] = {}
+            which[odd] = [len(at) + new.setdefault(raw[first[i]:last[i]], len(new)) for i in odd]
+            at = np.concatenate((at, [odd[(which[odd] == len(at) + k).argmax()] for k in range(len(new))]))
         words = [raw[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())]
         found = self.resolve(hashed[at], words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))

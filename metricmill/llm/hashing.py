@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from metricmill.llm.common import runs
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -31,6 +33,18 @@ class Spans:
         return scatter(raw + scatter((stops - starts).astype(np.uint64)))
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each (non-empty) span differs from the span that ``other`` gives its number."""
+    lengths = stops - starts
+    out = lengths != lengths[other]
+    same = np.flatnonzero(~out & (other != np.arange(len(other))))
+    if len(same):
+        lengths = lengths[same]
+        differ = data[runs(starts[same], lengths)] != data[runs(starts[other[same]], lengths)]
+        out[same] = np.bitwise_or.reduceat(differ, np.cumsum(lengths) - lengths)
+    return out
+
+
 def scatter(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
