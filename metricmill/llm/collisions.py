@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from metricmill.llm.components import components
 from metricmill.llm.hashing import BASE, scatter
-from metricmill.llm.vectors import matrix, unit, usable
+from metricmill.llm.vectors import balanced, matrix, unit, usable
 from metricmill.session import stage
 
 COUNTED, HIT, MISS = 32, 0.9, 1e-4
@@ -106,12 +106,30 @@ class Plan:
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of row pairs of the original vectors, in double precision."""
+    x, y = balanced(x), balanced(y)
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
+def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node reachable by the links a to b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b, of_a, of_b): pairs of ids whose vectors reach the cosine, with the number of equal vectors of each.
+    """(id, linked, root): what the meetings of blocks found out about each of their vectors that has a link there.
 
+    linked counts the rows whose vectors reach the cosine, each pair in one meeting only; root is the smallest
+    id that links of the meeting reach. So a meeting writes a row per vector however many pairs it has.
     ``distinct`` holds (id, n, v): an id, how many rows share the vector, and the vector as doubles.
     """
 
@@ -157,9 +175,15 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
             keep[at: at + len(a)] = (cells[back[: len(a)]] == cells[back[len(a):]]).argmax(axis=1) == no
         keep = keep[: len(i)]
         i, j = i[keep], j[keep]
-        return pa.table({"a": ids[i], "b": ids[j], "of_a": n[i], "of_b": n[j]})
+        linked = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        root = ids[order][smallest_reachable(len(ids), place[i], place[j])[place]]
+        some = linked > 0
+        return pa.table({"id": ids[some], "linked": linked[some].astype(np.int64), "root": root[some]})
 
-    return rows.groupBy("cell", "first", "second").applyInArrow(meet, "a long, b long, of_a long, of_b long")
+    return rows.groupBy("cell", "first", "second").applyInArrow(meet, "id long, linked long, root long")
 
 
 def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -178,16 +202,15 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     distinct = stage(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "v"))
     found = None
     for width, count in distinct.groupBy(F.size("v")).count().collect():  # a table has one or few dimensions
-        pairs = links(distinct.where(F.size("v") == width), Plan(cosine, width, count))
-        found = pairs if found is None else found.union(pairs)
+        met = links(distinct.where(F.size("v") == width), Plan(cosine, width, count))
+        found = met if found is None else found.union(met)
     if found is None:
         return rows.select(F.col("id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     found = stage(found)
-    both = found.select(F.col("a").alias("id"), F.col("of_b").alias("n")).union(found.select(F.col("b").alias("id"), F.col("of_a").alias("n")))
-    degree = both.groupBy("id").agg(F.sum("n").alias("linked"))
+    degree = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     whole = (
         distinct.join(degree, "id", "left")
-        .join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left")
+        .join(components(found, "id", "root").withColumnRenamed("node", "id"), "id", "left")
         .select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     linked = good.join(whole, "v").select("id", "n_links", "component_id")

@@ -22,7 +22,15 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def balanced(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two that brings their largest component to 0.5 to 1.
+
+    Exact, so cosines stay what they are, and squares neither overflow nor vanish.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows divided by their length; scaled first, so that extreme components neither overflow nor vanish."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows divided by their length."""
+    x = balanced(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
