@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.llm.common import in_place, runs, slices
+from metricmill.llm.common import runs, slices, told_apart
 from metricmill.llm.hashing import Spans
 from metricmill.session import scratch, stage
 
 GRAM = 16
+ROW = "rid struct<file: long, row: long>"
 CROWD = 3000
 # Different segments that one task sorts, about.
 SHARD = 8192
@@ -136,13 +137,13 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
     spans are the maximal runs (start, stop) of UTF-8 bytes covered by strings of ``width`` bytes that also
     start anywhere else in the table, the same text included; kept are the remaining bytes. Null counts as
     empty text; texts shorter than ``width`` have no spans; repeated rows and null ids are documents like any
-    other. Rows are told apart by their place in the input: ``docs`` is best read
-    from files, and is checkpointed if its plan shuffles. An empty table gives an empty result.
+    other. Rows are told apart by file and row number; a table that is not read from files is
+    checkpointed first. An empty table gives an empty result.
     """
-    rows = in_place(docs).select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(f"`{ident}`").alias("id"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"),
+    rows = told_apart(docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").alias("__text"))).select(
+        F.col("__row").alias("rid"),
+        F.col("__id").alias("id"),
+        F.coalesce(F.col("__text").cast("string"), F.lit("")).cast("binary").alias("data"),
     )
     long = rows.where(F.length("data") >= width).select("rid", "data")
 
@@ -156,14 +157,14 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
             doc = np.searchsorted(docs_at, first, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(batch.column(0).to_numpy()[doc]), pa.array(h), pa.array(seg),
+                    batch.column(0).take(pa.array(doc)), pa.array(h), pa.array(seg),
                     pa.array((first - docs_at[doc]).astype(np.int32)), pa.array((last - first).astype(np.int32)),
                     pa.array((anchor - first).astype(np.int32)),
                 ],
                 names=["rid", "h", "seg", "first", "more", "off"],
             )
 
-    kinds = "rid long, h long, seg long, first int, more int, off int"
+    kinds = f"{ROW}, h long, seg long, first int, more int, off int"
     path = scratch(docs.sparkSession, "anchors")
     long.mapInArrow(anchors, kinds).write.parquet(path)
     found = docs.sparkSession.read.schema(kinds).parquet(path)
@@ -192,11 +193,11 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
         end = np.append(begin[1:], len(which)) - 1 if len(begin) else begin
         at = table["first"].to_numpy().astype(np.int64)[which[begin]]
         return pa.table(
-            {"rid": table["rid"].to_numpy()[which[begin]], "start": at + start[begin], "stop": at + start[end] + width}
+            {"rid": table["rid"].take(pa.array(which[begin])), "start": at + start[begin], "stop": at + start[end] + width}
         )
 
     spread = segment.where(f"kinds <= {CROWD}").withColumn("shard", F.pmod("h", F.lit(shards)))
-    sorted_ = spread.groupBy("shard").applyInArrow(sort, "rid long, start long, stop long")
+    sorted_ = spread.groupBy("shard").applyInArrow(sort, f"{ROW}, start long, stop long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 500_000):
@@ -209,7 +210,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
             other = Spans(data.astype(np.uint64) ^ np.uint64(0x5A5A5A5A))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(batch.column(0).to_numpy()[own]),
+                    batch.column(0).take(pa.array(own)),
                     pa.array(batch.column(2).to_numpy().astype(np.int64)[own] + at - begins[own]),
                     pa.array(Spans(data)(at, at + width).view(np.int64)), pa.array(other(at, at + width).view(np.int64)),
                 ],
@@ -217,7 +218,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
             )
 
     crowded = segment.where(f"kinds > {CROWD}").select("rid", "id", "first", "data")
-    counted = crowded.mapInArrow(windows, "rid long, start long, x long, y long")
+    counted = crowded.mapInArrow(windows, f"{ROW}, start long, x long, y long")
     twice = counted.groupBy("x", "y").count().where("count > 1").select("x", "y")
     counted = counted.join(twice, ["x", "y"]).select("rid", "start", (F.col("start") + width).alias("stop"))
 

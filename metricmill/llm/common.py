@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,38 @@ def remainder(ident: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")), F.lit(0)) % modulus
 
 
-def in_place(docs: DataFrame) -> DataFrame:
-    """``docs`` with rows that keep their places when they are read again.
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns called c0, c1, ..., so that no name of the caller's meets one of ours.
 
-    Files are read alike each time; rows that went through a shuffle are checkpointed.
+    Also what the given columns are called there. ``toDF(*docs.columns)`` gives the names back.
     """
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return stage(docs) if "Exchange" in plan else docs
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*own), [own[docs.columns.index(name)] for name in names]
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__row``, struct(file, row), that no two rows share and that stays however it is read again.
+
+    Rows that come from files by projections and filters alone are known by the file (a 64-bit hash of its
+    path) and the row's number in it, which do not depend on how a scan is split. All others are
+    checkpointed first and known by their place in the checkpoint.
+    """
+    nodes, simple = [docs._jdf.queryExecution().analyzed()], "_metadata" not in docs.columns
+    while nodes and simple:
+        node = nodes.pop()
+        children = node.children()
+        if children.isEmpty():
+            simple = node.nodeName().startswith("LogicalRelation") and len(docs.inputFiles()) == len(set(docs.inputFiles()))
+        simple = simple and (children.isEmpty() or node.nodeName() in ("Project", "Filter", "SubqueryAlias"))
+        nodes += [children.apply(i) for i in range(children.size())]
+    if simple:
+        try:
+            file, row = F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")
+            return docs.select("*", F.struct(file, row).alias("__row"))
+        except AnalysisException:  # a format whose rows have no number
+            pass
+    here = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return stage(docs).withColumn("__row", here)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

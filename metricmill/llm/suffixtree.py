@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.llm.common import in_place, slices
+from metricmill.llm.common import slices, told_apart
 from metricmill.llm.hashing import Spans
 from metricmill.session import scratch, stage
 
@@ -179,14 +179,15 @@ def score(
     tokens under smoothed unigrams, score that of the text under the tree, of which a share ``unigram`` is given
     to the words' shares. Null counts as empty text (one
     token, the end); null and repeated ids keep their rows. Without training texts all symbols are equally
-    likely. Rows are told apart by their place in the input: ``docs`` is best read
-    from files, and is checkpointed if its plan shuffles. An empty table gives an empty result.
+    likely. Chunks are rows of a file in a row; a table that is not read from files is checkpointed
+    first. Other columns are not read; an empty table gives an empty result.
     """
-    rows = in_place(docs).select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col(f"`{ident}`").alias("id"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"),
+    own = F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")
+    rows = told_apart(docs.select(*own, F.coalesce(held_out, F.lit(False)).alias("held_out"))).select(
+        F.xxhash64("__row.file", F.shiftright("__row.row", CHUNK)).alias("chunk"),
+        F.col("__id").alias("id"),
+        "held_out",
+        F.coalesce("__text", F.lit("")).cast("binary").alias("data"),
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +203,12 @@ def score(
         held: list = []
         here = None
         for batch in slices(batches, "data"):
-            rid = batch.column(0).to_numpy()
+            chunks = batch.column(0).to_numpy()
             train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             flat, at = normal(batch.column(2).to_pylist())
             hashes, doc = words(flat, at)
-            chunk = rid[doc] >> CHUNK
-            for c in np.unique(chunk):
+            chunk = chunks[doc]
+            for c in dict.fromkeys(chunk.tolist()):
                 if c != here:
                     if seen:
                         yield out(WORDS, here, *tally(*(np.concatenate(x) for x in zip(*seen))))
@@ -229,7 +230,7 @@ def score(
     spark = docs.sparkSession
     path = scratch(spark, "suffix-tree")
     kinds = "kind int, chunk long, key long, n long"
-    rows.select("rid", "held_out", "data").mapInArrow(count, kinds).write.parquet(path)
+    rows.select("chunk", "held_out", "data").mapInArrow(count, kinds).write.parquet(path)
     counted = spark.read.schema(kinds).parquet(path)
 
     every = stage(counted.where(F.col("kind") == GRAMS).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
@@ -292,9 +293,7 @@ def score(
 
     kind = rows.schema["id"].dataType.simpleString()
     out_schema = pa.schema([("id", texts_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    chunked = rows.select("rid", "id", "held_out", "data", F.shiftright("rid", CHUNK).alias("chunk"))
-    chunked = chunked.select("rid", "id", "held_out", "data", "chunk")
-    rated = chunked.groupBy("chunk").cogroup(answered.groupBy("for_chunk")).applyInArrow(
+    rated = rows.groupBy("chunk").cogroup(answered.groupBy("for_chunk")).applyInArrow(
         rate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return rated.withColumnRenamed("id", ident)
