@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricmill.llm import letters
-from metricmill.llm.common import slices
+from metricmill.llm.common import apart, slices
 from metricmill.llm.hashing import PerfectHash, Spans
 from metricmill.session import stage
 
@@ -255,7 +255,12 @@ def identify(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "
 def keep_identified(
     docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", least: float = 0.5
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a posterior of at least ``least``, unchanged."""
+    """The rows of ``docs`` whose text has a language with a posterior of at least ``least``, unchanged.
+
+    Decided row by row: repeated and null ids do not matter, null and empty texts go, very long ones are
+    read whole. Without a learned language and on an empty table nothing is left.
+    """
+    plain, (text,) = apart(docs, text)
     at = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,5 +271,5 @@ def keep_identified(
                 kept = batch.filter(keep)
                 yield pa.RecordBatch.from_arrays(kept.columns[:at], names=kept.schema.names[:at])
 
-    schema = docs.schema
-    return docs.withColumn("__text", F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    schema = plain.schema
+    return plain.withColumn("__text", F.col(text).cast("string")).mapInArrow(run, schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricmill.llm.common import WORD
+from metricmill.llm.common import WORD, apart
 from metricmill.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -143,8 +143,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, columns unchanged.
 
-    Rows that share id, source and size share the number of copies, the largest of theirs.
+    Rows that share id, source and size share the number of copies, the largest of theirs. Documents without
+    words (null and empty texts too) are never taken; null sources and ids are values like any other; texts are
+    counted whole; an empty table gives an empty result.
     """
+    names = docs.columns
+    docs, (ident, text, source) = apart(docs, ident, text, source)
     plan = mix(docs, ident, text, source, **options).where("copies > 0")
     plan = plan.groupBy(
         F.col(ident).alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size")
@@ -156,4 +160,4 @@ def mixed_documents(
         & (F.col("__mix_words") == F.col("__mix_size"))
     )
     found = rows.join(plan, same).withColumn("__mix_again", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*docs.columns).toDF(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricmill.llm.common import slices
+from metricmill.llm.common import apart, slices
 from metricmill.llm.components import components
 from metricmill.session import stage
 
@@ -131,8 +131,10 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle
     Every row is decided by its own fingerprint, so an id that stands with several texts is as many
     documents. Null ids come after all others; a component that has only such keeps one of them. Among rows of one
     component and id that differ in text, the one with the smallest digest of both stays; rows that repeat both
-    are kept once.
+    are kept once. Null and empty texts are documents without words; an empty table gives an empty result.
     """
+    names = docs.columns
+    docs, (ident, text) = apart(docs, ident, text)
     # Id and text as one key; the sign before each tells null from empty.
     own, whole = F.col(f"`{ident}`").cast("string"), F.col(f"`{text}`").cast("string")
     row = F.md5(F.concat(F.coalesce(own, F.lit("-")), F.when(whole.isNull(), "-").otherwise(F.concat(F.lit("+"), whole))))
@@ -150,4 +152,4 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle
     kept = kept.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     once = kept.join(again, F.col("__row") == F.col("__again"), "left_anti")
     repeated = kept.join(again, F.col("__row") == F.col("__again"), "left_semi").dropDuplicates(["__row"])
-    return once.union(repeated).drop("__row")
+    return once.union(repeated).drop("__row").toDF(*names)

@@ -15,6 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricmill.llm.common import apart
 from metricmill.session import stage
 
 _EDGE = "(?<![0-9A-Za-z])"
@@ -315,9 +316,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = "surrogates", m
     of the same case, digits by digits, names by names of the same gender and script; separators, country
     codes, the top domain, the card's first digit and its valid check digit stay. The same entity, in whatever
     spelling, has one surrogate in all texts, different entities have different ones; another ``key`` gives
-    others. Null texts stay null; texts without an entity are not touched or shuffled; repeated rows stay
-    alike. With ``marks`` the number of replaced entities is added as ``n_entities``.
+    others. Null texts stay null; texts without an entity are not touched or shuffled; very long texts are
+    searched whole; repeated rows stay alike; an empty table gives an empty result. With ``marks`` the number of replaced entities is added as ``n_entities``.
     """
+    all_names = docs.columns
+    docs, (text,) = apart(docs, text)
     value = F.col(f"`{text}`").cast("string")
     found = docs.withColumn("__pii", find(value))
     # Texts with titled names are searched once more, for other mentions of these.
@@ -339,4 +342,4 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = "surrogates", m
     changed = [whole.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     count = F.size(F.filter(F.arrays_zip("__pii", "__pii_new"), lambda x: x["__pii"] != x["__pii_new"]))
     out = rest.union(hit.select(*changed, count.cast("long").alias("__pii_n")))
-    return out.withColumnRenamed("__pii_n", "n_entities") if marks else out.drop("__pii_n")
+    return out.toDF(*all_names, "n_entities") if marks else out.drop("__pii_n").toDF(*all_names)
