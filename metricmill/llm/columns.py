@@ -32,7 +32,7 @@ from metricmill.llm.hashing import Spans
 from metricmill.session import scratch, stage
 
 GRAM = 16
-ROW = "rid struct<file: long, row: long>"
+ROW, ROW_TYPE = "rid struct<file: long, row: long>", pa.struct([("file", pa.int64()), ("row", pa.int64())])
 CROWD = 3000
 # Different segments that one task sorts, about.
 SHARD = 8192
@@ -193,7 +193,7 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: i
         end = np.append(begin[1:], len(which)) - 1 if len(begin) else begin
         at = table["first"].to_numpy().astype(np.int64)[which[begin]]
         return pa.table(
-            {"rid": table["rid"].take(pa.array(which[begin])), "start": at + start[begin], "stop": at + start[end] + width}
+            {"rid": table["rid"].take(pa.array(which[begin])).cast(ROW_TYPE), "start": at + start[begin], "stop": at + start[end] + width}
         )
 
     spread = segment.where(f"kinds <= {CROWD}").withColumn("shard", F.pmod("h", F.lit(shards)))

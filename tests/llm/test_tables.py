@@ -228,3 +228,25 @@ def test_pipeline(spark, docs, on_disk):
 
 def test_pipeline_of_an_empty_table(spark, docs, on_disk):
     assert corpus_pipeline.run(spark, on_disk(documents=docs([]))).count() == 0
+
+
+@pytest.mark.parametrize("extra", [
+    ["__text", "__id", "c0", "c1"], ["__mix_id", "__mix_words", "copies", "size"], ["__row", "row", "fp", "component"], ["__pii", "__pii_n", "__pii_any", "entities"],
+])
+def test_stages_keep_the_callers_columns(spark, extra):
+    """Columns that are called as the code's own ones come through unchanged."""
+    from metricmill.llm import simhash
+    from metricmill.llm.langid import Model
+
+    texts = ["Mr John Smith wrote to john.smith@example.com about the weather.", "Das Wetter ist schön und warm.", "Le temps est beau.", None]
+    rows = [(i, t, "en", "a", *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in extra))
+    model = langid.fit(table, corpus_pipeline.PIECES)
+    assert isinstance(model, Model)
+    made = [
+        langid.keep_identified(table, model, least=0.0), simhash.keep_one(table), surrogates.pseudonymize(table, key="k"), mixing.mixed_documents(table),
+    ]
+    for out in made:
+        assert out.columns == table.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r['doc_id']}" for r in found for c in extra)

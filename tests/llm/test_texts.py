@@ -240,3 +240,43 @@ def test_repeats_of_repeated_rows(docs):
     got = columns.repeats(df).collect()
     assert sorted(len(r["kept"]) for r in got) == [0, 0, 381]
     assert columns.repeats(docs([])).count() == 0
+
+
+def test_pre_tokens_of_one_hash_are_told_apart(encoder, library):
+    """A Thue-Morse word and its complement collide under every polynomial modulo 2 ** 64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + other).encode(), np.uint8)
+    assert len(set(Spans(data)(np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 1
+    texts = [word, other, f"x {other} {word} y", word[:1024], other[:1024], "y"]
+    ids, upto = encoder.encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[upto[i]: upto[i + 1]].tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("name", ["op7_suffix_tree", "op10_suffix_columns"])
+def test_rows_are_the_same_however_scans_are_split(spark, tmp_path, monkeypatch, name):
+    """Scans are planned for as many cores as there are; here their number changes between the scans of one query."""
+    draw = random.Random(3)
+    shared = ["".join(draw.choice("abcdefgh ") for _ in range(900)) for _ in range(6)]
+    rows = [(i, "".join(draw.choice("abcdefgh ") for _ in range(draw.randint(0, 900))) + draw.choice([*shared, ""])) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(columns, "scratch", lambda *a, inner=columns.scratch: (spark.conf.set("spark.sql.files.maxPartitionBytes", "7k"), inner(*a))[1])
+    monkeypatch.setattr(suffixtree, "scratch", lambda *a, inner=suffixtree.scratch: (spark.conf.set("spark.sql.files.maxPartitionBytes", "7k"), inner(*a))[1])
+    monkeypatch.setattr(columns, "stage", lambda df, inner=columns.stage: (inner(df), spark.conf.set("spark.sql.files.maxPartitionBytes", "99k"))[0])
+    monkeypatch.setattr(suffixtree, "stage", lambda df, inner=suffixtree.stage: (inner(df), spark.conf.set("spark.sql.files.maxPartitionBytes", "99k"))[0])
+    try:
+        got = {r["doc_id"]: tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 400 and all(got[i] == pytest.approx(want[i]) if name.startswith("op7") else got[i] == want[i] for i in want)
+
+
+def test_tables_that_are_not_files_are_told_apart_too(docs):
+    text = "".join(random.Random(1).choice("abc") for _ in range(600))
+    table = docs([text, text, "short"])
+    found = columns.repeats(table.union(table).repartition(3), width=400).collect()
+    assert sorted(len(r["kept"]) for r in found) == [0, 0, 0, 0, 5, 5]

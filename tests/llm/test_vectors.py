@@ -112,3 +112,41 @@ def test_ties_and_unusable_vectors(spark):
     few = vptree.nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
     assert sorted((r["rank"], r["vec_id"]) for r in few) == [(1, 1), (2, 2)]
     assert vptree.nearest(df.limit(0), df).count() == 0 and vptree.nearest(df, df.limit(0)).count() == 0
+
+
+def test_scaled_copies_tie_and_go_to_the_smaller_id(spark):
+    draw = np.random.default_rng(5)
+    one = draw.standard_normal(6)
+    rows = [(i, [float(c) for c in one * 2.0 ** ((7 * i) % 40 - 20)], 0) for i in range(60)]
+    rows += [(100 + i, [float(c) for c in draw.standard_normal(6)], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for shard in (8192, 10):
+        got = vptree.nearest(df, df.where("vec_id in (0, 3, 50)"), shard_rows=shard).collect()
+        by = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 3, 50)}
+        assert by == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 50: [0, 1, 2, 3, 4]}
+
+
+def test_extreme_magnitudes(spark):
+    rows = [(0, [1e200, 1e200], 0), (1, [2e200, 2e200], 0), (2, [1e-200, -1e-200], 0), (3, [1e-310, 1e-310], 0), (4, [1.0, 0.9], 0), (5, [-3e307, 3e307], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in collisions.near_duplicates(df).collect()}
+    assert [found[i]["n_links"] for i in range(6)] == [3, 3, 0, 3, 3, 0]
+    got = vptree.nearest(df, df.where("vec_id = 0")).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 3, 4, 2, 5]
+    assert all(abs(r["score"]) <= 1 + 1e-12 for r in got)
+
+
+def test_blocks_of_queries_change_nothing(spark):
+    df = frame(spark, crowd(300, 6, (0.05,), 2))
+    asked = df.where("vec_id % 3 = 0")
+    whole, blocks = (sorted(map(tuple, vptree.nearest(df, asked, shard_rows=90, query_block=n).collect())) for n in (65_536, 25))
+    assert whole == blocks and len(whole) == asked.count() * 5
+
+
+def test_smallest_reachable_against_classes():
+    draw = np.random.default_rng(9)
+    for n in (1, 5, 60):
+        for m in (0, n // 2, 3 * n):
+            a, b = draw.integers(0, n, m), draw.integers(0, n, m)
+            want = classes(range(n), zip(a.tolist(), b.tolist()))
+            assert collisions.smallest_reachable(n, a, b).tolist() == [want[i] for i in range(n)]
