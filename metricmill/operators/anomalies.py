@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricmill.functions.quantiles import with_quantiles
 from metricmill.functions.timeparts import pattern_slot
 from metricmill.operators.series import KEY, in_order, indexed, whole
 
@@ -52,10 +53,8 @@ def z_score(series: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def iqr(series: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    rows = indexed(series).withColumn(
-        "q", F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(whole())
-    )
-    low, high = F.col("q")[0], F.col("q")[1]
+    rows = with_quantiles(indexed(series), [KEY], "value", {"q1": 0.25, "q3": 0.75})
+    low, high = F.col("q1"), F.col("q3")
     width = high - low
     rows = (
         rows.withColumn("lower", low - threshold * width)

@@ -75,7 +75,12 @@ def _line_columns() -> list[Column]:
 
 
 def linear_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
-    fits = with_line(series).groupBy(KEY).agg(*_fit_metrics(), *_line_columns())
+    return _line_rows(with_line(series), periods)
+
+
+def _line_rows(rows: DataFrame, periods: int) -> DataFrame:
+    """Forecasts from rows that carry their series' line."""
+    fits = rows.groupBy(KEY).agg(*_fit_metrics(), *_line_columns())
     return _rows(_steps(fits, periods), _line_ahead(), F.lit("linear_regression"))
 
 
@@ -121,30 +126,36 @@ def seasonal_linear_forecast(series: DataFrame, periods: int = 7) -> DataFrame:
     return _rows(_steps(fits, periods), _line_ahead() * factor, F.lit("seasonal_linear"), "mape")
 
 
-def forecast(series: DataFrame, periods: int = 7, method: str = "auto", strict: bool = False) -> DataFrame:
+def forecast(
+    series: DataFrame, periods: int = 7, method: str = "auto", strict: bool = False,
+    smoothing: tuple[float, float, float] | None = None,
+) -> DataFrame:
     """Forecast rows for every series of at least ten points.
 
     A shorter series has its steps with method ``too_short`` and no values; ``strict`` fails the
-    job on it instead. An unknown method means linear. In auto mode each series goes to its own method; the reduced
-    series are staged, so the facts are read once for both branches.
+    job on it instead. An unknown method means linear. In auto mode each series goes to its own method. The
+    reduced series are staged with their line and their method, so the facts are read once, and only methods that
+    some series has are planned. ``smoothing`` gives the parameters of the smoothing instead of fitting them.
     """
-    counted = indexed(series)
+    counted = with_line(series)
     if strict:
         short = F.raise_error(F.lit(f"need at least {MIN_POINTS} data points for forecasting"))
         counted = counted.withColumn("n", F.when(F.col("n") >= MIN_POINTS, F.col("n")).otherwise(short.cast("long")))
-    usable = counted.filter(F.col("n") >= MIN_POINTS)
-    short = _too_short(counted.filter(F.col("n") < MIN_POINTS), periods)
-    if method == "auto":
-        slope = F.regr_slope("value", "idx").over(whole())
-        reach = F.max("value").over(whole()) - F.min("value").over(whole())
-        tagged = usable.withColumn("slope", slope).withColumn("data_range", reach)
-        tagged = stage(tagged.select(KEY, "ts", "value", _auto_method().alias("method")))
-        parts = [
-            forecast_by(tagged.filter(F.col("method") == name).drop("method"), periods, name)
-            for name in ("linear", "exponential_smoothing")
-        ]
-        return parts[0].unionByName(parts[1]).unionByName(short)
-    return forecast_by(usable.select(KEY, "ts", "value"), periods, method).unionByName(short)
+    reach = F.max("value").over(whole()) - F.min("value").over(whole())
+    chosen = _auto_method() if method == "auto" else F.lit(method)
+    chosen = F.when(F.col("n") < MIN_POINTS, "too_short").otherwise(chosen)
+    tagged = stage(counted.withColumn("data_range", reach).withColumn("method", chosen).drop("data_range"))
+    found = None
+    for name in sorted(r[0] for r in tagged.select("method").distinct().collect()):
+        rows = tagged.filter(F.col("method") == name)
+        if name == "too_short":
+            part = _too_short(rows, periods)
+        elif name in ("moving_average", "exponential_smoothing", "seasonal_linear"):
+            part = forecast_by(rows.select(KEY, "ts", "value"), periods, name, smoothing)
+        else:
+            part = _line_rows(rows, periods)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else _too_short(tagged, periods)
 
 
 def _too_short(rows: DataFrame, periods: int) -> DataFrame:
@@ -153,11 +164,13 @@ def _too_short(rows: DataFrame, periods: int) -> DataFrame:
     return _rows(_steps(fits, periods), F.lit(None).cast("double"), F.lit("too_short"))
 
 
-def forecast_by(series: DataFrame, periods: int, method: str) -> DataFrame:
+def forecast_by(
+    series: DataFrame, periods: int, method: str, smoothing: tuple[float, float, float] | None = None
+) -> DataFrame:
     if method == "moving_average":
         return moving_average_forecast(series, periods)
     if method == "exponential_smoothing":
-        return smoothing_forecast(series, periods)
+        return smoothing_forecast(series, periods, parameters=smoothing)
     if method == "seasonal_linear":
         return seasonal_linear_forecast(series, periods).drop("mape")
     return linear_forecast(series, periods)

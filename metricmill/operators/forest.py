@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricmill.functions.quantiles import with_quantiles
 from metricmill.operators.anomalies import anomaly_rows, severity
-from metricmill.operators.series import KEY, indexed, whole
+from metricmill.operators.series import KEY, indexed
+from metricmill.session import stage
 
 EULER = 0.5772156649015329
 
@@ -86,8 +88,7 @@ def isolation_forest(
         merged.withColumn("path", F.sum("step").over(running) / trees)
         .filter("is_step = 0")
         .withColumn("score", F.pow(F.lit(2.0), -F.col("path") / usual))
-        .withColumn("cut", F.percentile("score", F.lit(1.0 - contamination)).over(whole()))
-        .filter("score > cut")
     )
+    scored = with_quantiles(stage(scored), [KEY], "score", {"cut": 1.0 - contamination}).filter("score > cut")
     score = F.col("score")
     return anomaly_rows(scored, "isolation_forest", F.lit(0.0), score, score, severity(score * 10))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricmill.functions.quantiles import exact_quantiles
+from metricmill.functions.quantiles import BIN, COUNT, HIGH, LOW, exact_quantiles, histogram
 from metricmill.functions.timeparts import bucket_start, days_before, in_period, instant
 
 TS = "event_timestamp"
@@ -164,31 +164,29 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def column_summary(df: DataFrame) -> DataFrame:
     """Row count, and min / max / mean / median / deviation of every numeric column.
 
-    The moments are one aggregate of the frame as it stands. The exact medians read it twice more and
-    shuffle only the few values around each median.
+    One pass counts every column's values in bins with their moments, from which all but the medians follow;
+    a second one reads the few values around each median.
     """
     names = numeric_columns(df)
-    moments = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count("*").alias("row_count"),
-                    F.count(c).alias("non_null"),
-                    F.min(c).cast("double").alias("min"),
-                    F.max(c).cast("double").alias("max"),
-                    F.avg(c).cast("double").alias("mean"),
-                    F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(c), F.lit(0.0))).alias("std"),
-                )
-                for c in names
-            ]
-        ).alias("rows")
-    ).select(F.inline("rows"))
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names]))
     )
-    medians = exact_quantiles(long, ["column"], "v", {"median": 0.5})
-    return moments.join(medians, "column", "left")
+    held = histogram(long, ["column"], "v", moments=True)
+    full = F.col(BIN).isNotNull()
+    sums = held.groupBy("column").agg(
+        F.sum(COUNT).alias("row_count"), F.coalesce(F.sum(F.when(full, F.col(COUNT))), F.lit(0)).alias("non_null"),
+        F.min(LOW).alias("min"), F.max(HIGH).alias("max"), F.sum("total").alias("total"),
+    ).withColumn("mean", F.try_divide("total", "non_null"))
+    off = F.col("total") / F.col(COUNT) - F.col("mean")
+    square = held.join(sums.select("column", "mean"), "column").groupBy("column").agg(
+        F.sum(F.when(full, F.col("square") + F.col(COUNT) * off * off)).alias("square")
+    )
+    deviation = F.when(F.col("non_null") > 1, F.sqrt(F.col("square") / (F.col("non_null") - 1))).when(F.col("non_null") == 1, 0.0)
+    moments = sums.join(square, "column").select("column", "row_count", "non_null", "min", "max", "mean", deviation.alias("std"))
+    medians = exact_quantiles(long, ["column"], "v", {"median": 0.5}, held)
+    empty = df.sparkSession.createDataFrame([(c,) for c in names], "column string")  # a frame without rows has its columns too
+    found = empty.join(moments, "column", "left").join(medians, "column", "left")
+    return found.fillna(0, ["row_count", "non_null"])
 
 
 def analytics_query(

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricmill.functions.quantiles import exact_quantiles
+from metricmill.functions.quantiles import BIN, COUNT, exact_quantiles, histogram
 from metricmill.functions.texts import BOTTLENECK_ACTION, DISRUPTION_ACTION, REORDER
 from metricmill.functions.timeparts import in_period, instant
 from metricmill.session import stage
@@ -107,11 +107,17 @@ def supply_disruptions(operations: DataFrame, as_of, threshold_hours: float = 48
 def bottlenecks(
     operations: DataFrame, as_of, days: float = 30, min_orders: int = 10,
 ) -> DataFrame:
-    """Warehouses whose average exceeds the mean of averages by a population deviation."""
+    """Warehouses whose average exceeds the mean of averages by a population deviation.
+
+    Averages and quantiles come from one count of the period by warehouse and bin; the period is read again
+    only for bins that hold a wanted rank among different values.
+    """
     recent = operations.filter(in_period(TS, as_of, days))
+    held = histogram(recent, ["warehouse_id"], "fulfillment_time_hours", moments=True)
+    given = F.sum(F.when(F.col(BIN).isNotNull(), F.col(COUNT)))
     averages = stage(
-        recent.groupBy("warehouse_id")
-        .agg(F.avg("fulfillment_time_hours").alias("avg_fulfillment_time"), F.count("*").alias("order_count"))
+        held.groupBy("warehouse_id")
+        .agg(F.try_divide(F.sum("total"), given).alias("avg_fulfillment_time"), F.sum(COUNT).alias("order_count"))
         .filter(F.col("order_count") >= min_orders)
     )
     spread = averages.select(
@@ -123,13 +129,14 @@ def bottlenecks(
     flagged = averages.filter(F.col("avg_fulfillment_time") > spread["limit"]).withColumn(
         "percent_of_slowest", F.col("avg_fulfillment_time") / spread["slowest"] * 100
     )
-    # Only flagged warehouses need their quantiles.
-    slow = recent.join(flagged.select("warehouse_id"), "warehouse_id", "left_semi")
+    # Only flagged warehouses need their quantiles; the one without an id may be among them.
+    slow = flagged.select(F.col("warehouse_id").alias("slow_id"))
     quantiles = exact_quantiles(
-        slow, ["warehouse_id"], "fulfillment_time_hours", {"median_time": 0.5, "p95_time": 0.95}
-    )
+        recent, ["warehouse_id"], "fulfillment_time_hours", {"median_time": 0.5, "p95_time": 0.95},
+        held.join(slow, F.col("warehouse_id").eqNullSafe(F.col("slow_id")), "left_semi"),
+    ).withColumnRenamed("warehouse_id", "slow_id")
     return (
-        flagged.join(quantiles, "warehouse_id")
+        flagged.join(quantiles, F.col("warehouse_id").eqNullSafe(F.col("slow_id"))).drop("slow_id")
         .withColumn("suggested_action", F.lit(BOTTLENECK_ACTION))
         .orderBy(F.desc("avg_fulfillment_time"), "warehouse_id")
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricmill.functions.quantiles import exact_quantiles, mode_of, with_quantiles
 from metricmill.functions.tdist import t_two_sided
 from metricmill.functions.timeparts import seasonal_slot
 
@@ -91,9 +92,8 @@ def mark_outliers(series: DataFrame, method: str = "iqr", threshold: float = 1.5
     """Adds a flag ``outlier``; fewer than 4 points, or no spread for z-scores, flag nothing."""
     rows = indexed(series)
     if method == "iqr":
-        quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(whole())
-        rows = rows.withColumn("q", quartiles)
-        low, high = F.col("q")[0], F.col("q")[1]
+        rows = with_quantiles(rows, [KEY], "value", {"q1": 0.25, "q3": 0.75})
+        low, high = F.col("q1"), F.col("q3")
         reach = threshold * (high - low)
         flag = (F.col("value") < low - reach) | (F.col("value") > high + reach)
     elif method == "zscore":
@@ -102,7 +102,7 @@ def mark_outliers(series: DataFrame, method: str = "iqr", threshold: float = 1.5
         flag = F.coalesce(F.col("q") > threshold, F.lit(False))
     else:
         raise ValueError(f"unknown outlier method: {method}")
-    return rows.withColumn("outlier", (F.col("n") >= 4) & flag).drop("q")
+    return rows.withColumn("outlier", (F.col("n") >= 4) & flag).drop("q", "q1", "q3")
 
 
 def outlier_summary(series: DataFrame, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
@@ -204,25 +204,28 @@ def correlation(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def summary_stats(series: DataFrame, integers: bool = False) -> DataFrame:
     """Moments, quartiles and shape of each series; the mode is given for integers only."""
-    quartiles = F.percentile("value", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    mode = F.mode(F.col("value").cast("bigint"), True) if integers else F.lit(None)
     stats = series.groupBy(KEY).agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
-        mode.cast("double").alias("mode"),
         F.stddev_pop("value").alias("std"),
         F.var_pop("value").alias("variance"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        quartiles.alias("q"),
         F.skewness("value").alias("skewness"),
     )
+    parts = [exact_quantiles(series, [KEY], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})]
+    if integers:
+        parts.append(mode_of(series, [KEY], F.col("value").cast("bigint"), "mode"))
+    for part in parts:
+        named = part.withColumnRenamed(KEY, "of_key")
+        stats = stats.join(named, F.col(KEY).eqNullSafe(F.col("of_key")), "left").drop("of_key")
+    mode = F.col("mode") if integers else F.lit(None)
     return stats.select(
-        KEY, "count", "mean", F.col("q")[1].alias("median"), "mode", "std", "variance", "min", "max",
+        KEY, "count", "mean", "median", mode.cast("double").alias("mode"), "std", "variance", "min", "max",
         (F.col("max") - F.col("min")).alias("range"),
-        F.col("q")[0].alias("q1"),
-        F.col("q")[2].alias("q3"),
-        (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
+        "q1",
+        "q3",
+        (F.col("q3") - F.col("q1")).alias("iqr"),
         "skewness",
         F.coalesce(F.try_divide("std", F.nullif("mean", F.lit(0.0))), F.lit(0.0)).alias("coefficient_of_variation"),
     )

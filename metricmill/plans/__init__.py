@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metric_queries", "domain_queries", "series_queries", "ingest_queries", "recommendation_queries", "table_queries"]
+MODULES = ["metric_queries", "domain_queries", "series_queries", "ingest_queries", "recommendation_queries", "table_queries", "state_queries"]
 
 
 def load_catalog():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from metricmill.operators import ingest
 from metricmill.plans.catalog import EVENTS_AS_OF, SALES_AS_OF, over, query
 from metricmill.session import scratch
-from metricmill.sources import star
+from metricmill.sources import star, tables
 from metricmill.sources.files import read_csv_events, write_csv_by_type
 from metricmill.streaming import ingest as live
 
@@ -288,7 +288,7 @@ def stream_ingest(spark, root):
     base = scratch(spark, "stream-ingest")
     messages = customer_messages(event_stream(spark, root))
     live.start_ingest(messages, base, f"{base}/checkpoint", EVENTS_AS_OF, window_seconds=None).awaitTermination()
-    good = spark.read.parquet(f"{base}/events").groupBy("event_type", F.col("sentiment").alias("detail"))
+    good = tables.read_events(spark, f"{base}/events").groupBy("event_type", F.col("sentiment").alias("detail"))
     bad = spark.read.parquet(f"{base}/quarantine").groupBy("event_type", F.col("error").alias("detail"))
     count = F.count("*").alias("events")
     return good.agg(count).withColumn("sink", F.lit("events")).unionByName(
@@ -354,6 +354,6 @@ def stream_odd_messages(spark, root):
     base = scratch(spark, "stream-odd")
     messages = odd_messages(event_stream(spark, root))
     live.start_ingest(messages, base, f"{base}/checkpoint", EVENTS_AS_OF, window_seconds=None).awaitTermination()
-    good = spark.read.parquet(f"{base}/events").select(F.lit("events").alias("sink"), F.lit(None).cast("string").alias("error"))
+    good = tables.read_events(spark, f"{base}/events").select(F.lit("events").alias("sink"), F.lit(None).cast("string").alias("error"))
     bad = spark.read.parquet(f"{base}/quarantine").select(F.lit("quarantine").alias("sink"), "error")
     return good.union(bad).groupBy("sink", "error").agg(F.count("*").alias("events"))

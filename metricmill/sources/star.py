@@ -36,13 +36,18 @@ def _net() -> Column:
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
-def _lines(spark: SparkSession, root: str) -> DataFrame:
+def order_lines(spark: SparkSession, root: str) -> DataFrame:
     lines, orders = table(spark, root, "lineitem"), table(spark, root, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
 
 def sales_events(spark: SparkSession, root: str) -> DataFrame:
-    return _lines(spark, root).select(
+    return sales_of(order_lines(spark, root))
+
+
+def sales_of(lines: DataFrame) -> DataFrame:
+    """Sale events of order lines joined with their orders."""
+    return lines.select(
         F.col("o_orderdate").alias("event_timestamp"),
         F.col("o_orderkey").alias("purchase_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -55,7 +60,7 @@ def sales_events(spark: SparkSession, root: str) -> DataFrame:
 
 def operations_events(spark: SparkSession, root: str) -> DataFrame:
     part = table(spark, root, "part")
-    joined = _lines(spark, root).join(part, F.col("l_partkey") == part.p_partkey)
+    joined = order_lines(spark, root).join(part, F.col("l_partkey") == part.p_partkey)
     return joined.select(
         F.col("l_shipdate").alias("event_timestamp"),
         F.col("l_partkey").alias("product_id"),
@@ -83,6 +88,11 @@ def customer_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def revenue_events(spark: SparkSession, root: str) -> DataFrame:
+    return revenue_of(order_lines(spark, root))
+
+
+def revenue_of(lines: DataFrame) -> DataFrame:
+    """Revenue events of order lines joined with their orders."""
     kind = (
         F.when(F.col("l_returnflag") == "N", "recurring")
         .when(F.col("l_returnflag") == "A", "expansion")
@@ -91,7 +101,7 @@ def revenue_events(spark: SparkSession, root: str) -> DataFrame:
     )
     churn = F.col("revenue_type") == "churn"
     return (
-        _lines(spark, root)
+        lines
         .select(
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("event_timestamp"),

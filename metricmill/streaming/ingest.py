@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metricmill.operators import ingest
+from metricmill.sources import commits, tables
 
 COUNTERS = "ingest"
 BatchHook = Callable[[DataFrame, int], None]
@@ -39,19 +40,25 @@ def start_ingest(
     window_seconds: int | None = 10,
     on_batch: BatchHook | None = None,
     on_error: BatchHook | None = None,
+    name: str = "stream",
+    distinct: bool = False,
 ) -> StreamingQuery:
-    """Write good events by type and refused ones to quarantine, once per micro-batch.
+    """Write good events to a day-partitioned table and refused ones to quarantine, once per micro-batch.
 
-    Each batch overwrites its own ``batch_id`` folder, so a replay after a lost driver
-    repeats the same files. ``window_seconds`` is the flush interval; None reads what
-    is there and stops. The hooks get the enriched and the refused rows of a batch.
+    A batch is a commit of the event table (``sources/tables.py``, partitioned by day and type) under ``name`` and its number, so
+    a replay after a lost driver replaces what the lost run wrote, and readers see whole batches only. Quarantine
+    and counters have a folder per batch, which a replay overwrites. ``window_seconds`` is the flush
+    interval; None reads what is there and stops. The hooks get the enriched and the refused rows of a batch.
+    With ``distinct`` an event whose id is in the table already, however long ago it came, is not written again.
     """
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             good = ingest.enrich(ingest.valid_rows(batch), as_of if as_of is not None else F.current_timestamp())
             bad = ingest.invalid_rows(batch)
-            good.write.mode("overwrite").partitionBy("event_type").parquet(f"{target}/events/batch_id={batch_id}")
+            if distinct:
+                good = tables.unseen(good, f"{target}/events", f"{name}-{batch_id}")
+            tables.write_events(good, f"{target}/events", f"{name}-{batch_id}", ("event_type",))
             bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch_id={batch_id}")
             _counts(batch).write.mode("overwrite").parquet(f"{target}/counters/batch_id={batch_id}")
             if on_batch:
@@ -96,17 +103,48 @@ def window_counts(events: DataFrame, ts: str = "event_timestamp", window: str =
     )
 
 
+def start_window_counts(
+    events: DataFrame, target: str, checkpoint: str, ts: str = "event_timestamp", window: str = "10 seconds",
+    available_now: bool = False, name: str = "stream",
+) -> StreamingQuery:
+    """Counts per window and type of a stream whose rows may be late by any time.
+
+    Every micro-batch commits its own counts, which add up (``read_window_counts``), so no state is kept and a late row is
+    counted like any other; a batch that is replayed replaces its counts.
+    """
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window(ts, window)["start"].alias("window_start"), "event_type").agg(F.count("*").alias("events"))
+        rows = counts.withColumns({commits.DAY: F.to_date("window_start"), "batch": F.lit(f"{name}-{batch_id}")})
+        _, replaced = commits.write(rows, target, "batch", [f"{name}-{batch_id}"])
+        commits.drop_dead(batch.sparkSession, target, replaced)
+
+    writer = events.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return writer.trigger(**trigger).start()
+
+
+def read_window_counts(spark: SparkSession, target: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """The counts of all batches so far, or of windows that begin on the days from first to last."""
+    rows = commits.read(spark, target, days)
+    return rows.groupBy("window_start", "event_type").agg(F.sum("events").alias("events"))
+
+
 def without_repeats(events: DataFrame, ts: str = "event_timestamp", late: str = "10 minutes") -> DataFrame:
     """Drop events whose deterministic id was seen within the watermark."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def start_updates(rows: DataFrame, target: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write changing aggregates as one folder per batch; ``latest`` reads the current values."""
+def start_updates(
+    rows: DataFrame, target: str, checkpoint: str, available_now: bool = False, mode: str = "update"
+) -> StreamingQuery:
+    """Write changing aggregates, or rows as they come (``append``), as one folder per batch.
+
+    ``latest`` reads the current values of aggregates.
+    """
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    writer = rows.writeStream.outputMode("update").foreachBatch(flush).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.outputMode(mode).foreachBatch(flush).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
     return writer.trigger(**trigger).start()
 
