@@ -37,10 +37,11 @@ def states_of(events: DataFrame, measures: Mapping[str, str | Column], keys: Seq
     """
     columns = [F.count("*").alias("events")]
     for name, value in measures.items():
-        v = (F.col(value) if isinstance(value, str) else value).cast("double")
+        own = F.col(value) if isinstance(value, str) else value
+        v = own.cast("double")
         columns += [
             F.count(v).alias(f"{name}_n"), F.sum(v).alias(f"{name}_sum"), (F.var_pop(v) * F.count(v)).alias(f"{name}_m2"),
-            F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"),
+            F.min(own).alias(f"{name}_min"), F.max(own).alias(f"{name}_max"),
         ]
     return events.groupBy(bucket_start(F.col(TS), grain).alias(SLOT), *keys).agg(*columns)
 
@@ -49,13 +50,18 @@ def write_states(
     events: DataFrame, path: str, batch: str | int, measures: Mapping[str, str | Column], keys: Sequence[str] = (), grain: str = "hourly"
 ) -> None:
     """Add the states of a batch of events to a table, in place of those it had."""
-    rows = states_of(events, measures, keys, grain).withColumn("event_date", F.to_date(SLOT)).withColumn("batch", F.lit(str(batch)))
-    _, replaced = commits.write(rows, path, "batch", [str(batch)])
-    commits.drop_dead(events.sparkSession, path, replaced)
+    write_slots(states_of(events, measures, keys, grain), path, batch)
+
+
+def write_slots(rows: DataFrame, path: str, batch: str | int) -> None:
+    """Add a batch's rows with a slot to a table, in place of those it had. States are small, so a month is one folder."""
+    placed = rows.withColumns({commits.DAY: F.to_date(F.date_trunc("month", SLOT)), "batch": F.lit(str(batch))})
+    _, replaced = commits.write(placed, path, "batch", [str(batch)])
+    commits.drop_dead(rows.sparkSession, path, replaced)
 
 
 def read_states(spark: SparkSession, path: str, as_of=None, period: str | float | None = None, grain: str = "hourly") -> DataFrame:
-    """States of all slots, or of those in a period, from the files of its days. A slot has a row per batch.
+    """States of all slots, or of those in a period, from the files of its months. A slot has a row per batch.
 
     A period that begins or ends within a slot cannot be answered and is refused.
     """
@@ -67,6 +73,7 @@ def read_states(spark: SparkSession, path: str, as_of=None, period: str | float
         start = end - timedelta(days=period_days(period))
         if any((t - datetime(1970, 1, 1)).total_seconds() % SECONDS[grain] for t in (start, end)):
             raise ValueError(f"the period from {start} to {end} does not consist of {grain} slots")
+        days = (f"{days[0][:8]}01", days[1])
     rows = commits.read(spark, path, days).filter(in_period(SLOT, as_of, period))
     if days:
         rows = rows.filter(F.col("event_date").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))

@@ -223,8 +223,7 @@ def state_revenue_quantiles(spark, root):
     events = star.sales_events(spark, root).filter("revenue > 0")
     for batch in (0, 1, 1):
         rows = states.bins_of(events.filter(F.col("customer_id") % 2 == batch), "revenue", ["channel"])
-        rows = rows.withColumns({"event_date": F.to_date("slot"), "batch": F.lit(str(batch))})
-        commits.write(rows, path, "batch", [str(batch)])
+        states.write_slots(rows, path, batch)
     bins = states.read_states(spark, path, SALES_AS_OF, 365, "daily")
     return states.quantiles(bins, ["channel"], {"median": 0.5, "p95": 0.95})
 
@@ -278,11 +277,11 @@ def ordered(frame: str) -> str:
 SO_FAR = ordered("UNBOUNDED PRECEDING AND CURRENT ROW")
 ORIGINS = f"""SELECT *, regr_slope(value, idx) {SO_FAR} AS a, regr_intercept(value, idx) {SO_FAR} AS b,
                      avg(value) {ordered('6 PRECEDING AND CURRENT ROW')} AS ma FROM i"""
-PAIRS = """SELECT o.series_key, o.idx, step, o.value AS last_value, b + a * (o.idx + step) AS linear, ma AS moving_average,
-                  s.value AS seasonal_naive, t.value AS actual
-           FROM o CROSS JOIN (SELECT unnest(range(1, 8)) AS step) JOIN i t ON t.series_key = o.series_key AND t.idx = o.idx + step
-           JOIN i s ON s.series_key = o.series_key AND s.idx = o.idx + step - 7
-           WHERE o.idx >= 9"""
+PAIRS = """SELECT * FROM (
+             SELECT series_key, idx, step, value AS last_value, b + a * (idx + step) AS linear, ma AS moving_average,
+                    lag(value, 7 - step) OVER w AS seasonal_naive, lead(value, step) OVER w AS actual
+             FROM o CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS step)
+             WINDOW w AS (PARTITION BY series_key, step ORDER BY idx)) WHERE idx >= 9 AND actual IS NOT NULL"""
 LONG_PAIRS = "SELECT series_key, idx, step, actual, method, forecast FROM p UNPIVOT (forecast FOR method IN (linear, moving_average, seasonal_naive, last_value))"
 
 
@@ -355,7 +354,7 @@ SHORT_CHANNEL = f"""SELECT channel || '|' || (customer_id % 40) AS series_key, e
                  (SELECT unnest(range(1, 8)) AS step)""",
         "sales_events",
         s=SHORT_CHANNEL, i=INDEXED, f=FIT, l=LINEAR.replace("SELECT f.series_key,", "SELECT f.series_key, n,", 1),
-        t="""SELECT series_key, n, n >= 50 OR (reach > 0 AND abs(a * n) > 0.1 * reach) AS line
+        t="""SELECT series_key, n >= 50 OR (reach > 0 AND abs(a * n) > 0.1 * reach) AS line
              FROM (SELECT series_key, max(value) - min(value) AS reach FROM i GROUP BY 1) JOIN f USING (series_key)""",
         r=SMOOTH,
     ).replace("WITH ", "WITH RECURSIVE ", 1),
@@ -491,14 +490,14 @@ def recommendation_by_id(spark, root):
 @query(
     "cross_domain_partial",
     recs_sql(
-        """SELECT name, array_to_string(list_filter(domains, d -> list_contains((SELECT list(DISTINCT domain) FROM r WHERE domain <> 'operations'), d)), '; ')
-                    AS relevant_domains, action
+        """SELECT name, string_agg(domain, '; ' ORDER BY place) AS relevant_domains, 'Analyze trade-offs and optimize jointly' AS action
            FROM (VALUES
-             ('Revenue Growth & Customer Retention', ['sales', 'customer', 'revenue'], 'Analyze trade-offs and optimize jointly'),
-             ('Inventory Optimization & Customer Satisfaction', ['operations', 'customer'], 'Analyze trade-offs and optimize jointly'),
-             ('Pricing & Volume Optimization', ['sales', 'revenue', 'operations'], 'Analyze trade-offs and optimize jointly'))
-             v(name, domains, action)
-           WHERE len(list_filter(domains, d -> list_contains((SELECT list(DISTINCT domain) FROM r WHERE domain <> 'operations'), d))) >= 2"""
+             ('Revenue Growth & Customer Retention', 1, 'sales'), ('Revenue Growth & Customer Retention', 2, 'customer'),
+             ('Revenue Growth & Customer Retention', 3, 'revenue'), ('Inventory Optimization & Customer Satisfaction', 1, 'operations'),
+             ('Inventory Optimization & Customer Satisfaction', 2, 'customer'), ('Pricing & Volume Optimization', 1, 'sales'),
+             ('Pricing & Volume Optimization', 2, 'revenue'), ('Pricing & Volume Optimization', 3, 'operations'))
+             v(name, place, domain)
+           WHERE domain IN (SELECT domain FROM r WHERE domain <> 'operations') GROUP BY 1 HAVING count(*) >= 2"""
     ),
 )
 def cross_domain_partial(spark, root):
