@@ -6,7 +6,8 @@ product over its words. The piece probabilities are learned by expectation maxim
 pass gives how often each piece is expected in the words of a language.
 
 Words are the runs of letters of the lower-cased text, whole texts, each with the vocabulary's mark of
-a word's start. A run longer than LONGEST letters is cut into parts of that length.
+a word's start. Words of equal length go through the lattice together; a run of more than LONG letters (a sentence
+in a script without spaces, say) goes through it alone and in logarithms, however long it is.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from metricmill.session import stage
 
 UNKNOWN = "und"
 START = "▁"  # what the vocabulary writes where a word starts
-LONGEST = 24
+LONG = 24
 
 
 class Pieces:
@@ -35,7 +36,7 @@ class Pieces:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-        names = sorted({x for x in names if x != START and x.lstrip(START).isalpha() and x == x.lower() and len(x) <= LONGEST})
+        names = sorted({x for x in names if x != START and x.lstrip(START).isalpha() and x == x.lower()})
         codes, ends = letters.points(names)
         keys = Spans(codes)(ends[:-1], ends[1:])
         self.count, self.widest = len(names) + 1, max(map(len, names))  # the last number stands for any other letter
@@ -60,6 +61,45 @@ class Pieces:
                     arcs[stop].append((start, rest, np.full(len(rest), self.count - 1)))
         return arcs
 
+    def long_lattice(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, stop, piece) of all pieces in one word, ordered by stop."""
+        spans, n = Spans(word), len(word)
+        found = []
+        for width in range(1, min(self.widest, n) + 1):
+            at = np.arange(n - width + 1)
+            slots = self.find.slots(spans(at, at + width))
+            piece = np.where(slots >= 0, self.number[slots], self.count - 1)
+            own = np.flatnonzero((slots >= 0) | (width == 1))
+            found.append((at[own], at[own] + width, piece[own]))
+        start, stop, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(stop, kind="stable")
+        return start[order], stop[order], piece[order]
+
+
+def long_forward(arcs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, logs: np.ndarray) -> np.ndarray:
+    """Log probability of each prefix of one word, (n + 1, languages); logs is that of (pieces, languages)."""
+    start, stop, piece = arcs
+    bounds = np.searchsorted(stop, np.arange(n + 2)).tolist()
+    alpha = np.zeros((n + 1, logs.shape[1]))
+    for at in range(1, n + 1):
+        own = slice(bounds[at], bounds[at + 1])
+        ways = alpha[start[own]] + logs[piece[own]]
+        top = ways.max(axis=0)
+        alpha[at] = top + np.log(np.exp(ways - top).sum(axis=0))
+    return alpha
+
+
+def long_expected(arcs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, weights: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Expected piece counts of one word with a count for each language; the backward pass is the forward one turned round."""
+    start, stop, piece = arcs
+    logs = np.log(theta)
+    alpha = long_forward(arcs, n, logs)
+    turned = np.argsort(n - start, kind="stable")
+    beta = long_forward(((n - stop)[turned], (n - start)[turned], piece[turned]), n, logs)[::-1]
+    counts = np.zeros_like(theta)
+    np.add.at(counts, piece, np.exp(alpha[start] + logs[piece] + beta[stop] - alpha[n]) * weights)
+    return counts
+
 
 def forward(arcs: list, rows: int, theta: np.ndarray) -> np.ndarray:
     """Probability of each prefix, (length + 1, rows, languages); theta is (pieces, languages)."""
@@ -98,28 +138,25 @@ def words_of(texts: list[str], kind: np.ndarray) -> tuple:
     edge[docs] = True
     starts = np.flatnonzero(letter[1:] & (~letter[:-1] | edge))
     stops = np.flatnonzero(letter[:-1] & (~letter[1:] | edge))
-    whole = np.ones(len(starts), bool)
-    if len(starts) and (stops - starts).max() > LONGEST:
-        parts = -(-(stops - starts) // LONGEST)
-        which = np.repeat(np.arange(len(starts)), parts)
-        turn = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        whole = turn == 0
-        starts, stops = starts[which] + turn * LONGEST, stops[which]
-        stops = np.minimum(stops, starts + LONGEST)
     if not len(starts):
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = Spans(codes)(starts, stops) ^ np.where(whole, np.uint64(0), np.uint64(1))
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    begin, lengths, marked = starts[first], (stops - starts)[first], whole[first]
+    number = np.zeros(len(starts), np.int64)
+    short = np.flatnonzero(stops - starts <= LONG)
+    _, first, number[short] = np.unique(Spans(codes)(starts[short], stops[short]), return_index=True, return_inverse=True)
+    first = short[first]
+    begin, lengths = starts[first], (stops - starts)[first]
     groups = []
     for width in np.unique(lengths):
-        for flag in (True, False):
-            own = np.flatnonzero((lengths == width) & (marked == flag))
-            if len(own):
-                matrix = codes[begin[own][:, None] + np.arange(width)]
-                if flag:
-                    matrix = np.concatenate((np.full((len(own), 1), mark, np.uint32), matrix), axis=1)
-                groups.append((own, matrix))
+        own = np.flatnonzero(lengths == width)
+        matrix = codes[begin[own][:, None] + np.arange(width)]
+        groups.append((own, np.concatenate((np.full((len(own), 1), mark, np.uint32), matrix), axis=1)))
+    long: dict[bytes, int] = {}
+    for i in np.flatnonzero(stops - starts > LONG):  # told apart letter by letter
+        word = codes[starts[i]:stops[i]]
+        before = len(long)
+        number[i] = len(first) + long.setdefault(word.tobytes(), before)
+        if len(long) > before:
+            groups.append((number[i:i + 1].copy(), np.concatenate(([mark], word)).astype(np.uint32)[None]))
     return groups, number, np.searchsorted(docs, starts, side="right") - 1
 
 
@@ -134,6 +171,9 @@ class Model:
         groups, number, doc = words_of(texts, self.kind)
         found = np.zeros((int(number.max()) + 1 if len(number) else 0, len(self.languages)))
         for own, matrix in groups:
+            if matrix.shape[1] > LONG + 1:
+                found[own[0]] = long_forward(self.pieces.long_lattice(matrix[0]), matrix.shape[1], np.log(self.theta))[-1]
+                continue
             for at in range(0, len(own), 20_000):
                 part = matrix[at: at + 20_000]
                 alpha = forward(self.pieces.lattice(part), len(part), self.theta)
@@ -207,7 +247,11 @@ def fit(
             for batch in batches:
                 widths = batch.column(3).to_numpy()
                 texts = np.array(batch.column(0).to_pylist(), dtype=object)
-                for width in np.unique(widths):
+                for i in np.flatnonzero(widths > LONG + 1):
+                    word, weights = letters.points([texts[i]])[0], np.zeros(len(languages))
+                    weights[batch.column(1)[int(i)].as_py()] = batch.column(2)[int(i)].as_py()
+                    total += long_expected(pieces.long_lattice(word), len(word), weights, theta)
+                for width in np.unique(widths[widths <= LONG + 1]):
                     own = np.flatnonzero(widths == width)
                     matrix = letters.points(list(texts[own]))[0].reshape(len(own), width)
                     weights = np.zeros((len(own), len(languages)))

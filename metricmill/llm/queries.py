@@ -13,7 +13,7 @@ from metricmill.llm import (
     vptree,
 )
 from metricmill.llm.common import remainder, table
-from metricmill.session import stage
+from metricmill.session import prepared, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(run):
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, root: run(prepared(spark), root)
         if oracle is not None:
             ORACLES[name] = oracle
         return run

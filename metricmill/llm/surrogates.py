@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricmill.llm.common import apart
-from metricmill.session import stage
+from metricmill.session import scratch, stage
 
 _EDGE = "(?<![0-9A-Za-z])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -322,7 +322,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = "surrogates", m
     all_names = docs.columns
     docs, (text,) = apart(docs, text)
     value = F.col(f"`{text}`").cast("string")
+    # Searching costs most by far: texts are searched once and written with what was found.
     found = docs.withColumn("__pii", find(value))
+    path = scratch(docs.sparkSession, "pii")
+    found.write.parquet(path)
+    found = docs.sparkSession.read.schema(found.schema).parquet(path)
     # Texts with titled names are searched once more, for other mentions of these.
     named = F.size("__pii_names") > 0
     hit = found.where(F.size("__pii") > 0).withColumn("__pii_names", names(F.col("__pii")))

@@ -280,3 +280,40 @@ def test_tables_that_are_not_files_are_told_apart_too(docs):
     table = docs([text, text, "short"])
     found = columns.repeats(table.union(table).repartition(3), width=400).collect()
     assert sorted(len(r["kept"]) for r in found) == [0, 0, 0, 0, 5, 5]
+
+
+def test_runs_of_any_length_sum_all_segmentations(monkeypatch):
+    """Long runs go through the lattice in logarithms; both ways agree, and no run is cut."""
+    pieces = langid.Pieces(PIECES)
+    draw = np.random.default_rng(2)
+    theta = draw.random((pieces.count, 3))
+    theta /= theta.sum(axis=0)
+    model = langid.Model(["a", "b", "c"], theta, pieces, letters.classes())
+    texts = ["waterfallstraße der Wasserfall", "x", "漢字仮名交じり文" * 2, "the end", ""]
+    whole = model.score(texts)
+    monkeypatch.setattr(langid, "LONG", 2)
+    assert np.allclose(model.score(texts), whole)
+    word = letters.points(["▁" + "waterfall" * 6 + "ß漢"])[0]
+    arcs = pieces.long_lattice(word)
+    plain = [np.ones(3)] + [np.zeros(3) for _ in word]
+    for start, stop, piece in zip(*(x.tolist() for x in arcs)):
+        plain[stop] = plain[stop] + plain[start] * theta[piece]
+    assert np.allclose(langid.long_forward(arcs, len(word), np.log(theta))[-1], np.log(plain[-1]))
+
+
+def test_expected_counts_of_long_runs(monkeypatch):
+    pieces = langid.Pieces(PIECES)
+    theta = np.random.default_rng(3).random((pieces.count, 2))
+    word = letters.points(["▁waterfall"])[0]
+    want = langid.expected(pieces.lattice(word[None]), np.array([[3.0, 0.5]]), theta)
+    assert np.allclose(langid.long_expected(pieces.long_lattice(word), len(word), np.array([3.0, 0.5]), theta), want)
+
+
+def test_long_runs_of_one_hash_are_told_apart():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    groups, number, doc = langid.words_of([word, other, word, "ab"], letters.classes())
+    assert number[0] == number[2] != number[1] and doc.tolist() == [0, 1, 2, 3]
+    assert sorted(m.shape[1] for _, m in groups) == [3, 2049, 2049]
