@@ -1,22 +1,25 @@
 """Cross-tokenizer alignment: two tokenizations of each text, cut into groups and linked, all on Arrow arrays.
 
-Within a task, token lists are flattened, running sums of token bytes that start anew with each document
-give the ends, and a hash join on (document, end) lays both tokenizations side by side: the rows of the
-joined and sorted table are the pieces between neighbouring ends, and each piece is one link of an A token
-with a B token. Spark writes the documents' links once, adds up the documents per id pair, and looks the
+Within a task, texts are encoded piece by piece (words, mostly), each different piece once. The documents'
+token lists are flattened, running sums of token bytes that start anew with each document give the ends, and
+a hash join on (document, end) lays both tokenizations side by side: the rows of the joined and sorted table
+are the stretches between neighbouring ends, and each is one link of an A token with a B token. Spark writes the documents' links once, adds up the documents per id pair, and looks the
 counts up again: those of the most frequent pairs in the task, the others by a join.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -30,6 +33,13 @@ HOT = 100_000
 ENDS = 40
 # Partial counts that a task holds before it hands them on.
 HELD = 500_000
+# Different pieces of text whose ids a task remembers, and those it encodes at a time.
+PIECES, AT_ONCE = 120_000, 5_000
+# A space at an end of the text or beside other white space.
+BESIDE_SPACE = (
+    r"^ | $|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+    r"| [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,11 +74,32 @@ class Vocabularies:
         return cls(a_file, b_file, a_bytes, b_bytes)
 
 
+def encoder_of(vocabularies: Vocabularies) -> Callable[[list[str]], list[list[int]]]:
+    """Encodes texts by A's file. A plain byte-level file whose merges stand in the order of their ids is the same
+    thing as a list of ranks, for which there is a faster library."""
+    model = json.loads(vocabularies.a_file)
+    split, plain = model["pre_tokenizer"] or {}, model["model"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in plain.get("merges", [])]
+    ids = [plain["vocab"]["".join(m)] for m in pairs]
+    ranked = (
+        model["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        and not plain.get("ignore_merges") and not plain.get("dropout")
+        and ids == list(range(256, 256 + len(ids))) and set(range(256)) == {plain["vocab"][c] for c in byte_alphabet()}
+    )
+    if ranked:
+        ranks = {vocabularies.a_bytes[i]: i for i in range(256 + len(ids))}
+        fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [fast.encode_ordinary(t) for t in texts]
+    whole = Tokenizer.from_str(vocabularies.a_file)
+    whole.encode_special_tokens = True
+    return lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Tokens:
     """The tokens of one tokenizer over a slice of documents."""
 
-    def __init__(self, ids: list[list[int]], vocabulary: pa.Array):
-        self.lists = pa.array(ids, pa.list_(pa.int32()))
+    def __init__(self, lists: pa.ListArray, vocabulary: pa.Array):
+        self.lists = lists
         self.ids = pc.list_flatten(self.lists)
         self.docs = pc.list_parent_indices(self.lists).cast(pa.int64())
         self.bytes = vocabulary.take(self.ids)
@@ -92,23 +123,74 @@ def lists_of(values: pa.Array, places: pa.Array, n: int) -> pa.ListArray:
 
 class Aligner:
     def __init__(self, vocabularies: Vocabularies):
-        self.a = Tokenizer.from_str(vocabularies.a_file)
-        self.a.encode_special_tokens = True
+        self.encode_a = encoder_of(vocabularies)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b_file)
         self.a_bytes, self.b_bytes = pa.array(vocabularies.a_bytes, pa.binary()), pa.array(vocabularies.b_bytes, pa.binary())
+        # Pieces can be encoded one by one if no entry of B goes on behind a word with a space.
+        self.cut = not any(b" " in entry.lstrip(b" ") for entry in vocabularies.b_bytes if entry != b" ")
+        self.known: dict[str, int] = {}
+        self.held = [pa.array([], pa.list_(pa.int32()))] * 2
+
+    def pieces(self, texts: list[str]) -> pa.ListArray:
+        """Each text cut where a single space stands between two other characters, without that space.
+
+        Neither tokenizer has a token that holds such a space anywhere but at its front, so the pieces are
+        encoded apart from each other, each behind a space.
+        """
+        if not self.cut:
+            return pa.array([[t] for t in texts], pa.list_(pa.string()))
+        column = pa.array(texts, pa.string())
+        parts = pc.split_pattern(column, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(column, BESIDE_SPACE).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return parts
+        lists = parts.to_pylist()
+        for i in odd:
+            made: list[list[str]] = [[lists[i][0]]]
+            for part in lists[i][1:]:
+                before = made[-1][-1]
+                if before and part and not before[-1].isspace() and not part[0].isspace():
+                    made.append([part])
+                else:
+                    made[-1].append(part)
+            lists[i] = [" ".join(x) for x in made]
+        return pa.array(lists, pa.list_(pa.string()))
+
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each piece are held. Pieces that a task has met are not encoded again."""
+        if len(self.known) > PIECES:
+            self.known, self.held = {}, [x.slice(0, 0) for x in self.held]
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            made: list[list[pa.Array]] = [[x] for x in self.held]
+            for at in range(0, len(new), AT_ONCE):
+                some = new[at: at + AT_ONCE]
+                a = self.encode_a([" " + p for p in some])
+                for side, x in zip(made, (a, self.b.encode(some, num_threads=1))):
+                    side.append(pa.array(x, pa.list_(pa.int32())))
+            self.held = [pa.concat_arrays(x) for x in made]
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def tokens(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """Both tokenizations; neither has tokens for an empty text or where one of them does not keep the bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        plain = pa.array([b" " + t.encode() for t in texts], pa.binary())
-        first, second = Tokens(a, self.a_bytes), Tokens(b, self.b_bytes)
-        whole = pc.and_(pc.equal(first.joined(), plain), pc.equal(second.joined(), plain)).to_pylist()
-        whole = [bool(same and text) for same, text in zip(whole, texts)]
-        if not all(whole):
-            first = Tokens([ids if ok else [] for ids, ok in zip(a, whole)], self.a_bytes)
-            second = Tokens([ids if ok else [] for ids, ok in zip(b, whole)], self.b_bytes)
-        return first, second
+        parts = self.pieces(texts)
+        different = pc.list_flatten(parts).dictionary_encode()
+        place = pa.array(self.encode(different.dictionary.to_pylist())).take(different.indices)
+        plain = pc.binary_join_element_wise(pa.scalar(b" "), pa.array(texts, pa.string()).cast(pa.binary()), pa.scalar(b""))
+        full = pa.array([bool(t) for t in texts])
+
+        def lists(which: int) -> pa.ListArray:
+            ids = self.held[which].take(place)
+            return pa.ListArray.from_arrays(ids.offsets.take(parts.offsets), ids.flatten())
+
+        sides = [Tokens(lists(0), self.a_bytes), Tokens(lists(1), self.b_bytes)]
+        whole = pc.and_(full, pc.and_(*[pc.equal(side.joined(), plain) for side in sides]))
+        if not pc.all(whole).as_py():
+            kept = pc.if_else(whole, pa.array(range(len(texts)), pa.int64()), pa.scalar(None, pa.int64()))
+            taken = [side.lists.take(kept) for side in sides]  # null lists, which hold nothing
+            sides = [Tokens(pa.ListArray.from_arrays(x.offsets, x.flatten()), v) for x, v in zip(taken, (self.a_bytes, self.b_bytes))]
+        return sides[0], sides[1]
 
     def align(self, texts: list[str], tokens: bool, digest: bool) -> dict[str, pa.Array]:
         """The columns of ``align`` for a slice of texts."""
@@ -184,7 +266,7 @@ def align(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = None
-        for batch in slices(batches, "__text", 1_000_000):
+        for batch in slices(batches, "__text", 500_000):
             aligner = aligner or Aligner(vocabularies)
             made = aligner.align(batch.column(1).to_pylist(), tokens, digest)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(made[c] for c in names)], names=["__id", *names])

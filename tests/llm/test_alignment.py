@@ -130,6 +130,33 @@ def test_slices_against_plain_loops(aligner, plain, texts):
         assert made["a_stops"][i].as_py() + made["b_stops"][i].as_py() == upto
 
 
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("  \n\t\x0b\x1c\x85\xa0\u2003\u3000ab'1.é"), max_size=30), min_size=1, max_size=4))
+def test_pieces_do_not_change_the_ids(aligner, plain, texts):
+    """Texts full of white space, which decides where pieces may be cut."""
+    first, second = aligner.tokens(texts)
+    for i, text in enumerate(texts):
+        a, b = plain(text)
+        assert first.lists[i].as_py() == [x for x, _ in a] and second.lists[i].as_py() == [x for x, _ in b]
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  \n\t'srtvemld1.<|endoftext|>")), max_size=60), max_size=4))
+def test_both_libraries_agree(vocabularies, texts):
+    """The faster library by ranks, and the one of the file, which others than plain byte-level files use."""
+    marked = vocabularies.a_file.replace('"normalizer":null', '"normalizer":{"type":"Sequence","normalizers":[]}', 1)
+    odd = alignment.Vocabularies(marked, b"", vocabularies.a_bytes, [])
+    assert odd.a_file != vocabularies.a_file
+    assert alignment.encoder_of(vocabularies)(texts) == alignment.encoder_of(odd)(texts)
+
+
+def test_forgetting_pieces_changes_nothing(aligner, plain, monkeypatch):
+    monkeypatch.setattr(alignment, "PIECES", 3)
+    for texts in (["one two three four"], ["two five"], ["one two"], ["six", "", "two two"]):
+        first, _ = aligner.tokens(texts)
+        assert [x.as_py() for x in first.lists] == [[i for i, _ in plain(t)[0]] for t in texts]
+
+
 def test_empty_table(spark, docs, vocabularies):
     assert alignment.link_scores(docs([]), vocabularies).count() == 0
     rows = alignment.link_scores(docs([None, ""]), vocabularies).collect()
