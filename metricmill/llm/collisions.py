@@ -31,6 +31,7 @@ COUNTED, HIT, MISS = 32, 0.9, 1e-4
 CELL = 1.5  # width of a cell, in units of a projection's spread
 CROWD = 512  # rows of unrelated vectors that a cell may hold on average
 BLOCK = 2048
+PAIRS = 65_536  # pairs that are verified at a time
 
 
 class Plan:
@@ -105,8 +106,7 @@ class Plan:
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of row pairs of the original vectors, in double precision."""
-    x, y = balanced(x), balanced(y)
+    """Cosines of row pairs of the original vectors (or of ``balanced`` ones), in double precision."""
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
@@ -158,15 +158,17 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-        x = matrix(table["v"], plan.width)
+        x = balanced(matrix(table["v"], plan.width))
         units = unit(x)
         no = table["no"][0].as_py()
         own, low, high = table["own"].to_numpy(), table["first"][0].as_py(), table["second"][0].as_py()
         p, q = np.flatnonzero(own == low), np.flatnonzero(own == high)
         i, j = plan.pairs(units[p], units[q], low == high)
         i, j = p[i], q[j]
-        keep = exact(x[i], x[j]) >= plan.cosine
+        keep = [exact(x[i[at: at + PAIRS]], x[j[at: at + PAIRS]]) >= plan.cosine for at in range(0, len(i), PAIRS)]
+        keep = np.concatenate([np.zeros(0, bool), *keep])
         i, j = i[keep], j[keep]
+        keep = keep[keep]
         # A pair that shares several cells counts in the first table only.
         for at in range(0, len(i), 8192):
             a, b = i[at: at + 8192], j[at: at + 8192]
