@@ -6,23 +6,23 @@ import os
 
 from pyspark.sql import functions as F
 
-from metricmill.operators import backtest, ingest, metrics, revenue, sales, states
+from metricmill.operators import backtest, ingest, metrics, orders, revenue, sales, states
 from metricmill.operators import forecast as fc
 from metricmill.operators import recommend as rec
 from metricmill.operators import regression
 from metricmill.operators import series as se
 from metricmill.functions.timeparts import in_period
 from metricmill.plans.catalog import EVENTS_AS_OF, ORACLES, SALES_AS_OF, over, query, within
-from metricmill.plans.domain_queries import STREAMS
+from metricmill.plans.domain_queries import STREAMS, shop_orders
 from metricmill.plans.ingest_queries import (
     ANY_SALE_ERROR, GOOD, MESSAGES, SALES_CHECKS, customer_messages, landed_sales, split_stream,
 )
 from metricmill.plans.metric_queries import channel_series
-from metricmill.plans.recommendation_queries import SHORT, SHORT_SQL, recommendations, recs_sql
+from metricmill.plans.recommendation_queries import SHORT, SHORT_SQL, recommendations, recs_sql, status_log
 from metricmill.plans.series_queries import FIT, FORECAST_ROW, INDEXED, LINEAR, SMOOTH, channel_sql, event_series, flat, hourly_sql
 from metricmill.session import scratch
-from metricmill.sources import commits, dated, star, tables
-from metricmill.sources.files import ingest_from
+from metricmill.sources import commits, dated, journal, results, star, tables
+from metricmill.sources.files import export_with_summary, ingest_from
 from metricmill.streaming import ingest as live
 from metricmill.streaming import windows
 
@@ -504,3 +504,55 @@ def cross_domain_partial(spark, root):
     """Rules when one domain has no results: a rule of two domains falls, one of three stays with two."""
     rows = rec.cross_domain_opportunities(recommendations(spark, root).filter("domain <> 'operations'"))
     return rows.select("name", "relevant_domains", "action")
+
+
+@query(
+    "exported_summary",
+    """SELECT 'nation' AS name, count(*) AS records, CAST(3 AS INTEGER) AS columns, 'nation' AS folder FROM nation
+       UNION ALL SELECT 'supplier', count(*), CAST(4 AS INTEGER), 'supplier' FROM supplier""",
+)
+def exported_summary(spark, root):
+    frames = {name: star.table(spark, root, name) for name in ("nation", "supplier")}
+    return export_with_summary(frames, scratch(spark, "export-summary"))
+
+
+@query("cached_sales_trend", ORACLES["sales_daily_revenue_trend"])
+def cached_sales_trend(spark, root):
+    """A trend that is kept by its plan and the files, asked twice; the second answer opens no source file."""
+    base = scratch(spark, "kept")
+    ask = lambda: results.cached(metrics.trends(star.sales_events(spark, root), "revenue", SALES_AS_OF, "daily", 90), base)
+    ask()
+    again = ask()
+    if any("result=" not in name for name in again.inputFiles()):
+        raise RuntimeError("the result was not kept")
+    return again
+
+
+@query("order_payload_items", ORACLES["order_item_totals"])
+def order_payload_items(spark, root):
+    """Orders with their items nested become events; the items are read back from the events' payloads and added up."""
+    lines, part = star.table(spark, root, "lineitem"), star.table(spark, root, "part")
+    item = F.struct(
+        F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"),
+        F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast("bigint").alias("price"),
+    )
+    # An order has seven lines at most.
+    nested = lines.join(part, lines.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").cast("string").alias("order_id")).agg(
+        F.collect_list(item).alias("items")
+    )
+    events = orders.orders_to_events(shop_orders(spark, root).join(nested, "order_id")).filter("event_type = 'sale'")
+    payload = "order_id string, items array<struct<item_id: string, name: string, quantity: int, price: bigint>>"
+    flat = orders.order_items(events.select(F.from_json("data", payload).alias("p")).select("p.*"))
+    return flat.groupBy("name").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("lines"))
+
+
+@query("journal_state", ORACLES["recommendation_state"])
+def journal_state(spark, root):
+    """Status changes merged in three batches that are not in order of time, one of them twice."""
+    path = scratch(spark, "journal")
+    log = status_log(spark, root)
+    batch = F.pmod(F.xxhash64("recommendation_id", "updated_at"), F.lit(3))
+    for k in (2, 0, 1, 0):
+        journal.merge(log.filter(batch == k), path, 16)
+    rows = journal.current(recommendations(spark, root), path)
+    return rows.select("recommendation_id", "status", "feedback", "actual_impact", "updated_at")

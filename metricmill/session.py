@@ -72,7 +72,8 @@ def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate that several later steps read to the shared folder.
 
     Reliable checkpoint, so a lost executor costs a re-read and not the upstream
-    scan and join. Used for reduced frames only, never for fact rows.
+    scan and join. Used for reduced frames, and by the text operators for narrow rows of one each per input row;
+    whole fact rows are not staged.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -53,6 +53,26 @@ def write_csv_by_type(events: DataFrame, path: str, mode: str = "overwrite") ->
     events.write.mode(mode).partitionBy("event_type").option("header", True).csv(path)
 
 
+def export_with_summary(tables: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> DataFrame:
+    """Export tables and, beside them in ``summary``, one row per table: name, records, columns, folder.
+
+    Records are counted in the files that were written, not in the frames once more.
+    """
+    targets = export_tables(tables, path, mode)
+    rows = None
+    for name, folder in targets.items():
+        frame = tables[name]
+        row = frame.sparkSession.read.schema(frame.schema).json(folder).agg(
+            F.lit(name).alias("name"), F.count("*").alias("records"),
+            F.lit(len(frame.columns)).alias("columns"), F.lit(name).alias("folder"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    if rows is None:
+        raise ValueError("nothing to export")
+    rows.write.mode(mode).json(f"{path.rstrip('/')}/summary")
+    return rows.sparkSession.read.schema(rows.schema).json(f"{path.rstrip('/')}/summary")
+
+
 def export_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> dict[str, str]:
     """Each table as JSON in its own folder; returns the folders."""
     targets = {name: f"{path.rstrip('/')}/{name}" for name in tables}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metricmill.sources.results import cached
+
 # ---- fixed values: names of the event, metric and result tables ----------------
 RAW_EVENTS = "raw_events"
 EVENT_TABLES = {
@@ -47,7 +49,14 @@ def domain_events(spark: SparkSession, domain: str) -> DataFrame:
     return spark.table(event_table(domain))
 
 
-def query(spark: SparkSession, sql: str, args: dict | None = None, keep: bool = False) -> DataFrame:
-    """Run SQL with bound parameters. ``keep`` persists the result; the caller unpersists it."""
+def query(
+    spark: SparkSession, sql: str, args: dict | None = None, keep: bool = False, results_root: str | None = None
+) -> DataFrame:
+    """Run SQL with bound parameters. ``keep`` persists the result; the caller unpersists it.
+
+    With ``results_root`` the result is kept there for the same question over the same files (``results.cached``).
+    """
     result = spark.sql(sql, args=args or {})
+    if results_root:
+        return cached(result, results_root)
     return result.persist() if keep else result

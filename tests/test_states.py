@@ -12,7 +12,7 @@ from metricmill.functions.quantiles import exact_quantiles, mode_of, values_from
 from metricmill.operators import anomalies, backtest, forecast, metrics, operations, regression, states
 from metricmill.operators import series as se
 from metricmill.operators.metrics import column_summary
-from metricmill.sources import commits, dated, star, tables
+from metricmill.sources import commits, dated, files, journal, results, star, tables
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -348,3 +348,119 @@ def test_forecasts_of_every_length_read_the_series_once(series):
     with pytest.raises(Exception, match="at least 10"):
         forecast.forecast(df, strict=True).collect()
     assert forecast.forecast(series(a=[1.0]).limit(0)).count() == 0
+
+
+# ---- kept results ----------------------------------------------------------------------------------------------
+
+
+def test_results_are_kept_by_plan_values_and_files(spark, tmp_path):
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.range(100).selectExpr("id", "id % 3 as k").write.parquet(source)
+
+    def ask(limit, name="n"):
+        rows = spark.read.parquet(source).filter(F.col("id") < limit).groupBy("k").agg(F.count("*").alias(name))
+        return results.cached(rows, kept)
+
+    def files_of(df):
+        return {f.split("/result=")[0].split("/")[-1] if "/result=" in f else "source" for f in df.inputFiles()}
+
+    first = ask(50)
+    assert sorted(map(tuple, first.collect())) == [(0, 17), (1, 17), (2, 16)]
+    assert set(first.inputFiles()) == set(ask(50).inputFiles())  # the same kept files
+    assert files_of(ask(50)).isdisjoint(files_of(ask(40)) | files_of(ask(50, "m")) | {"source"})
+    assert ask(50, "m").columns == ["k", "m"]
+    old = set(ask(50).inputFiles())
+    spark.range(100, 110).selectExpr("id - 100 as id", "id % 3 as k").write.mode("append").parquet(source)
+    new = ask(50)
+    assert sum(r.n for r in new.collect()) == 60 and old.isdisjoint(new.inputFiles())
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in old)  # the result of the old files is gone
+
+
+def test_results_that_a_plan_does_not_tell_are_not_kept(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(10).write.parquet(source)
+    rows = spark.read.parquet(source)
+    for odd in (
+        rows.withColumn("r", F.rand()), rows.mapInArrow(lambda x: x, rows.schema), spark.range(3).toDF("x"),
+        rows.join(spark.createDataFrame([(1,)], "id long"), "id"), rows.withColumn("u", F.udf(lambda x: x, "long")("id")),
+    ):
+        assert results.cached(odd, str(tmp_path / "kept")) is odd
+    assert not (tmp_path / "kept").exists()
+
+
+def test_unfinished_results_are_not_found(spark, tmp_path):
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.range(10).write.parquet(source)
+    rows = spark.read.parquet(source).filter("id > 3")
+    spark.range(1).write.parquet(f"{kept}/{results.plan_digest(rows)}/result=r-lost")
+    assert results.cached(rows, kept).count() == 6
+
+
+def test_export_with_summary(spark, tmp_path):
+    frames = {"a": spark.range(3).toDF("x"), "empty": spark.range(0).selectExpr("id", "id as y")}
+    got = {r.name: (r.records, r["columns"], r.folder) for r in files.export_with_summary(frames, str(tmp_path)).collect()}
+    assert got == {"a": (3, 1, "a"), "empty": (0, 2, "empty")}
+    assert spark.read.json(str(tmp_path / "summary")).count() == 2
+    with pytest.raises(ValueError):
+        files.export_with_summary({}, str(tmp_path))
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------
+
+
+def test_keyed_windows_equal_the_batch_and_forget_silent_keys(spark, tmp_path):
+    from metricmill.streaming import ingest as live
+    from metricmill.streaming import windows
+
+    windows.prepare_state(spark)
+    draw = np.random.default_rng(6)
+    start = pd.Timestamp("2024-01-01")
+    rows = [(k, str(start + pd.Timedelta(hours=i)), float(v)) for k in "ab" for i, v in enumerate(draw.standard_t(2, 120))]
+    rows += [("quiet", str(start + pd.Timedelta(hours=i)), float(i % 2)) for i in range(8)] + [("quiet", str(start + pd.Timedelta(hours=110)), 50.0)]
+    df = spark.createDataFrame(rows, "series_key string, t string, value double").select("series_key", F.col("t").cast("timestamp").alias("ts"), "value")
+    for day in range(5):
+        df.filter((F.col("ts") >= F.lit(str(start + pd.Timedelta(days=day)))) & (F.col("ts") < F.lit(str(start + pd.Timedelta(days=day + 1))))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, idle):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        found = windows.moving_window_alerts(stream, idle_seconds=idle)
+        live.start_updates(found, str(tmp_path / name), str(tmp_path / f"{name}-check"), True, "append").awaitTermination()
+        return {(r.series_key, r.idx, round(r.score, 9)) for r in spark.read.parquet(str(tmp_path / name)).collect()}
+
+    batch = {(r.series_key, r.idx, round(r.score, 9)) for r in anomalies.moving_window(df).collect()}
+    assert run("kept", 90 * 86400) == batch and any(k == "quiet" for k, *_ in batch)
+    assert run("short", 24 * 3600) == {x for x in batch if x[0] != "quiet"}  # its state was dropped in between
+
+
+# ---- journal -----------------------------------------------------------------------------------------------------
+
+
+def test_merged_journals_equal_one_full_apply(spark, tmp_path):
+    from metricmill.operators.recommend import apply_status_log
+
+    draw = np.random.default_rng(7)
+    rows = [
+        (f"r{draw.integers(0, 60)}", str(draw.choice(["approved", "rejected", "done"])), [None, "", "good", "bad"][draw.integers(0, 4)],
+         [None, 1.5, -2.0][draw.integers(0, 3)], f"2024-01-{draw.integers(1, 9):02d} 00:00:00")
+        for _ in range(900)
+    ] + [(None, "done", None, None, "2024-02-01 00:00:00")]
+    log = spark.createDataFrame(rows, "recommendation_id string, status string, feedback string, actual_impact double, t string")
+    log = log.withColumn("updated_at", F.col("t").cast("timestamp")).drop("t")
+    recs = spark.createDataFrame([(f"r{i}", "new", "2023-12-01 00:00:00") for i in range(70)], "recommendation_id string, status string, t string")
+    recs = recs.withColumn("updated_at", F.col("t").cast("timestamp")).drop("t")
+    state = lambda df: {r.recommendation_id: (r.status, r.feedback, r.actual_impact, r.updated_at) for r in df.collect()}
+    path = str(tmp_path / "j")
+    part = F.pmod(F.xxhash64("updated_at", "status"), F.lit(3))
+    for k in (1, 2, 0, 2):
+        assert journal.merge(log.filter(part == k), path, 8) == list(range(8))
+    assert state(journal.current(recs, path)) == state(apply_status_log(recs, log))
+    assert journal.entries(spark, path).groupBy("recommendation_id").count().agg(F.max("count")).first()[0] <= 3
+    before = state(journal.current(recs, path))
+    one = spark.createDataFrame([("r5", "late", "x", 9.0, "2024-03-01 00:00:00")], "recommendation_id string, status string, feedback string, actual_impact double, t string")
+    one = one.withColumn("updated_at", F.col("t").cast("timestamp")).drop("t")
+    (touched,) = journal.merge(one, path, 8)
+    assert {p.split("bucket=")[1].split("/")[0] for p, _, _ in commits.log(spark, path)[-1].files} == {str(touched)}
+    assert state(journal.current(recs, path))["r5"][:3] == ("late", "x", 9.0)
+    assert state(journal.current(recs, path, upto=4)) == before  # an older version
+    assert "SortAggregate" not in plan_of(journal.deciding(log))
+    assert journal.merge(log.limit(0), path, 8) == []
