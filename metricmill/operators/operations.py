@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from metricmill.functions.quantiles import BIN, COUNT, exact_quantiles, histogram
 from metricmill.functions.texts import BOTTLENECK_ACTION, DISRUPTION_ACTION, REORDER
 from metricmill.functions.timeparts import in_period, instant
-from metricmill.session import stage
 
 TS = "event_timestamp"
 
@@ -115,7 +114,7 @@ def bottlenecks(
     recent = operations.filter(in_period(TS, as_of, days))
     held = histogram(recent, ["warehouse_id"], "fulfillment_time_hours", moments=True)
     given = F.sum(F.when(F.col(BIN).isNotNull(), F.col(COUNT)))
-    averages = stage(
+    averages = (
         held.groupBy("warehouse_id")
         .agg(F.try_divide(F.sum("total"), given).alias("avg_fulfillment_time"), F.sum(COUNT).alias("order_count"))
         .filter(F.col("order_count") >= min_orders)
