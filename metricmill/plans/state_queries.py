@@ -404,14 +404,32 @@ SALE_TOTALS = over(
 )
 
 
+def response_pages(rows, most=10_000):
+    """Rows as the responses of a service, of ``most`` items each; the first item of a task comes as a lone object.
+
+    Items are written by the task that holds them, so a response's size does not follow the table's.
+    """
+    def pages(batches):
+        import pyarrow as pa
+
+        alone = True
+        for batch in batches:
+            items = batch.column(0).to_pylist()
+            if alone and items:
+                yield pa.RecordBatch.from_pydict({"value": [f'{{"data":{items.pop(0)}}}']})
+                alone = False
+            for k in range(0, len(items), most):
+                yield pa.RecordBatch.from_pydict({"value": [f'{{"data":[{",".join(items[k:k + most])}]}}']})
+
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("item")).mapInArrow(pages, "value string")
+
+
 @query("landed_responses", SALE_TOTALS)
 def landed_responses(spark, root):
-    """Sales as service responses landed as files, one of which holds a lone object, ingested and totalled."""
+    """Sales as service responses landed as files, some of which hold a lone object, ingested and totalled."""
     base = scratch(spark, "responses")
-    rows = landed_sales(spark, root).withColumn("page", F.pmod(F.xxhash64("customer_id", "product_id"), F.lit(24)))
-    # The stand-in for a service: each page is one response.
-    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct(*[c for c in rows.columns if c != "page"])).alias("data"))).alias("value"))
-    pages.repartition(24, "page").write.option("maxRecordsPerFile", 1).partitionBy("page").text(f"{base}/landing")
+    # The stand-in for a service: each page is one response, and one file.
+    response_pages(landed_sales(spark, root)).write.option("maxRecordsPerFile", 1).text(f"{base}/landing")
     events = ingest_from(spark, {"type": "api", "path": f"{base}/landing", "event_type": "sale"})
     good = ingest.process_batch(events, SALES_AS_OF).events
     return ingest.silver(good, "sale").groupBy("channel").agg(F.count("*").alias("events"), F.sum("total_value").alias("total_value"))

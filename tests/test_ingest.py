@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricmill.operators import ingest
+from metricmill.plans import load_catalog
 from metricmill.sources import files, registry
 from metricmill.streaming import ingest as live
 
@@ -137,6 +138,21 @@ def test_json_payload_list_and_lone_object(spark, tmp_path):
     assert sorted(r.record.quantity for r in ingest.validate(rows, AS_OF).collect()) == [2, 2, 5]
 
 
+def test_responses_have_a_size_of_their_own(spark, tmp_path):
+    """However many rows a table has, a landed response holds so many items; a lone one is an object."""
+    load_catalog()
+    from metricmill.plans.state_queries import response_pages
+
+    rows = spark.range(0, 2500, numPartitions=2).select(*[
+        F.lit(str(v)).alias(k) if k != "quantity" else (F.col("id") + 1).cast("string").alias(k) for k, v in GOOD_SALE.items()
+    ], F.lit(None).cast("string").alias("arr"))
+    response_pages(rows, 400).write.option("maxRecordsPerFile", 1).text(str(tmp_path / "r"))
+    held = [json.loads(r.value)["data"] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert sorted(1 if isinstance(x, dict) else len(x) for x in held) == sorted(2 * [1, 400, 400, 400, 49])
+    read = files.ingest_from(spark, {"type": "api", "path": str(tmp_path / "r"), "event_type": "sale"})
+    assert sorted(int(r.q) for r in read.select(F.col("payload.quantity").alias("q")).collect()) == list(range(1, 2501))
+
+
 def test_source_errors(spark):
     with pytest.raises(ValueError, match="unknown source"):
         files.ingest_from(spark, {"type": "queue"})
