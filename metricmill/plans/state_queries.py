@@ -141,6 +141,14 @@ def stream_moving_window(spark, root):
 
 # ---- mergeable states --------------------------------------------------------------------------------
 
+def feed(rows, batch, columns=("*",)):
+    """``rows`` landed once by their batch, as a feed arrives; gives the rows of a batch. Joins behind them run once."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "feed")
+    dealt = rows.select(*columns, batch.cast("int").alias("feed_batch"))
+    dealt.write.partitionBy("feed_batch").parquet(path)
+    return lambda number: spark.read.schema(dealt.schema).parquet(path).filter(F.col("feed_batch") == number).drop("feed_batch")
+
+
 def state_table(spark, root, view, measures, keys=(), grain="daily"):
     """States of a feed in three batches, one of them written twice."""
     path = scratch(spark, "states")
@@ -569,8 +577,8 @@ def journal_state(spark, root):
     """Status changes merged in three batches that are not in order of time, one of them twice."""
     path = scratch(spark, "journal")
     log = status_log(spark, root)
-    batch = F.pmod(F.xxhash64("recommendation_id", "updated_at"), F.lit(3))
+    arrived = feed(log, F.pmod(F.xxhash64("recommendation_id", "updated_at"), F.lit(3)))
     for k in (2, 0, 1, 0):
-        journal.merge(log.filter(batch == k), path, 16)
+        journal.merge(arrived(k), path, 16)
     rows = journal.current(recommendations(spark, root), path)
     return rows.select("recommendation_id", "status", "feedback", "actual_impact", "updated_at")

@@ -12,6 +12,7 @@ from metricmill.functions.quantiles import exact_quantiles, mode_of, values_from
 from metricmill.operators import anomalies, backtest, forecast, metrics, operations, regression, states
 from metricmill.operators import series as se
 from metricmill.operators.metrics import column_summary
+from metricmill.plans import load_catalog
 from metricmill.sources import commits, dated, files, journal, results, star, tables
 
 ROOT = "/root/testdata/sf0.001"
@@ -464,3 +465,39 @@ def test_merged_journals_equal_one_full_apply(spark, tmp_path):
     assert state(journal.current(recs, path, upto=4)) == before  # an older version
     assert "SortAggregate" not in plan_of(journal.deciding(log))
     assert journal.merge(log.limit(0), path, 8) == []
+
+
+def test_journal_shuffles_changes_once(spark, tmp_path, monkeypatch):
+    """One exchange decides a batch, and the write needs no other; a batch of one busy id gives the same entries."""
+    from metricmill.operators.recommend import apply_status_log
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 2500, "busy").when(F.col("id") < 3998, F.concat(F.lit("r"), F.col("id") % 300)).alias("recommendation_id"),
+        F.concat(F.lit("s"), F.col("id") % 7).alias("status"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("f"), F.col("id") % 5)).alias("feedback"),
+        F.when(F.col("id") % 4 == 0, F.col("id") % 11 * 1.0).alias("actual_impact"),
+        F.when(F.col("id") % 50 != 0, F.timestamp_seconds(1.7e9 + F.col("id") % 90)).alias("updated_at"),
+    )
+    plan = journal.deciding(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan_of(journal.deciding(rows)).count("Exchange") == 1
+    found = {}
+    for floor in (100_000, 10):
+        monkeypatch.setattr(journal, "BUSY", floor)
+        path = str(tmp_path / f"j{floor}")
+        for k in (1, 0, 1):
+            journal.merge(rows.filter(F.col("updated_at").isNull() | (F.second("updated_at") % 2 == k)), path, 8)
+        found[floor] = sorted(map(str, journal.entries(spark, path).collect()))
+        assert len({f for c in commits.log(spark, path) if c.live for f, _, _ in c.files}) <= 8 * journal.PARTS
+    assert found[10] == found[100_000]
+    recs = spark.createDataFrame([("busy",), ("r1",), ("r299",)], "recommendation_id string")
+    of = lambda df: sorted(map(str, df.collect()))
+    assert of(journal.current(recs, path)) == of(apply_status_log(recs, rows))
+
+
+def test_feed_runs_what_is_behind_it_once(spark):
+    load_catalog()
+    from metricmill.plans.state_queries import feed
+
+    rows = spark.range(90).select("id", (F.col("id") * 2).alias("twice"))
+    arrived = feed(rows, F.when(F.col("id") != 5, F.col("id") % 3), ["id"])
+    assert [sorted(r.id for r in arrived(k).collect()) for k in range(4)] == [[i for i in range(90) if i % 3 == k and i != 5] for k in range(4)]
+    assert all("feed_batch=" in f for f in arrived(1).inputFiles()) and "Range" not in plan_of(arrived(1))
