@@ -6,6 +6,8 @@ revenue, one order priority lands without a channel, some times are not times.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from metricmill.operators import ingest
@@ -247,10 +249,15 @@ def event_stream(spark, root):
     return spark.readStream.schema(star.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(root)
 
 
-def split_stream(spark, root, base, files=6):
-    """The event feed as several files whose times overlap, read one file per batch."""
-    star.table(spark, root, "events").repartition(files, "event_id").write.parquet(f"{base}/feed")
-    return spark.readStream.schema(star.TABLES["events"]).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+def split_stream(spark, root, base, batches=6, per_file=100_000):
+    """The event feed as files of about ``per_file`` rows whose times overlap, read in ``batches``.
+
+    A file is read by one task, so a batch of a large feed has many.
+    """
+    events = star.table(spark, root, "events")
+    files = max(1, math.ceil(events.count() / (batches * per_file)))
+    events.repartition(batches * files, "event_id").write.parquet(f"{base}/feed")
+    return spark.readStream.schema(star.TABLES["events"]).option("maxFilesPerTrigger", files).parquet(f"{base}/feed")
 
 
 @query(

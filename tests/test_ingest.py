@@ -293,3 +293,17 @@ def test_ids_do_not_depend_on_the_fallback_time(spark):
     parsed = ingest.parse_messages(spark.createDataFrame([(text,)], "value string"))
     ids = {ingest.enrich(ingest.validate(parsed, day), day).first().event_id for day in ("2024-01-01", "2024-02-01")}
     assert len(ids) == 1
+
+
+def test_split_stream_keeps_its_batches_and_adds_files(spark, tmp_path):
+    """A larger feed has more files a batch, so more tasks; the number of batches stays."""
+    load_catalog()
+    from metricmill.plans.ingest_queries import split_stream
+
+    root, base, seen = "/root/testdata/sf0.001", str(tmp_path / "s"), []
+    whole = spark.read.parquet(f"{root}/events.parquet")
+    stream = split_stream(spark, root, base, 3, max(1, whole.count() // 12))
+    take = lambda batch, _: seen.append((batch.select(F.input_file_name()).distinct().count(), {r.event_id for r in batch.collect()}))
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and all(files >= 4 for files, _ in seen)
+    assert sum(len(ids) for _, ids in seen) == whole.count() == len(set().union(*[ids for _, ids in seen]))
