@@ -153,9 +153,10 @@ def state_table(spark, root, view, measures, keys=(), grain="daily"):
     """States of a feed in three batches, one of them written twice."""
     path = scratch(spark, "states")
     events = view(spark, root)
-    key = "customer_id" if "customer_id" in events.columns else "product_id"
+    key = F.col("customer_id" if "customer_id" in events.columns else "product_id")
+    arrived = feed(events, key % 3, [states.TS, *dict.fromkeys([*measures.values(), *keys])])
     for batch in (0, 1, 2, 1):
-        states.write_states(events.filter(F.col(key) % 3 == batch), path, batch, measures, keys, grain)
+        states.write_states(arrived(batch), path, batch, measures, keys, grain)
     return path
 
 
@@ -229,8 +230,9 @@ def state_revenue_quantiles(spark, root):
     """Ranks from daily bins that add up over days and batches."""
     path = scratch(spark, "bins")
     events = star.sales_events(spark, root).filter("revenue > 0")
+    arrived = feed(events, F.col("customer_id") % 2, [states.TS, "channel", "revenue"])
     for batch in (0, 1, 1):
-        rows = states.bins_of(events.filter(F.col("customer_id") % 2 == batch), "revenue", ["channel"])
+        rows = states.bins_of(arrived(batch), "revenue", ["channel"])
         states.write_slots(rows, path, batch)
     bins = states.read_states(spark, path, SALES_AS_OF, 365, "daily")
     return states.quantiles(bins, ["channel"], {"median": 0.5, "p95": 0.95})

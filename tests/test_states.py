@@ -501,3 +501,18 @@ def test_feed_runs_what_is_behind_it_once(spark):
     arrived = feed(rows, F.when(F.col("id") != 5, F.col("id") % 3), ["id"])
     assert [sorted(r.id for r in arrived(k).collect()) for k in range(4)] == [[i for i in range(90) if i % 3 == k and i != 5] for k in range(4)]
     assert all("feed_batch=" in f for f in arrived(1).inputFiles()) and "Range" not in plan_of(arrived(1))
+
+
+def test_state_feeds_are_joined_once(spark, monkeypatch):
+    """The batches of a state table come from the landed feed; the join behind it is not run for each."""
+    load_catalog()
+    from metricmill.plans import state_queries
+
+    given = []
+    monkeypatch.setattr(states, "write_states", lambda events, path, batch, *_: given.append((batch, events)))
+    state_queries.state_table(spark, ROOT, star.revenue_events, {"amount": "amount"})
+    assert [b for b, _ in given] == [0, 1, 2, 1] and all("Join" not in plan_of(e) for _, e in given)
+    whole = star.revenue_events(spark, ROOT)
+    for batch, rows in given:
+        want = whole.filter(F.col("customer_id") % 3 == batch).select("event_timestamp", "amount")
+        assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
