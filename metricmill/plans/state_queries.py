@@ -244,7 +244,8 @@ def dated_lines(spark, root, period):
     """Order lines written by month and bucket, then read for a period."""
     path = scratch(spark, "dated")
     name = "dated_" + os.path.basename(path).replace("-", "_")
-    dated.write_order_lines(star.table(spark, root, "orders"), star.table(spark, root, "lineitem"), name, path, 8, "month")
+    lines = star.table(spark, root, "lineitem")
+    dated.write_order_lines(star.table(spark, root, "orders"), lines, name, path, dated.buckets_for(lines), "month")
     return dated.order_lines(spark, name, SALES_AS_OF, period, "month")
 
 

@@ -8,6 +8,8 @@ gives every line its order's date happens once, when the tables are written.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ PERIOD = "order_period"
 GRAINS = {"day": "day", "month": "month"}
 
 
+# Lines that a task sorts and a bucket holds over all periods.
+PER_BUCKET = 2_000_000
+
+
+def buckets_for(lines: DataFrame, least: int = 8) -> int:
+    """How many buckets keep the tasks that write and join them of one size, whatever the table's."""
+    return max(least, math.ceil(lines.count() / PER_BUCKET))
+
+
 def _placed(grain: str) -> Column:
     return F.to_date(F.date_trunc(GRAINS[grain], "o_orderdate")).alias(PERIOD)
 
@@ -26,7 +37,8 @@ def write_order_lines(
 ) -> None:
     """Write the tables ``<name>_orders`` and ``<name>_lines`` below ``path``, in place of what they held.
 
-    A bucket of a period should fill a file, so ``buckets`` and ``grain`` (``day`` or ``month``) follow the volume.
+    A bucket of a period should fill a file, so ``buckets`` and ``grain`` (``day`` or ``month``) follow the volume, as
+    ``buckets_for`` does: a task sorts the lines of a bucket.
     Lines without an order and orders without lines are left out, as in the join; orders without a date
     have a partition of their own, which no period reads.
     """

@@ -213,6 +213,20 @@ def test_dated_lines_prune_periods_and_join_without_exchange(spark, tmp_path):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_dated_buckets_follow_the_volume(spark, monkeypatch):
+    load_catalog()
+    from metricmill.plans import state_queries
+
+    monkeypatch.setattr(dated, "PER_BUCKET", 500)
+    lines = star.table(spark, ROOT, "lineitem")
+    wanted = math.ceil(lines.count() / 500)
+    assert wanted > 8 and dated.buckets_for(lines) == wanted and dated.buckets_for(lines.limit(0)) == 8
+    read = state_queries.dated_lines(spark, ROOT, 90)
+    assert plan_of(read).count(f"SelectedBucketsCount: {wanted} out of {wanted}") == 2 and "Exchange" not in plan_of(read)
+    whole = star.order_lines(spark, ROOT).filter("o_orderdate >= '2001-05-04' AND o_orderdate < '2001-08-02'")
+    assert sorted(map(str, read.select("l_orderkey", "l_linenumber").collect())) == sorted(map(str, whole.select("l_orderkey", "l_linenumber").collect()))
+
+
 # ---- ranks ----------------------------------------------------------------------------------------------------
 
 
