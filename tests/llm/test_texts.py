@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -317,3 +319,43 @@ def test_long_runs_of_one_hash_are_told_apart():
     groups, number, doc = langid.words_of([word, other, word, "ab"], letters.classes())
     assert number[0] == number[2] != number[1] and doc.tolist() == [0, 1, 2, 3]
     assert sorted(m.shape[1] for _, m in groups) == [3, 2049, 2049]
+
+
+def most_taken(run):
+    """The result of ``run`` and the most MB that Python and numpy held for it."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("step", [columns.anchors, columns.windows])
+def test_texts_are_hashed_in_small_slices(monkeypatch, step):
+    """A task's arrays follow the slice, not the batch, and the rows do not depend on where slices end."""
+    draw = random.Random(6)
+    line = "".join(draw.choices("abcde ", k=800)).encode()
+    texts = [bytes(draw.choices(b"abcde ", k=draw.randint(400, 3000))) + draw.choice([line, b""]) for _ in range(1500)]
+    rid = pa.array([{"file": 1, "row": i} for i in range(len(texts))], columns.ROW_TYPE)
+    ids, first = pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32())
+    batch = {"anchors": [rid, texts], "windows": [rid, ids, first, texts]}[step.__name__]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in batch], names=["rid", "id", "first"][: len(batch) - 1] + ["data"])
+    rows, taken = most_taken(lambda: sum(x.num_rows for x in step(iter([batch]), 400)))
+    assert rows and taken < 40
+    found = pa.Table.from_batches(step(iter([batch]), 400))
+    monkeypatch.setattr(columns, "SLICE", 10_000_000)
+    assert found.equals(pa.Table.from_batches(step(iter([batch]), 400)))
+
+
+def test_columns_are_laid_out_in_little_memory():
+    draw = random.Random(8)
+    shared = [bytes(draw.choices(b"abc", k=260)) for _ in range(40)]
+    texts = [draw.choice(shared)[: draw.randint(100, 260)] + bytes(draw.choices(b"abc", k=draw.randint(0, 60))) for _ in range(3000)]
+    groups, offsets = np.array([draw.randrange(30) for _ in texts]), np.array([draw.randint(0, 40) for _ in texts])
+    (which, start), taken = most_taken(lambda: columns.sort_columns(groups, texts, offsets, 64))
+    assert taken < 10
+    seen = collections.defaultdict(list)
+    for i, text in enumerate(texts):
+        for at in range(len(text) - 63):
+            seen[groups[i], at - offsets[i], text[at:at + 64]].append((i, at))
+    assert sorted(zip(which.tolist(), start.tolist())) == sorted(x for same in seen.values() if len(same) > 1 for x in same)
